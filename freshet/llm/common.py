@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these six ASCII separators; Unicode spaces belong to words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+def fields(spec: str) -> T.StructType:
+    """A schema from "name type, ..." with simple types; unlike a DDL string it needs no session."""
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    kinds |= {f"array<{k}>": T.ArrayType(v) for k, v in kinds.items()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in spec.split(","))])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
