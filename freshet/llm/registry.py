@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from freshet.llm import mixing, quality, secret_scan, sharding
+from freshet.llm import mixing, packing, quality, rans, secret_scan, sharding
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
     "op3_repetition_rules": quality.op3_repetition_rules,
+    "op4_rans_ids": rans.op4_rans_ids,
     "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
     "op7_secret_automaton": secret_scan.op7_secret_automaton,
+    "op8_vector_packing": packing.op8_vector_packing,
 }
 
 ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL}
