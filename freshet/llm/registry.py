@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm import html_text, mixing, packing, quality, rans, secret_scan, sharding
+from freshet.llm import html_text, jaccard, mixing, packing, quality, rans, secret_scan, sharding
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
     "op7_secret_automaton": secret_scan.op7_secret_automaton,
     "op8_vector_packing": packing.op8_vector_packing,
+    "op9_partenum_jaccard": jaccard.op9_partenum_jaccard,
     "op10_block_tree": html_text.op10_block_tree,
 }
 
