@@ -12,21 +12,19 @@ from freshet.llm.common import gapless, hex_number, table
 SEED = "mix"
 #: Share of the mix by language, for op1: English is brought down, the others up.
 LANGUAGE_WEIGHTS = {"en": 0.40, "de": 0.25, "fr": 0.20, "es": 0.15}
-#: Largest mean rate; the inverse needs a fixed number of terms.
-MAX_RATE = 16.0
+#: A larger rate is the sum of several Poisson variables of equal rates up to this, which is Poisson again.
+RATE_TERM = 16.0
 #: Buckets of the global order; this many rows of counts are broadcast whatever the input.
 BUCKETS = 4096
 
 
-def poisson_count(u: Column, rate: Column, max_rate: float = MAX_RATE) -> Column:
-    """The number of k with u >= P(N <= k), N Poisson with mean `rate`: the inverse of the distribution at u.
+def poisson_quantile(u: Column, rate: Column, most: float = RATE_TERM) -> Column:
+    """The number of k with u >= P(N <= k), N Poisson with mean rate <= most: the inverse of the distribution at u.
 
-    u has 52 bits, so terms beyond max_rate + 12 sqrt(max_rate) + 20 are never reached; the sum runs that far.
+    u has 52 bits, so terms beyond most + 12 sqrt(most) + 20 are never reached; the sum runs that far.
     """
-    terms = math.ceil(max_rate + 12 * math.sqrt(max_rate) + 20)
-    start = F.struct(
-        F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"),
-    )
+    terms = math.ceil(most + 12 * math.sqrt(most) + 20)
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
 
     def step(acc, k):
         p = acc["p"] * rate / k
@@ -35,21 +33,33 @@ def poisson_count(u: Column, rate: Column, max_rate: float = MAX_RATE) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(terms)).cast("array<double>"), start, step, lambda acc: acc["n"])
 
 
-def rates(df: DataFrame, group: str, weights: dict[str, float], total: float | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def poisson_count(key: Column, rate: Column, seed: str = SEED) -> Column:
+    """A Poisson count with mean `rate` that depends on seed and key alone (a null key counts as an empty one)."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    parts = F.greatest(F.lit(1), F.ceil(rate / RATE_TERM)).cast("int")
+
+    def one(k):
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.when(k > 0, F.concat(k.cast("string"), F.lit(":"))).otherwise(""), text))
+        return poisson_quantile((hex_number(digest, 1, 13) + F.lit(0.5)) / F.lit(float(2**52)), rate / parts)
+
+    more = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda acc, k: acc + one(k))
+    return F.when(parts == 1, one(F.lit(0))).otherwise(more)
+
+
+def rates(df: DataFrame, group: str, weights: dict[str, float], total: float | None = None) -> DataFrame:
     """(group, size, rate): rate = weight x total / size, weights normalised over the groups that have rows.
 
     total is the expected number of rows in the mix, by default that of the input. A group without a weight
-    (null too) gets rate 0. A rate above max_rate is an error rather than a silent change of the mix.
+    (null too) gets rate 0.
     """
-    names = list(weights)
-    weight = F.coalesce(*[F.when(F.col(group) == k, F.lit(float(weights[k]))) for k in names], F.lit(0.0)) if names else F.lit(0.0)
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights can't be negative")
+    weight = F.coalesce(*[F.when(F.col(group) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("weight", weight)
     whole = sizes.agg(F.sum("size").alias("rows"), F.sum("weight").alias("weights"))
     mean = F.lit(float(total)) if total is not None else F.col("rows")
-    out = sizes.crossJoin(F.broadcast(whole)).select(
-        group, "size", F.coalesce(F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)) * mean / F.col("size"), F.lit(0.0)).alias("rate")
-    )
-    return out.withColumn("rate", F.when(F.col("rate") > max_rate, F.raise_error(F.concat(F.lit("rate above max_rate for group "), F.coalesce(F.col(group), F.lit("null")))).cast("double")).otherwise(F.col("rate")))
+    rate = F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)) * mean / F.col("size")
+    return sizes.crossJoin(F.broadcast(whole)).select(group, "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float], total: float | None = None, seed: str = SEED) -> DataFrame:
@@ -59,9 +69,7 @@ def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float], to
     broadcast is a row for each weight, a parameter, and not a row for each group of the data.
     """
     wanted = rates(df, group, weights, total).where(F.col(group).isin(list(weights))).select(group, "rate")
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    u = (hex_number(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 13) + F.lit(0.5)) / F.lit(float(2**52))
-    counted = df.join(F.broadcast(wanted), group).withColumn("_n", poisson_count(u, F.col("rate")))
+    counted = df.join(F.broadcast(wanted), group).select(*df.columns, "rate").withColumn("_n", poisson_count(F.col(key), F.col("rate"), seed))
     return counted.where("_n > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
 

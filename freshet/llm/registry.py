@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from freshet.llm import html_text, jaccard, mixing, ordinal, packing, quality, rans, secret_scan, sharding
+from freshet.llm import html_text, jaccard, media, mixing, ordinal, packing, quality, rans, secret_scan, sharding
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
     "op2_ordinal_grades": ordinal.op2_ordinal_grades,
     "op3_repetition_rules": quality.op3_repetition_rules,
     "op4_rans_ids": rans.op4_rans_ids,
+    "op5_chunked_media": media.op5_chunked_media,
     "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
     "op7_secret_automaton": secret_scan.op7_secret_automaton,
     "op8_vector_packing": packing.op8_vector_packing,
