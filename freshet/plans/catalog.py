@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from freshet.plans import base, basins, events_and_networks  # noqa: F401  registration
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
