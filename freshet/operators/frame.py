@@ -31,7 +31,7 @@ def normalise_pet_sign(df: DataFrame, column: str, series: list[str]) -> DataFra
 
 def specific_discharge(q: Column, area_km2: Column) -> Column:
     """m3/s to mm/day over the area."""
-    return q * 86.4 / area_km2
+    return F.try_divide(q * 86.4, area_km2)
 
 
 def cubic_feet(q: Column) -> Column:

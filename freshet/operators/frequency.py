@@ -93,7 +93,7 @@ def empirical_pdf(peaks: DataFrame, key: str, value: str, bins: int = 5) -> Data
     """Share of values in equal bins between a key's extremes; the last bin is closed."""
     w = Window.partitionBy(key)
     low, high = F.min(value).over(w), F.max(value).over(w)
-    b = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / (high - low) * bins))
+    b = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(value) - low, high - low) * bins))
     n = F.count(F.lit(1)).over(w)
     return peaks.select(key, F.when(high > low, b).otherwise(0).cast("int").alias("bin"), n.alias("n")).groupBy(key, "bin").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
 

@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of pairs; NULL where a side has no spread (the built-in corr is an error there under ANSI rules)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def metric_columns(obs: str = "obs", sim: str = "sim") -> dict[str, Column]:
     """Aggregates over rows where both sides are valid; use them with `both_valid`."""
     o, s = F.col(obs), F.col(sim)
     mse = F.avg((s - o) ** 2)
     so, ss = F.stddev_pop(o), F.stddev_pop(s)
-    r, n = F.corr(o, s), F.count(F.lit(1))
-    kge = 1 - F.sqrt((r - 1) ** 2 + (ss / so - 1) ** 2 + (F.avg(s) / F.avg(o) - 1) ** 2)
+    r, n = correlation(o, s), F.count(F.lit(1))
+    beta = F.try_divide(F.avg(s), F.avg(o))
+    kge = 1 - F.sqrt((r - 1) ** 2 + (F.try_divide(ss, so) - 1) ** 2 + (beta - 1) ** 2)
     return {
         "n": n,
-        "nse": F.when(F.var_pop(o) > 0, 1 - mse / F.var_pop(o)),
+        "nse": 1 - F.try_divide(mse, F.var_pop(o)),
         "mse": mse,
         "rmse": F.sqrt(mse),
-        "alpha_nse": F.when(so > 0, ss / so),
-        "beta_nse": F.when(so > 0, (F.avg(s) - F.avg(o)) / so),
-        "beta_kge": F.avg(s) / F.avg(o),
-        "kge": F.when((n >= 2) & (so > 0) & (ss > 0), kge),
-        "pearson_r": F.when((n >= 2) & (so > 0) & (ss > 0), r),
+        "alpha_nse": F.try_divide(ss, so),
+        "beta_nse": F.try_divide(F.avg(s) - F.avg(o), so),
+        "beta_kge": beta,
+        "kge": F.when(n >= 2, kge),
+        "pearson_r": F.when(n >= 2, r),
     }
 
 
@@ -70,7 +76,7 @@ def duration_bias(df: DataFrame, key: str, obs: str = "obs", sim: str = "sim", h
     s_part, o_part = F.col("s_low") - F.col("k") * F.col("s_min"), F.col("o_low") - F.col("k") * F.col("o_min")
     slope_o, slope_s = F.col("o_a") - F.col("o_b"), F.col("s_a") - F.col("s_b")
     return out.select(
-        key, ((F.col("s_top") - F.col("o_top")) / F.col("o_top") * 100).alias("fhv"), (-100 * (s_part - o_part) / (o_part + eps)).alias("flv"), ((slope_s - slope_o) / (slope_o + eps) * 100).alias("fms"),
+        key, (F.try_divide(F.col("s_top") - F.col("o_top"), F.col("o_top")) * 100).alias("fhv"), (-100 * (s_part - o_part) / (o_part + eps)).alias("flv"), ((slope_s - slope_o) / (slope_o + eps) * 100).alias("fms"),
     )
 
 
@@ -83,8 +89,8 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str, by: list[st
     count = lambda c: F.count_if(c)
     aggregates = [
         count(both).alias("both_valid"), count(x.isNotNull() & y.isNull()).alias("only_a"), count(x.isNull() & y.isNotNull()).alias("only_b"),
-        F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(F.when(both, x), F.when(both, y)).alias("r"),
-        (F.var_pop(F.when(both, x)) / F.var_pop(F.when(both, y))).alias("variance_ratio"), F.avg(F.when(both, (F.abs(d) <= 1e-3).cast("double"))).alias("within_1e3"),
+        F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), correlation(F.when(both, x), F.when(both, y)).alias("r"),
+        F.try_divide(F.var_pop(F.when(both, x)), F.var_pop(F.when(both, y))).alias("variance_ratio"), F.avg(F.when(both, (F.abs(d) <= 1e-3).cast("double"))).alias("within_1e3"),
     ]
     return joined.groupBy(*by).agg(*aggregates)
 

@@ -17,7 +17,7 @@ def from_nan(column: str | Column) -> Column:
 
 def normalised_weights(cells: DataFrame, size: str, key: str = "basin") -> DataFrame:
     """Adds weight: a cell's share of its basin's sizes."""
-    return cells.withColumn("weight", F.col(size) / F.sum(size).over(Window.partitionBy(key)))
+    return cells.withColumn("weight", F.try_divide(F.col(size), F.sum(size).over(Window.partitionBy(key))))
 
 
 def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx")) -> DataFrame:
@@ -32,9 +32,9 @@ def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str
     sums = joined.groupBy("basin", *by).agg(
         F.sum(F.when(valid, F.col("weight") * F.col(value))).alias("_wx"), F.coalesce(F.sum(F.when(valid, F.col("weight"))), F.lit(0.0)).alias("_w")
     )
-    share = F.col("_w") / F.col("_whole")
+    share = F.try_divide(F.col("_w"), F.col("_whole"))
     return sums.join(whole, "basin").select(
-        "basin", *by, F.when(share >= COVERAGE - SLACK, F.col("_wx") / F.col("_w")).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction")
+        "basin", *by, F.when(share >= COVERAGE - SLACK, F.try_divide(F.col("_wx"), F.col("_w"))).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction")
     )
 
 
@@ -97,7 +97,7 @@ def daily_from_steps(df: DataFrame, key: list[str], step: str, state: str, accum
 def area_weighted_mean(df: DataFrame, key: str, weight: str, value: str, sentinel: float = -900) -> DataFrame:
     """Weighted mean of values above the sentinel."""
     good = df.where(F.col(value) > sentinel)
-    return good.groupBy(key).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"))
+    return good.groupBy(key).agg(F.try_divide(F.sum(F.col(weight) * F.col(value)), F.sum(weight)).alias("mean"))
 
 
 def weighted_majority(df: DataFrame, key: str, weight: str, label: str) -> DataFrame:
@@ -108,4 +108,4 @@ def weighted_majority(df: DataFrame, key: str, weight: str, label: str) -> DataF
 
 def coverage_fraction(df: DataFrame, key: str, used: Column, area: str) -> DataFrame:
     """Share of a basin's fragments' area that is used, and their whole area."""
-    return df.groupBy(key).agg((F.sum(F.when(used, F.col(area)).otherwise(0.0)) / F.sum(area)).alias("coverage"), F.sum(area).alias("area"))
+    return df.groupBy(key).agg(F.try_divide(F.sum(F.when(used, F.col(area)).otherwise(0.0)), F.sum(area)).alias("coverage"), F.sum(area).alias("area"))

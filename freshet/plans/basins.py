@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, skill, weather, zonal
+from freshet.operators import climate, frame, skill, weather, zonal
 from freshet.plans import base
 from freshet.plans.base import query
 
@@ -389,3 +389,24 @@ def wind(spark, d):
 def spread_confidence(spark, d):
     p = zonal.member_percentiles(base.ensemble(spark, d), ["basin", "date"])
     return p.select("basin", "date", weather.spread_confidence(F.col("p50"), F.col("p25"), F.col("p75")).alias("confidence"))
+
+
+@query("climate_indices", """WITH x AS (SELECT basin, date, q AS p, obs * 1.1 AS pet, month(date) - 5.0 AS temp FROM flow JOIN obs_sim USING (basin, date)), n AS (SELECT *, avg(p) OVER (PARTITION BY basin) AS pm FROM x),
+m AS (SELECT basin, month(date) AS m, avg(p) AS p, avg(pet) AS e, avg(temp) AS t FROM x GROUP BY 1, 2), i AS (SELECT *, CASE WHEN p > e THEN 1 - e / p WHEN p < e THEN p / e - 1 ELSE 0 END AS i FROM m),
+y AS (SELECT basin, avg(i) AS mi, max(i) - min(i) AS se, sum(CASE WHEN t <= 0 THEN p ELSE 0 END) / sum(p) AS sn FROM i GROUP BY 1),
+k AS (SELECT basin, date, 'high' AS kind, p >= 5 * pm AS o FROM n UNION ALL SELECT basin, date, 'low', p < 1 FROM n),
+g AS (SELECT *, row_number() OVER (PARTITION BY basin, kind ORDER BY date) - row_number() OVER (PARTITION BY basin, kind, o ORDER BY date) AS g FROM k), r AS (SELECT basin, kind, g, count(*) AS n FROM g WHERE o GROUP BY 1, 2, 3),
+f AS (SELECT basin, kind, sum(n) AS s, avg(n) AS dur FROM r GROUP BY 1, 2), w AS (SELECT basin, avg(p) AS pm, avg(pet) AS em, count(p) AS days FROM x GROUP BY 1)
+SELECT basin, round(pm, 4) AS p_mean, round(em, 4) AS pet_mean, round(em / pm, 4) AS aridity, round(mi, 4) AS moisture_index, round(se, 4) AS seasonality, round(sn, 4) AS frac_snow,
+round(coalesce(h.s / days, 0), 4) AS high_freq, round(coalesce(h.dur, 0), 4) AS high_dur, round(coalesce(l.s / days, 0), 4) AS low_freq, round(coalesce(l.dur, 0), 4) AS low_dur
+FROM w JOIN y USING (basin) LEFT JOIN (SELECT * FROM f WHERE kind = 'high') h USING (basin) LEFT JOIN (SELECT * FROM f WHERE kind = 'low') l USING (basin)""", "flow obs_sim")
+def climate_indices(spark, d):
+    x = base.flow(spark, d).join(base.obs_sim(spark, d), ["basin", "date"]).select("basin", "date", F.col("q").alias("p"), (F.col("obs") * 1.1).alias("pet"), (F.month("date") - 5.0).alias("temp"))
+    return climate.climate_indices(x)
+
+
+@query("daily_lead_mean", """WITH s AS (SELECT basin, date, lead * 12 AS h, obs AS v FROM forecast), t AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY basin, date ORDER BY h), 0) AS a FROM s),
+u AS (SELECT *, h - a AS d, (a // 24 + 1)::INT AS lead_day FROM t) SELECT basin, date, lead_day, round(sum(v * d) / 24, 6) AS v FROM u GROUP BY 1, 2, 3 HAVING bool_and(ceil(h / 24) = lead_day) AND sum(d) = 24""", "forecast")
+def daily_lead_mean(spark, d):
+    s = base.forecast(spark, d).select("basin", "date", (F.col("lead") * 12).alias("h"), F.col("obs").alias("v"))
+    return climate.daily_lead_aggregate(s, ["basin", "date"], "h", "v").withColumn("v", R("v"))
