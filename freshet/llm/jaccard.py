@@ -38,7 +38,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     Fewer than n words are one shingle; no words or None give an empty set.
     """
     words = [t.encode().lower().split() if t else [] for t in texts]
-    fresh = {w for own in words for w in own} - _words.keys()
+    fresh = {w for own in words for w in own if w not in _words}
     if len(_words) + len(fresh) > REMEMBERED:
         _words.clear()
         fresh = {w for own in words for w in own}

@@ -4,63 +4,162 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
+
+import numpy as np
 
 END_ID = 2
-#: Pieces kept in a worker's memory; beyond it the memory starts afresh.
-REMEMBERED = 1_200_000
+#: Pieces in each of a worker's two generations of memory; when the newer is full, the older goes.
+REMEMBERED = 800_000
 #: Longer pieces aren't remembered.
 PIECE_CHARS = 48
+#: Pieces that are encoded as one text.
+JOINED = 300
+#: After a letter or digit these always begin another token.
+_PUNCTUATION = ".,;:!?#$%&*|"
 #: A space after another space character could be part of a token with it; such texts are encoded whole.
-_UNSAFE = re.compile("[\\s᠎﻿​] ")
-_LOADED: dict[str, tuple] = {}
+_UNSAFE = re.compile("[\\s\u180e\ufeff\u200b] |\0")
+_UNSAFE_ASCII = tuple(f"{c} " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f") + ("\0",)
 
 
-def loaded(path: str):
-    """The tokenizer of a file and this worker's memory of pieces."""
-    if path not in _LOADED:
+def _unsafe(text: str) -> bool:
+    if text.isascii():
+        return any(x in text for x in _UNSAFE_ASCII)
+    return _UNSAFE.search(text) is not None
+
+
+def _latin(text: str) -> bool:
+    """Whether all letters have a lower case of one character, the same for Python and the tokenizers."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Memory:
+    """A tokenizer and the ids of pieces that this worker has met."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.any_case = self.whole("A b") == self.whole("a B")
+        # Tokens that begin a word after a space, or else those that end a word.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        end = self.tokenizer.model.end_of_word_suffix
+        self.marks = np.zeros(max(names.values()) + 1, bool)
+        self.marks[[i for x, i in names.items() if (x.endswith(end) if end else x[0] == "\u0120")]] = True
+        self.marks_end = bool(end)
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't in the newer generation."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        older, known = self.older.get, self.known
+        found: dict[str, bytes] = {}
+        parts: list[tuple[str, str, str]] = []
+        todo: set[str] = set()
+        for piece in pieces:
+            ids = older(piece)
+            if ids is not None:
+                found[piece] = ids
+                continue
+            stem = piece.rstrip(_PUNCTUATION)
+            if stem == piece or not stem or not stem[-1].lower()[-1].isalnum():
+                todo.add(piece)
+                continue
+            tail = piece[len(stem) :]
+            parts.append((piece, stem, tail))
+            for x in (stem, tail):
+                if x not in known and x not in found and x not in todo:
+                    ids = older(x)
+                    if ids is None:
+                        todo.add(x)
+                    else:
+                        found[x] = ids
+        self.encode(todo, found)
+        for piece, stem, tail in parts:
+            found[piece] = (found[stem] if stem in found else known[stem]) + (found[tail] if tail in found else known[tail])
+        known.update(x for x in found.items() if len(x[0]) <= PIECE_CHARS)
+        return found
+
+    def encode(self, todo: set[str], found: dict[str, bytes]) -> None:
+        """Words of letters after a space are encoded many at a time, as one text, and told apart by their first or last tokens."""
+        words, rest = [], []
+        for x in todo:
+            (words if x[0] == " " and x[1:].isalpha() and x.lower()[1:].isalpha() and len(x) < 100 else rest).append(x)
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for i in range(0, len(groups), 16):
+            own = groups[i : i + 16]
+            for group, e in zip(own, self.tokenizer.encode_batch_fast(["".join(g) for g in own], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.marks[ids])
+                if len(at) != len(group):
+                    rest += group
+                    continue
+                cuts = [0, *((at + 1) * 4).tolist()] if self.marks_end else [*(at * 4).tolist(), 4 * len(ids)]
+                data = ids.tobytes()
+                for k, x in enumerate(group):
+                    found[x] = data[cuts[k] : cuts[k + 1]]
+        for i in range(0, len(rest), 5000):
+            own = rest[i : i + 5000]
+            for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+                found[x] = _packed(e.ids)
+
+
+_LOADED: dict[str, Memory] = {}
+
+
+def loaded(path: str) -> Memory:
+    if path not in _LOADED:
+        _LOADED[path] = Memory(path)
     return _LOADED[path]
 
 
-def _packed(encoding) -> bytes:
-    return array("I", encoding.ids).tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def encoded(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; None counts as empty.
 
     Both public tokenizers split a text before each single space that follows no space, so the ids of a text are
-    those of its pieces. Pieces that this worker hasn't met go to the library in one call.
+    those of its pieces, which the library encodes and this worker remembers.
     """
-    tokenizer, known = loaded(path)
-    pieces: list[list[str] | None] = []
-    fresh: set[str] = set()
+    memory = loaded(path)
+    get = memory.known.get
+    out: list = []
+    missing: set[str] = set()
     for text in texts:
-        if not text or _UNSAFE.search(text):
-            pieces.append(None)
+        if not text or _unsafe(text):
+            out.append(memory.whole(text) if text else b"")
             continue
-        own = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        pieces.append(own)
-        if own:
-            fresh.update(own)
-    fresh -= known.keys()
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = {p for own in pieces if own for p in own}
-    new = sorted(fresh)
-    long_ones = {}
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for piece, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            (known if len(piece) <= PIECE_CHARS else long_ones)[piece] = _packed(e)
-    find = known.__getitem__ if not long_ones else lambda p: known[p] if p in known else long_ones[p]
-    return [
-        b"".join(map(find, own)) if own else _packed(tokenizer.encode(text, add_special_tokens=False)) if text else b""
-        for text, own in zip(texts, pieces)
-    ]
+        if memory.any_case and _latin(text):
+            text = text.lower()
+        own = text.replace(" ", "\0 ").split("\0")
+        ids = list(map(get, own))
+        if None in ids:
+            if not own[0]:
+                own, ids = own[1:], ids[1:]
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing.update([own[i] for i in gaps])
+            out.append((own, ids, gaps))
+        else:
+            out.append(b"".join(ids))
+    if missing:
+        found = memory.learn(missing)
+        for k, x in enumerate(out):
+            if type(x) is tuple:
+                own, ids, gaps = x
+                for i in gaps:
+                    ids[i] = found[own[i]]
+                out[k] = b"".join(ids)
+    return out
 
 
 def batches(texts: list, chars: int = 4_000_000):
