@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, frequency, network
+from freshet.operators import frame, frequency, mixture, network, peaks
 from freshet.plans import base
 from freshet.plans.base import query
 
@@ -198,3 +198,33 @@ def residual_nudge(spark, d):
     m = b.where(F.col("sim").isNotNull() & (F.col("date") > F.date_sub("anchor", 30))).groupBy("basin").agg(F.avg(F.col("obs") - F.col("sim")).alias("r"))
     ahead = m.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("k", F.col("k").cast("bigint"))
     return ahead.select("basin", "k", R(frame.at_least(100 + 0.8 * F.col("r") * F.pow(F.lit(0.9), F.col("k")), 0.0)).alias("nudged"))
+
+
+@query("peak_metrics")
+def peak_metrics(spark, d):
+    return peaks.peak_metrics(base.obs_sim(spark, d), "basin", "date")
+
+
+@query("mixture_summary", """SELECT s_suppkey, round(0.7 * (mu + 2.0 * (1 - 2 * 0.3) / (0.3 * 0.7)) + 0.3 * (mu + 5 + 1.0 * (1 - 2 * 0.6) / (0.6 * 0.4)), 6) AS mean FROM (SELECT s_suppkey, s_suppkey % 50 * 1.0 AS mu FROM supplier)""")
+def mixture_mean(spark, d):
+    return _mixtures(spark, d).select("s_suppkey", R(mixture.mixture_mean(F.col("c"))).alias("mean"))
+
+
+@query("mixture_quantiles")
+def mixture_quantiles(spark, d):
+    return _mixtures(spark, d).select("s_suppkey", *[R(mixture.mixture_quantile(F.col("c"), q / 10)).alias(f"q{q}0") for q in range(1, 10)])
+
+
+def _mixtures(spark, d):
+    mu = F.col("s_suppkey") % 50 * 1.0
+    part = lambda m, b, tau, pi: F.struct(m.alias("mu"), F.lit(b).alias("b"), F.lit(tau).alias("tau"), F.lit(pi).alias("pi"))
+    return base.read(spark, d, "supplier").select("s_suppkey", F.array(part(mu, 2.0, 0.3, 0.7), part(mu + 5, 1.0, 0.6, 0.3)).alias("c"))
+
+
+@query("cell_weights")
+def cell_weights(spark, d):
+    """Boxes of 7 by 4 degrees around the points, on a grid of 5 degrees."""
+    p = base.points(spark, d).where("abs(lat) < 80 AND abs(lon) < 170")
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+    rings = p.select(F.col("point_id").alias("basin"), F.lit(False).alias("is_hole"), F.array(corner(-3.5, -2.0), corner(3.5, -2.0), corner(3.5, 2.0), corner(-3.5, 2.0)).alias("pts"))
+    return peaks.cell_weights(rings, 5.0).withColumn("weight", R("weight", 9))

@@ -3,10 +3,11 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, frequency, network, skill, weather, zonal
+from freshet.operators import frame, frequency, mixture, network, peaks, skill, weather, zonal
 
 
 def days(values, key=1, start=dt.date(2020, 1, 1)):
@@ -95,3 +96,35 @@ def test_clip_and_transform_keep_missing(spark):
 def test_d8_edges(spark):
     got = network.d8_edges(spark.createDataFrame([(0, 0, 1), (0, 1, 4), (1, 1, 0)], "row int, col int, code int")).collect()
     assert [(r["down_row"], r["down_col"]) for r in got] == [(0, 1), (1, 1), (None, None)]
+
+
+def test_peaks(spark):
+    assert peaks.find_peaks(np.array([0, 1, 1, 1, 0, 3, 0, 2.0])).tolist() == [2, 5]
+    assert peaks.find_peaks(np.array([0, 2, 0, 3, 0, 1, 0.0]), distance=3).tolist() == [3]
+    assert peaks.prominences(np.array([0, 2, 1, 3, 0.0]), np.array([1, 3])).tolist() == [1, 3]
+    obs, sim = np.zeros(500), np.zeros(500)
+    obs[[100, 250, 400]] = 10.0
+    sim[[101, 250, 398]] = 10.0
+    rows = [(1, d, o, s) for (_, d, o), (_, _, s) in zip(days(obs), days(sim))]
+    flat = [(2, d, o, 0.0) for _, d, o, _ in rows] + [(3, rows[0][1], 1.0, None)]
+    got = {r["k"]: r for r in peaks.peak_metrics(spark.createDataFrame(rows + flat, "k int, t date, obs double, sim double"), "k", "t").collect()}
+    assert got[1]["peak_timing"] == 1.0 and got[1]["missed_peaks"] == pytest.approx(1 / 3)
+    assert got[2]["missed_peaks"] == 1.0 and got[2]["peak_mape"] == 100.0 and 3 not in got
+
+
+def test_cell_weights(spark):
+    square = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    rows = [("box", False, square(0.0, 0.0, 2.0, 1.0)), ("ring", False, square(0.0, 0.0, 3.0, 1.0)), ("ring", True, square(1.0, 0.0, 2.0, 1.0)), ("dot", False, square(0.5, 0.5, 0.5, 0.5))]
+    rings = spark.createDataFrame(rows, "basin string, is_hole boolean, pts array<struct<lon: double, lat: double>>")
+    got = {(r["basin"], r["lat_idx"], r["lon_idx"]): round(r["weight"], 9) for r in peaks.cell_weights(rings, 1.0).collect()}
+    assert got == {("box", 90, 180): 0.5, ("box", 90, 181): 0.5, ("ring", 90, 180): 0.5, ("ring", 90, 182): 0.5, ("dot", 90, 180): 1.0}
+
+
+def test_mixture_quantiles_invert_the_distribution(spark):
+    df = spark.createDataFrame([([(20.0, 2.0, 0.3, 0.6), (20.5, 1.0, 0.5, 0.4)],)], "c array<struct<mu: double, b: double, tau: double, pi: double>>")
+    c = F.col("c")
+    assert df.select(mixture.mixture_cdf(c, F.lit(1e3))).first()[0] == pytest.approx(1)
+    single = spark.createDataFrame([([(10.0, 2.0, 0.4, 1.0)],)], "c array<struct<mu: double, b: double, tau: double, pi: double>>")
+    q = single.select(mixture.component_quantile(c[0], 0.7).alias("q"), mixture.mixture_mean(c).alias("m"))
+    assert single.select(mixture.mixture_cdf(c, F.lit(q.first()["q"]))).first()[0] == pytest.approx(0.7)
+    assert q.first()["m"] == pytest.approx(10 + 2 * 0.2 / 0.24)
