@@ -63,14 +63,15 @@ def rates(df: DataFrame, group: str, weights: dict[str, float], total: float | N
 
 
 def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float], total: float | None = None, seed: str = SEED) -> DataFrame:
-    """df with each row repeated by its Poisson count; adds rate and replica (from 0).
+    """df with each row repeated by its Poisson count; adds rate and replica (from 0), in place of columns of those names.
 
     The count depends on seed and key alone. Only groups with a weight have rows in the mix, so what is
     broadcast is a row for each weight, a parameter, and not a row for each group of the data.
     """
-    wanted = rates(df, group, weights, total).where(F.col(group).isin(list(weights))).select(group, "rate")
-    counted = df.join(F.broadcast(wanted), group).select(*df.columns, "rate").withColumn("_n", poisson_count(F.col(key), F.col("rate"), seed))
-    return counted.where("_n > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    wanted = rates(df, group, weights, total).where(F.col(group).isin(list(weights))).select(group, F.col("rate").alias("_rate"))
+    kept = [c for c in df.columns if c not in ("rate", "replica")]
+    counted = df.select(*kept).join(F.broadcast(wanted), group).select(*kept, "_rate").withColumn("_n", poisson_count(F.col(key), F.col("_rate"), seed))
+    return counted.where("_n > 0").select(*kept, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
 
 
 def shuffled(df: DataFrame, key: str, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
