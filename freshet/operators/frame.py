@@ -214,3 +214,22 @@ def scaled(df: DataFrame, scaler: DataFrame, features: list[str], key: list[str]
     long = df.unpivot(key, features, "feature", "v")
     std = F.when(F.col("std") > 0, F.col("std")).otherwise(F.raise_error(F.lit("a feature has no spread")).cast("double"))
     return long.join(F.broadcast(scaler.select("feature", "mean", std.alias("std"))), "feature").select(*key, "feature", ((F.col("v") - F.col("mean")) / F.col("std")).alias("z"))  # a row for each named feature
+
+
+def severity_trend(df: DataFrame, key: str, t: str, value: str, band: float = 0.05) -> DataFrame:
+    """Peak and trend of a forecast: rising or falling if the mean of the last third leaves that of the first by over 5 %."""
+    w = Window.partitionBy(key)
+    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(t))
+    third = F.greatest(F.lit(1), F.floor(n / 3))
+    marked = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), (i <= third).alias("_head"), (i > n - third).alias("_tail"))
+    out = marked.groupBy(key).agg(F.max("_v").alias("peak"), F.avg(F.when(F.col("_head"), F.col("_v"))).alias("head"), F.avg(F.when(F.col("_tail"), F.col("_v"))).alias("tail"))
+    trend = F.when(F.col("tail") > F.col("head") * (1 + band), "rising").when(F.col("tail") < F.col("head") * (1 - band), "falling").otherwise("steady")
+    return out.select(key, "peak", trend.alias("trend"))
+
+
+def rebin_rates(df: DataFrame, keys: list[str], begin: str, end: str, rate: str, width: int) -> DataFrame:
+    """Interval-mean rates to intervals of `width`; only those that the given intervals cover wholly."""
+    bins = df.where(F.col(rate).isNotNull()).withColumn("_k", F.explode(F.sequence(F.floor(F.col(begin) / width), F.ceil(F.col(end) / width) - 1)))
+    inside = F.least(F.col(end), (F.col("_k") + 1) * width) - F.greatest(F.col(begin), F.col("_k") * width)
+    out = bins.groupBy(*keys, "_k").agg(F.sum(inside).alias("_h"), (F.sum(inside * F.col(rate)) / width).alias(rate))
+    return out.where(F.col("_h") == width).select(*keys, (F.col("_k") * width).alias(begin), rate)

@@ -93,3 +93,33 @@ def row_spans(cells: DataFrame, key: str = "basin") -> DataFrame:
     w = Window.partitionBy(key, "row").orderBy("col")
     runs = cells.select(key, "row", "col").distinct().withColumn("_g", F.col("col") - F.row_number().over(w))
     return runs.groupBy(key, "row", "_g").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("_g")
+
+
+def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring (array of struct lon, lat) by the number of edges that a ray to the east meets."""
+    n = F.size(ring)
+
+    def meets(i):
+        a, b = F.element_at(ring, i + 1), F.element_at(ring, F.pmod(i + 1, n) + 1)
+        at = a["lon"] + F.try_divide((lat - a["lat"]) * (b["lon"] - a["lon"]), b["lat"] - a["lat"])
+        return F.when(((a["lat"] > lat) != (b["lat"] > lat)) & (lon < at), 1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + meets(i)) % 2 == 1
+
+
+def locate_units(points: DataFrame, units: DataFrame, cell_degrees: float = 5.0) -> DataFrame:
+    """(point_id, unit_id) of the units that hold each point: units go to the cells of their box, then an exact test."""
+    at = lambda c, base: F.floor((c + base) / cell_degrees).cast("int")
+    lat, lon = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
+    placed = units.withColumn("_r", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("_c", F.explode(F.sequence(at(F.array_min(lon), 180), at(F.array_max(lon), 180))))
+    found = points.withColumn("_r", at(F.col("lat"), 90)).withColumn("_c", at(F.col("lon"), 180)).join(placed, ["_r", "_c"])
+    return found.where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("point_id", "unit_id")
+
+
+def point_segment_km(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance to a short segment: projection clamped to its ends, longitudes shortened by the cosine of the latitude."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (lon2 - lon1) * k, lat2 - lat1
+    px, py = (lon - lon1) * k, lat - lat1
+    f = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(px * dx + py * dy, dx * dx + dy * dy))), F.lit(0.0))
+    return F.sqrt((px - f * dx) ** 2 + (py - f * dy) ** 2) * 111.195

@@ -100,3 +100,29 @@ def quantile_coverage(df: DataFrame, by: list[str], obs: str, sample: str, keys:
     shares = [x for b in bands for x in ((1 - b) / 2, (1 + b) / 2)]
     q = df.groupBy(*keys).agg(F.first(obs).alias("o"), F.percentile(sample, F.array(*[F.lit(s) for s in shares])).alias("q"))
     return q.groupBy(*by).agg(*[F.avg(F.col("o").between(F.col("q")[2 * i], F.col("q")[2 * i + 1]).cast("double")).alias(f"within_{int(b * 100)}") for i, b in enumerate(bands)])
+
+
+def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Spearman's coefficient: Pearson's r of ranks, ties with their mean rank."""
+    valid = both_valid(df, x, y)
+
+    def mean_rank(c: str) -> Column:
+        first = F.rank().over(Window.partitionBy(*by).orderBy(c))
+        return first + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+
+    ranked = valid.select(*by, mean_rank(x).alias("_x"), mean_rank(y).alias("_y"))
+    return ranked.groupBy(*by).agg(correlation(F.col("_x"), F.col("_y")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+def penalised(table: DataFrame, cohort: DataFrame, key: str, column: str, penalty: float) -> DataFrame:
+    """A score for every member of the cohort: the penalty where there is none."""
+    return cohort.select(key).distinct().join(table.select(key, column), key, "left").withColumn(column, F.coalesce(column, F.lit(penalty)))
+
+
+def masked_losses(df: DataFrame, by: list[str], spread: DataFrame, key: str, obs: str = "obs", sim: str = "sim") -> DataFrame:
+    """Half mean squared error, root over sqrt 2, and squared error weighted by 1 / (sigma + 0.1)^2 of the basin, over valid rows."""
+    d = F.col(sim) - F.col(obs)
+    valid = both_valid(df, obs, sim).join(spread.select(key, "std"), key)
+    return valid.groupBy(*by).agg(
+        (F.avg(d * d) / 2).alias("mse_loss"), (F.sqrt(F.avg(d * d)) / F.sqrt(F.lit(2.0))).alias("rmse_loss"), F.avg(d * d / (F.col("std") + 0.1) ** 2).alias("nse_loss")
+    )
