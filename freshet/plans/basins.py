@@ -201,16 +201,15 @@ def basin_selection(spark, d):
     return s.join(wanted, "s_nationkey", "left_semi").join(bad, "s_suppkey", "left_anti")
 
 
-@query("except_dates", "SELECT DISTINCT date FROM flow WHERE basin = 1 EXCEPT SELECT date FROM flow WHERE basin = 2", "flow")
+@query("except_dates", """SELECT basin, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM flow GROUP BY 1 EXCEPT SELECT basin, date FROM flow""", "flow")
 def except_dates(spark, d):
-    f = base.flow(spark, d)
-    return f.where("basin = 1").select("date").subtract(f.where("basin = 2").select("date"))
+    f = base.flow(spark, d).select("basin", "date")
+    return frame.densify_daily(f, "basin", "date").select("basin", "date").subtract(f)
 
 
-@query("intersect_basins", "SELECT date FROM flow WHERE basin = 1 INTERSECT SELECT date FROM flow WHERE basin = 2", "flow")
+@query("intersect_basins", "SELECT basin, date FROM flow INTERSECT SELECT basin, date FROM obs_sim WHERE sim IS NOT NULL", "flow obs_sim")
 def intersect_basins(spark, d):
-    f = base.flow(spark, d)
-    return f.where("basin = 1").select("date").intersect(f.where("basin = 2").select("date"))
+    return base.flow(spark, d).select("basin", "date").intersect(base.obs_sim(spark, d).where("sim IS NOT NULL").select("basin", "date"))
 
 
 @query("dedupe_max_area", "SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1")
@@ -252,9 +251,9 @@ def window_peak(spark, d):
     return frame.window_peak(base.flow(spark, d), "basin", "date", "q", "2000-06-01")
 
 
-@query("last_valid_date", """SELECT max(date) AS last_valid FROM (SELECT date, count(DISTINCT basin) AS n FROM obs_sim WHERE sim IS NOT NULL AND basin < 4 GROUP BY 1) WHERE n = (SELECT count(DISTINCT basin) FROM flow WHERE basin < 4)""", "obs_sim flow")
+@query("last_valid_date", """SELECT max(date) AS last_valid FROM (SELECT date, count(DISTINCT basin) AS n FROM obs_sim WHERE sim IS NOT NULL GROUP BY 1) WHERE n = (SELECT count(DISTINCT basin) FROM flow)""", "obs_sim flow")
 def last_valid_date(spark, d):
-    return frame.last_valid_date(base.obs_sim(spark, d).where("basin < 4"), "basin", "date", "sim")
+    return frame.last_valid_date(base.obs_sim(spark, d), "basin", "date", "sim")
 
 
 @query("product_latency", "SELECT basin, max(CASE WHEN sim IS NOT NULL THEN date END) AS last_valid, date_diff('day', max(CASE WHEN sim IS NOT NULL THEN date END), DATE '2001-12-31')::INT AS missing_days FROM obs_sim GROUP BY 1", "obs_sim")

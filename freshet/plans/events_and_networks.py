@@ -148,11 +148,11 @@ def chain_heads(spark, d):
 _HAV = "2 * 6371.0088 * asin(least(1.0, sqrt(sin(radians(g.lat - p.lat) / 2)^2 + cos(radians(p.lat)) * cos(radians(g.lat)) * sin(radians(g.lon - p.lon) / 2)^2)))"
 
 
-@query("nearest_gauge", f"SELECT point_id, arg_min(gauge_id, (km, gauge_id)) AS gauge_id, min(km) AS km FROM (SELECT p.point_id, g.point_id AS gauge_id, round({_HAV}, 9) AS km FROM (SELECT * FROM points WHERE point_id % 3 <> 0) p, (SELECT * FROM points WHERE point_id % 3 = 0) g WHERE {_HAV} <= 400) GROUP BY 1", "points")
+@query("nearest_gauge", f"SELECT point_id, arg_min(gauge_id, (km, gauge_id)) AS gauge_id, min(km) AS km FROM (SELECT p.point_id, g.gauge_id, round({_HAV}, 9) AS km FROM points p, (SELECT s_suppkey AS gauge_id, (s_suppkey * 53 % 1700) / 10.0::DOUBLE - 85 AS lat, (s_suppkey * 71 % 3600) / 10.0::DOUBLE - 180 AS lon FROM supplier) g WHERE {_HAV} <= 900) GROUP BY 1", "points")
 def nearest_gauge(spark, d):
-    p = base.points(spark, d)
-    gauges = p.where("point_id % 3 = 0").select(F.col("point_id").alias("gauge_id"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    return network.nearest(p.where("point_id % 3 <> 0"), gauges, 400.0)
+    k = F.col("s_suppkey")
+    gauges = base.read(spark, d, "supplier").select(k.alias("gauge_id"), (k * 53 % 1700 / 10.0 - 85).alias("g_lat"), (k * 71 % 3600 / 10.0 - 180).alias("g_lon"))
+    return network.nearest(base.points(spark, d), gauges, 900.0)
 
 
 @query("row_spans", "SELECT basin, lat_idx AS row, min(lon_idx) AS first, max(lon_idx) AS last FROM (SELECT basin, lat_idx, lon_idx, lon_idx - row_number() OVER (PARTITION BY basin, lat_idx ORDER BY lon_idx) AS g FROM weights) GROUP BY basin, lat_idx, g", "weights")
@@ -166,11 +166,11 @@ def provider_json(spark, d):
     return base.read(spark, d, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k")).where("k IS NOT NULL")
 
 
-@query("unpivot_leads", "SELECT basin, date, lead, sum(obs) AS value FROM forecast WHERE lead <= 3 GROUP BY ALL", "forecast")
+@query("unpivot_leads", "SELECT basin, date, lead, sum(obs) AS value FROM forecast GROUP BY ALL", "forecast")
 def unpivot_leads(spark, d):
-    wide = base.forecast(spark, d).groupBy("basin", "date").pivot("lead", [1, 2, 3]).agg(F.sum("obs"))
-    wide = wide.select("basin", "date", *[F.col(f"`{k}`").alias(f"lead_{k}") for k in (1, 2, 3)])
-    long = wide.unpivot(["basin", "date"], ["lead_1", "lead_2", "lead_3"], "name", "value").where("value IS NOT NULL")
+    wide = base.forecast(spark, d).groupBy("basin", "date").pivot("lead", list(range(1, 8))).agg(F.sum("obs"))
+    wide = wide.select("basin", "date", *[F.col(f"`{k}`").alias(f"lead_{k}") for k in range(1, 8)])
+    long = wide.unpivot(["basin", "date"], [f"lead_{k}" for k in range(1, 8)], "name", "value").where("value IS NOT NULL")
     return long.select("basin", "date", F.regexp_extract("name", r"(\d+)$", 1).cast("int").alias("lead"), "value")
 
 

@@ -19,11 +19,11 @@ def rank_correlation(spark, d):
     return skill.rank_correlation(base.obs_sim(spark, d), ["basin"], "obs", "sim").withColumn("spearman", R("spearman"))
 
 
-@query("penalised_scores", """WITH s AS (SELECT basin, round(1 - avg((sim - obs)^2) / var_pop(obs), 6) AS nse FROM obs_sim WHERE sim IS NOT NULL AND basin % 4 <> 0 GROUP BY 1)
+@query("penalised_scores", """WITH s AS (SELECT basin, round(1 - avg((sim - obs)^2) / var_pop(obs), 6) AS nse FROM obs_sim WHERE sim IS NOT NULL GROUP BY 1)
 SELECT basin, coalesce(nse, -1e9) AS nse FROM (SELECT DISTINCT basin FROM obs_sim) LEFT JOIN s USING (basin)""", "obs_sim")
 def penalised_scores(spark, d):
     f = base.obs_sim(spark, d)
-    return skill.penalised(skill.skill(f.where("basin % 4 <> 0"), ["basin"], ["nse"]).withColumn("nse", R("nse")), f, "basin", "nse", -1e9)
+    return skill.penalised(skill.skill(f, ["basin"], ["nse"]).withColumn("nse", R("nse")), f, "basin", "nse", -1e9)
 
 
 @query("masked_losses", """WITH s AS (SELECT basin, stddev_pop(q) AS std FROM flow GROUP BY 1)
@@ -75,11 +75,11 @@ def return_period_levels(spark, d):
     return out.withColumn("flow", R("flow"))
 
 
-@query("locate_units", """SELECT p.point_id, u.point_id AS unit_id FROM points p, points u WHERE u.point_id % 25 = 0 AND abs(u.lat) < 80 AND abs(u.lon) < 170 AND abs(p.lat - u.lat) + abs(p.lon - u.lon) < 7.05""", "points")
+@query("locate_units", """SELECT p.point_id, u.point_id AS unit_id FROM points p, points u WHERE abs(u.lat) < 80 AND abs(u.lon) < 170 AND abs(p.lat - u.lat) + abs(p.lon - u.lon) < 7.05""", "points")
 def locate_units(spark, d):
-    """Points in diamonds of 7.05 degrees around some of them; coordinates have one decimal, so none lies on an edge."""
+    """Points in diamonds of 7.05 degrees around all that are away from the map's edges; coordinates have one decimal, so none lies on an edge."""
     p = base.points(spark, d)
     corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
     ring = F.array(corner(-7.05, 0.0), corner(0.0, -7.05), corner(7.05, 0.0), corner(0.0, 7.05))
-    units = p.where("point_id % 25 = 0 AND abs(lat) < 80 AND abs(lon) < 170").select(F.col("point_id").alias("unit_id"), ring.alias("ring"))
+    units = p.where("abs(lat) < 80 AND abs(lon) < 170").select(F.col("point_id").alias("unit_id"), ring.alias("ring"))
     return network.locate_units(p, units)
