@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import climate, frame, skill, weather, zonal
+from freshet.functions import weather
+from freshet.operators import climate, frame, skill, zonal
 from freshet.plans import base
 from freshet.plans.base import query
 

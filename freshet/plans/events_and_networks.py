@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, frequency, mixture, network, peaks
+from freshet.functions import mixture
+from freshet.operators import frame, frequency, network, peaks
 from freshet.plans import base
 from freshet.plans.base import query
 

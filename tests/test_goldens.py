@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, frequency, mixture, network, peaks, skill, weather, zonal
+from freshet.functions import mixture, weather
+from freshet.operators import frame, frequency, network, peaks, skill, zonal
 
 
 def days(values, key=1, start=dt.date(2020, 1, 1)):
