@@ -40,6 +40,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in what goes to Python at once: documents can be long, and workers keep what they once took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it and don't depend on the executors that made it."""
     path = scratch(df.sparkSession, label)

@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BROADCAST_ROWS, fields, table, written
+from freshet.llm.common import BROADCAST_ROWS, fields, small_batches, table, written
 from freshet.llm.tokens import batches
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Sets of a block in which all pairs are compared by one task.
 BLOCK = 96
 #: Cells of the histograms whose distance bounds that of two sets from below.
@@ -135,21 +135,30 @@ def _key(s: np.ndarray) -> int:
 def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in rows:
         doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in batches(texts):
+        for a, b in batches(texts, 1_500_000):
             yield doc_ids[a:b], shingle_sets(texts[a:b], n)
+    _words.clear()  # the worker lives on
+    pa.default_memory_pool().release_unused()
+
+
+def histogram(s: np.ndarray) -> np.ndarray:
+    """How many elements fall into each of CELLS cells, 255 at most; two sets differ in at least as many as their histograms."""
+    return np.minimum(np.bincount((_mix(s, 0xBEEF) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
 
 
 def keyed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of each row; node is the hash of the set, null if it is empty."""
+    """(doc_id, n_shingles, node, cells) of each row; node is the hash of the set, null if it is empty, cells its histogram."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, sets in _sets(rows, n):
+            cells = [histogram(s).tobytes() if len(s) else None for s in sets]
+            nodes = [_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "cells"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields("doc_id long, n_shingles long, node long"))
+    return docs.select("doc_id", "text").mapInArrow(run, fields("doc_id long, n_shingles long, node long, cells binary"))
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -216,18 +225,81 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, root long") if out is None else written(out, "roots")
 
 
+def _alike(size: np.ndarray, cells: np.ndarray, percent: int, i: int, rest: np.ndarray) -> np.ndarray:
+    """Those of rest whose sizes and histograms let them be similar to i."""
+    rest = rest[np.minimum(size[rest], size[i]) * 100 >= percent * np.maximum(size[rest], size[i])]
+    return rest[np.abs(cells[rest] - cells[i]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (size[rest] + size[i]) * (100 - percent)]
+
+
+def _possible(percent: int):
+    """Pairs (hub, node) whose sizes and histograms let them be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x_size", "y_size"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x_cells", "y_cells"))
+            good = np.minimum(x, y) * 100 >= percent * np.maximum(x, y)
+            good &= np.abs(p - q).sum(axis=1, dtype=np.int64) * (100 + percent) <= (x + y) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("hub", "node")], names=["hub", "node"])
+
+    return run
+
+
+def _open_units(percent: int):
+    """Of sorted rows of units, the nodes that could be similar to one of another root in the same unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            hub, a, b, node, root, size = (table.column(c).to_numpy() for c in ("hub", "a", "b", "node", "root", "size"))
+            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            new = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            keep = np.zeros(len(hub), bool)
+            for first, last in zip(new.tolist(), [*new[1:].tolist(), len(hub)]):
+                if (root[first:last] == root[first]).all():
+                    continue
+                for i in range(first, last - 1):
+                    rest = np.arange(i + 1, last)
+                    rest = _alike(size, cells, percent, i, rest[root[rest] != root[i]])
+                    if len(rest):
+                        keep[i] = True
+                        keep[rest] = True
+            if keep.any():
+                columns = [pa.array(x[keep]) for x in (hub, a, b, node, root)]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "a", "b", "node", "root"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows from the last unit's first on wait for the next batch, as the unit may go on there.
+            h, a, b = (batch.column(c).to_numpy() for c in ("hub", "a", "b"))
+            at = int(np.flatnonzero((h != h[-1]) | (a != a[-1]) | (b != b[-1]))[-1]) + 1 if ((h != h[-1]) | (a != a[-1]) | (b != b[-1])).any() else 0
+            if at:
+                held.append(batch.slice(0, at))
+                yield from flush(pa.Table.from_batches(held))
+                held = [batch.slice(at)]
+            else:
+                first = held[0] if held else None
+                if first is not None and (first.column("hub")[0].as_py(), first.column("a")[0].as_py(), first.column("b")[0].as_py()) != (h[0], a[0], b[0]):
+                    yield from flush(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch)
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return run
+
+
 def _compared(percent: int):
     """Compares all pairs of the sets of two blocks that aren't linked yet; gives edges between roots."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
         root = pdf["root"].to_numpy()
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if (root == root[0]).all():
-            return empty
         sets = [np.asarray(x).view(np.uint64) for x in pdf["elements"]]
         size = np.array([len(s) for s in sets], np.int64)
-        cells = np.stack([np.bincount((_mix(s, 0xBEEF) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for s in sets]).astype(np.int32)
+        cells = np.stack([histogram(s) for s in sets]).astype(np.int16)
         own = dict(zip(root.tolist(), root.tolist()))
 
         def top(x: int) -> int:
@@ -239,10 +311,7 @@ def _compared(percent: int):
         edges = []
         for i in range(len(sets) - 1):
             rest = np.arange(i + 1, len(sets))
-            rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) * 100 >= percent * np.maximum(size[rest], size[i]))]
-            # Elements in which two sets differ are at least as many as the histograms' distance.
-            rest = rest[np.abs(cells[rest] - cells[i]).sum(axis=1) * (100 + percent) <= (size[rest] + size[i]) * (100 - percent)]
-            for j in rest.tolist():
+            for j in _alike(size, cells, percent, i, rest[root[rest] != root[i]]).tolist():
                 p, q = top(int(root[i])), top(int(root[j]))
                 if p == q:
                     continue
@@ -250,22 +319,35 @@ def _compared(percent: int):
                 if 100 * both >= percent * (size[i] + size[j] - both):
                     own[max(p, q)] = min(p, q)
                     edges.append((min(p, q), max(p, q)))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64") if edges else empty
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, elements) of the given nodes, from the row with the least doc_id of each."""
+    chosen = written(known.where("least IS NOT NULL").join(nodes.distinct(), "node", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return written(node_sets(docs.join(chosen, "doc_id", "left_semi"), n), "sets")
+
+
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """docs' (doc_id, n_shingles, component_id): components of the graph of all pairs of rows that are similar.
 
     Sets that are equal are one node, known by a 64-bit hash like the shingles themselves; links between different
     sets are those that pass an exact test. In the bucket of a signature the node that is in most buckets is the
-    hub, and each other one is tested against it: a row for each node and hub, not for each pair. Where a hub's
-    nodes aren't one component then, those of different components are compared in blocks of bounded size,
-    restricted by the triangle inequality of the Jaccard distance to blocks of similar distance to the hub.
+    hub. Each other one is tested against it, unless sizes or histograms rule it out: a row for each node and hub,
+    not for each pair. What is left is pairs of nodes of one bucket of three or more that are in different
+    components: a hub's nodes are laid out in blocks of bounded size, by bands of set size of which only the same
+    and neighbouring ones can be similar; pairs of blocks are compared by histograms first, and the nodes that are
+    left in a pair of blocks by their sets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ids = written(keyed(docs, n), "keyed")
+    known = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("cells").alias("cells"))
+    known = written(known, "nodes")
     by_sig = Window.partitionBy("sig")
     shared = (
         signed(docs, n, percent)
@@ -274,52 +356,47 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     shared = written(shared, "shared")
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    star = written(shared.join(hubs, "sig").where("node <> hub").select("hub", "node").distinct(), "star")
-
-    nodes = star.select("node").union(star.select(F.col("hub").alias("node"))).distinct()
-    chosen = written(ids.where("doc_id IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    keep = chosen.select("doc_id").distinct()
-    if chosen.count() <= BROADCAST_ROWS:
-        keep = F.broadcast(keep)
-    sets = written(node_sets(docs.join(keep, "doc_id", "left_semi"), n), "sets")
-
+    hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("nodes"))
+    star = shared.join(hubs, "sig").where("node <> hub").groupBy("hub", "node").agg(F.max("nodes").alias("nodes"))
+    star = written(star, "star")
+
+    x = known.select("node", F.col("size").alias("x_size"), F.col("cells").alias("x_cells"))
+    y = known.select(F.col("node").alias("hub"), F.col("size").alias("y_size"), F.col("cells").alias("y_cells"))
+    sizes = star.select("hub", "node").join(x.drop("x_cells"), "node").join(y.drop("y_cells"), "hub")
+    sized = sizes.where(F.least("x_size", "y_size") * 100 >= percent * F.greatest("x_size", "y_size")).select("hub", "node")
+    close = written(sized.join(x, "node").join(y, "hub").mapInArrow(_possible(percent), fields("hub long, node long")), "close")
+    sets = _sets_of(docs, known, close.select("node").union(close.select("hub")), n)
     both = F.size(F.array_intersect("x", "y"))
     tested = (
-        star.join(sets.select("node", F.col("elements").alias("x")), "node")
+        close.join(sets.select("node", F.col("elements").alias("x")), "node")
         .join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("y")), "hub")
         .select("hub", "node", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
     )
-    tested = written(tested.select("hub", "node", (F.col("total") - F.col("both")).alias("either"), "both"), "tested")
-    edges = tested.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    edges = tested.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     root = roots(edges)
 
-    width = (100 - percent) / 100 * 1.000001
-    member = (
-        tested.select("hub", "node", F.floor((F.col("either") - F.col("both")) / F.col("either") / width).cast("int").alias("bin"))
-        .join(root, "node", "left").select("hub", "node", "bin", F.coalesce("root", "node").alias("root"))
-    )
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent * 1.000001))).cast("int")
+    member = star.where("nodes > 2").select("hub", "node").join(known.select("node", "size", "cells"), "node").join(root, "node", "left")
+    member = member.select("hub", "node", "size", "cells", band.alias("bin"), F.coalesce("root", "node").alias("root"))
     open_ = member.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub")
     member = written(member.join(open_, "hub", "left_semi"), "members")
     blocks = member.groupBy("hub", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = blocks.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("blocks"))  # a row for each bin of width 1 - similarity
-    placed = member.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("bin"))).cast("int"))
-    others = F.flatten(F.transform(
-        F.filter(F.sequence(F.col("bin") - 1, F.col("bin") + 1), lambda b: F.map_contains_key("blocks", b)),
-        lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda k: F.struct(b.alias("bin"), k.alias("block"))),
-    ))
-    mine = F.struct("bin", "block")
-    units = placed.withColumn("other", F.explode(others)).select(
-        "hub", F.least(mine, F.col("other")).alias("a_block"), F.greatest(mine, F.col("other")).alias("b_block"), "node", "root"
-    )
-    more = units.join(sets, "node").groupBy("hub", "a_block", "b_block").applyInPandas(_compared(percent), fields("a long, b long"))
+    near = blocks.select("hub", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("bin").alias("to"), "blocks")
+    placed = member.join(blocks, ["hub", "bin"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    units = placed.join(near, ["hub", "bin"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    code = lambda b, k: F.shiftleft(b.cast("bigint"), 32) + k
+    mine, its = code(F.col("bin"), F.col("block")), code(F.col("to"), F.col("other"))
+    units = units.select("hub", F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), "node", "root", "size", "cells")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    sorted_units = units.repartition(int(parts), "hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+    left = written(sorted_units.mapInArrow(_open_units(percent), fields("hub long, a long, b long, node long, root long")), "open")
+    more = left.join(_sets_of(docs, known, left.select("node"), n), "node").groupBy("hub", "a", "b").applyInPandas(_compared(percent), fields("a long, b long"))
     again = roots(more)
     final = root.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = again.join(root, "node", "left_anti")  # nodes without a link to a hub
     final = final.union(alone.select("node", "root"))
 
-    least = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    component = least.join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    component = known.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     of_root = component.groupBy("root").agg(F.min("least").alias("component_id"))
     component = written(component.join(of_root, "root").select("node", "component_id"), "components")
     linked = ids.where("node IS NOT NULL").join(component, "node").select("doc_id", "n_shingles", "component_id")
