@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import jaccard, mixing, packing, quality, secret_scan
-from freshet.llm.common import BROADCAST_ROWS, table, written
+from freshet.llm.common import BROADCAST_ROWS, small_batches, table, written
 
 #: Words of a shingle, and the Jaccard similarity in percent from which documents are near copies.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -15,6 +15,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the repetition rules reject."""
+    small_batches(spark)
     return quality.judged(docs).where("_quality.kept").drop("_quality")
 
 
@@ -38,7 +39,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def language_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson counts to the weights of their languages, in a global random order."""
-    mixed = mixing.shuffled(mixing.replicate(docs, "doc_id", "lang", mixing.LANGUAGE_WEIGHTS), "doc_id")
+    mixed = mixing.laid_out(mixing.replicate(docs, "doc_id", "lang", mixing.LANGUAGE_WEIGHTS), "doc_id")
     return mixed.select(docs.columns)
 
 

@@ -81,6 +81,12 @@ def shuffled(df: DataFrame, key: str, seed: str = SEED, buckets: int = BUCKETS)
     return gapless(ordered, [], "_bucket", [F.col("_order")], "position").drop("_order", "_bucket")
 
 
+def laid_out(df: DataFrame, key: str, seed: str = SEED) -> DataFrame:
+    """df's rows in the order of `shuffled` within and across partitions, without the column: for writing a mix."""
+    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replica"))
+    return df.withColumn("_order", F.md5(text)).repartition("_order").sortWithinPartitions("_order").drop("_order")
+
+
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to LANGUAGE_WEIGHTS, as many rows as documents are expected, in a global random order.
 
