@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fields, scratch, table
+from freshet.llm.common import fields, scratch, small_batches, table
 from freshet.llm.tokens import END_ID, batches, crc32, crc32_shifted, encoded
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -145,7 +145,7 @@ def ordered_ids(docs: DataFrame, path: str) -> DataFrame:
     def tokenise(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, 3_000_000):
                 ids = [(np.frombuffer(x, "<u4").astype("<u2").tobytes() + END_ID.to_bytes(2, "little")) for x in encoded(path, texts[a:b])]
                 own = doc_ids[a:b]
                 part = [0 if d is None else bisect.bisect_right(bounds, d) for d in own]
@@ -227,6 +227,7 @@ def blocks(ids: DataFrame, freq: np.ndarray) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes docs' ids below path: `blocks` (the encoded ids), `frequencies` and `parts` (tokens of each part)."""
     spark = docs.sparkSession
+    small_batches(spark)
     staged = scratch(spark, "ordered-ids")
     ordered_ids(docs, tokenizer).write.option("compression", "zstd").parquet(staged)
     ids = spark.read.schema(ORDERED).parquet(staged)

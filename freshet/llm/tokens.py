@@ -6,14 +6,18 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 #: Pieces in each of a worker's two generations of memory; when the newer is full, the older goes.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Longer pieces aren't remembered.
 PIECE_CHARS = 48
 #: Pieces that are encoded as one text.
 JOINED = 300
+#: Marks a piece that begins a text or follows another without a space; no split text holds it.
+FIRST = "\0"
 #: After a letter or digit these always begin another token.
 _PUNCTUATION = ".,;:!?#$%&*|"
 #: A space after another space character could be part of a token with it; such texts are encoded whole.
@@ -56,8 +60,8 @@ class Memory:
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't in the newer generation."""
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't in the newer generation. A piece follows a space unless it begins with FIRST."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         older, known = self.older.get, self.known
@@ -73,7 +77,7 @@ class Memory:
             if stem == piece or not stem or not stem[-1].lower()[-1].isalnum():
                 todo.add(piece)
                 continue
-            tail = piece[len(stem) :]
+            tail = FIRST + piece[len(stem) :]
             parts.append((piece, stem, tail))
             for x in (stem, tail):
                 if x not in known and x not in found and x not in todo:
@@ -92,11 +96,11 @@ class Memory:
         """Words of letters after a space are encoded many at a time, as one text, and told apart by their first or last tokens."""
         words, rest = [], []
         for x in todo:
-            (words if x[0] == " " and x[1:].isalpha() and x.lower()[1:].isalpha() and len(x) < 100 else rest).append(x)
+            (words if x.isalpha() and x.lower().isalpha() and len(x) < 100 else rest).append(x)
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for i in range(0, len(groups), 16):
             own = groups[i : i + 16]
-            for group, e in zip(own, self.tokenizer.encode_batch_fast(["".join(g) for g in own], add_special_tokens=False)):
+            for group, e in zip(own, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in own], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
                 at = np.flatnonzero(self.marks[ids])
                 if len(at) != len(group):
@@ -108,7 +112,8 @@ class Memory:
                     found[x] = data[cuts[k] : cuts[k + 1]]
         for i in range(0, len(rest), 5000):
             own = rest[i : i + 5000]
-            for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+            plain = [x[1:] if x[:1] == FIRST else " " + x for x in own]
+            for x, e in zip(own, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
                 found[x] = _packed(e.ids)
 
 
@@ -132,33 +137,38 @@ def encoded(path: str, texts: list[str | None]) -> list[bytes]:
     those of its pieces, which the library encodes and this worker remembers.
     """
     memory = loaded(path)
-    get = memory.known.get
-    out: list = []
-    missing: set[str] = set()
-    for text in texts:
-        if not text or _unsafe(text):
-            out.append(memory.whole(text) if text else b"")
-            continue
-        if memory.any_case and _latin(text):
-            text = text.lower()
-        own = text.replace(" ", "\0 ").split("\0")
-        ids = list(map(get, own))
-        if None in ids:
-            if not own[0]:
-                own, ids = own[1:], ids[1:]
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            missing.update([own[i] for i in gaps])
-            out.append((own, ids, gaps))
-        else:
-            out.append(b"".join(ids))
-    if missing:
+    out: list[bytes] = [b""] * len(texts)
+    safe: list[int] = []
+    for i, text in enumerate(texts):
+        if text and _unsafe(text):
+            out[i] = memory.whole(text)
+        elif text:
+            safe.append(i)
+    if not safe:
+        return out
+    own = [t.lower() if memory.any_case and _latin(t) else t for t in (texts[i] for i in safe)]
+    lists = pc.split_pattern(pa.array(own, pa.string()), " ")
+    coded = pc.dictionary_encode(lists.values)
+    begins = lists.offsets.to_numpy().astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    n = len(names)
+    names += [FIRST + t.split(" ", 1)[0] for t in own]
+    index = coded.indices.to_numpy().astype(np.int64)
+    index[begins[:-1]] = np.arange(n, len(names))  # the first piece of a text follows no space
+    ids = list(map(memory.known.get, names))
+    if missing := [x for x, y in zip(names, ids) if y is None]:
         found = memory.learn(missing)
-        for k, x in enumerate(out):
-            if type(x) is tuple:
-                own, ids, gaps = x
-                for i in gaps:
-                    ids[i] = found[own[i]]
-                out[k] = b"".join(ids)
+        ids = [found[x] if y is None else y for x, y in zip(names, ids)]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    starts = np.cumsum(sizes) - sizes
+    taken = sizes[index]
+    ends = np.cumsum(taken)
+    place = np.repeat(starts[index] - (ends - taken), taken)
+    place += np.arange(len(place))
+    data = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+    cuts = [0, *(4 * ends[begins[1:] - 1]).tolist()]
+    for k, i in enumerate(safe):
+        out[i] = data[cuts[k] : cuts[k + 1]]
     return out
 
 
