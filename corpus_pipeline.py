@@ -20,16 +20,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least doc_id. Rows without doc_id stay."""
-    found = written(jaccard.classes(docs, SHINGLE_WORDS, SIMILARITY), "near-copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    """One row of each class of near copies: the one with the least doc_id, of several such texts one. Rows without doc_id stay.
+
+    Rows are known by doc_id and digest, so that other texts of the same doc_id are judged by their own classes.
+    """
+    found = jaccard.members(docs, SHINGLE_WORDS, SIMILARITY).where("node IS NOT NULL AND doc_id IS NOT NULL")
+    rows = written(found.groupBy("component", "doc_id", "node", "digest").agg(F.count(F.lit(1)).alias("rows")), "members")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "node", "digest")).alias("first"))
+    stays = F.expr("doc_id <=> first.doc_id AND node = first.node AND digest = first.digest")
+    judged = written(rows.join(first, "component").select("doc_id", "digest", "rows", stays.alias("stays")), "near-copies")
+
+    def of(docs: DataFrame, judged: DataFrame, how: str) -> DataFrame:
+        own = judged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
+        own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+        return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), how)
+
+    kept = of(docs.withColumn("_digest", jaccard.text_digest()), judged.where("NOT stays"), "left_anti")
+    repeated = judged.where("stays AND rows > 1")
+    if not repeated.isEmpty():
+        kept = of(kept, repeated, "left_anti").union(of(kept, repeated, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+    return kept.select(docs.columns)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import BROADCAST_ROWS, fields, small_batches, table, written
@@ -132,11 +132,16 @@ def _key(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def text_digest() -> Column:
+    """A 64-bit hash of `text`, by which rows that share a doc_id are told apart."""
+    return F.xxhash64("text")
+
+
+def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in rows:
-        doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        texts = batch.column("text").to_pylist()
         for a, b in batches(texts, 1_500_000):
-            yield doc_ids[a:b], shingle_sets(texts[a:b], n)
+            yield batch.slice(a, b - a), shingle_sets(texts[a:b], n)
     _words.clear()  # the worker lives on
     pa.default_memory_pool().release_unused()
 
@@ -147,18 +152,19 @@ def histogram(s: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, cells) of each row; node is the hash of the set, null if it is empty, cells its histogram."""
+    """(doc_id, digest, n_shingles, node, cells) of each row; digest is that of the text, node is the hash of the set, null if it is empty, cells its histogram."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, sets in _sets(rows, n):
+        for own, sets in _sets(rows, n):
             cells = [histogram(s).tobytes() if len(s) else None for s in sets]
             nodes = [_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "cells"],
+                [own.column("doc_id"), own.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary())],
+                names=["doc_id", "digest", "n_shingles", "node", "cells"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields("doc_id long, n_shingles long, node long, cells binary"))
+    rows = docs.select("doc_id", text_digest().alias("digest"), "text")
+    return rows.mapInArrow(run, fields("doc_id long, digest long, n_shingles long, node long, cells binary"))
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -333,7 +339,12 @@ def _sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) -> Dat
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs' (doc_id, n_shingles, component_id): components of the graph of all pairs of rows that are similar.
+    """docs' (doc_id, n_shingles, component_id): components of the graph of all pairs of rows that are similar."""
+    return members(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """As `classes`, with each row's digest, node and component: the component's own key, null for empty sets.
 
     Sets that are equal are one node, known by a 64-bit hash like the shingles themselves; links between different
     sets are those that pass an exact test. In the bucket of a signature the node that is in most buckets is the
@@ -398,9 +409,11 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     component = known.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     of_root = component.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = written(component.join(of_root, "root").select("node", "component_id"), "components")
-    linked = ids.where("node IS NOT NULL").join(component, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.union(ids.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    component = written(component.join(of_root, "root").select("node", F.col("root").alias("component"), "component_id"), "components")
+    columns = ["doc_id", "digest", "n_shingles", "node", "component", "component_id"]
+    linked = ids.where("node IS NOT NULL").join(component, "node").select(columns)
+    alone = ids.where("node IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return linked.union(alone.select(columns))
 
 
 def op9_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

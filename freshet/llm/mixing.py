@@ -82,8 +82,11 @@ def shuffled(df: DataFrame, key: str, seed: str = SEED, buckets: int = BUCKETS)
 
 
 def laid_out(df: DataFrame, key: str, seed: str = SEED) -> DataFrame:
-    """df's rows in the order of `shuffled` within and across partitions, without the column: for writing a mix."""
-    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replica"))
+    """df's rows in a random order within and across partitions, without a column of it: for writing a mix.
+
+    The order is by the MD5 of seed, key, replica and a hash of the row, so rows of one key are spread too.
+    """
+    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replica"), F.xxhash64(*df.columns))
     return df.withColumn("_order", F.md5(text)).repartition("_order").sortWithinPartitions("_order").drop("_order")
 
 

@@ -230,3 +230,20 @@ def test_pipeline_stages(spark):
     per_doc = {r["doc_id"]: r["n"] for r in pieces.groupBy("doc_id").agg((F.sum("length") / F.first("doc_tokens")).alias("n")).collect()}
     assert per_doc == {r["doc_id"]: float(r["count"]) for r in mixed.groupBy("doc_id").count().collect()}
     assert quality.judged(docs).where("_quality.kept").count() == ruled.count()
+
+
+def prose(seed, n=60):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(5000)}" for _ in range(n)]
+
+
+def test_near_copies_are_removed_by_row(spark):
+    a, b, c, d = (prose(k) for k in range(4))
+    near = [*b[:-1], "other"]
+    rows = [(7, a), (7, b), (7, c), (3, near), (9, d), (9, d), (9, a), (4, []), (4, [])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = sorted([rows[0], rows[2], rows[3], rows[4], rows[7], rows[8]])
+    assert sorted(texts(corpus_pipeline.ngram_jaccard(spark, docs, ""))) == wanted
+    hot = [(1, " ".join(prose(k))) for k in range(10, 60)]
+    assert sorted(texts(corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(hot, "doc_id long, text string"), ""))) == sorted(hot)
