@@ -20,13 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies: the one with the least doc_id, of several such texts one. Rows without doc_id stay.
+    """One row of each class of near copies: the one with the least doc_id, of several such texts one.
 
     Rows are known by doc_id and digest, so that other texts of the same doc_id are judged by their own classes.
+    Rows without doc_id come last in their class: one stays if no row of it has an id. Texts without words stay.
     """
-    found = jaccard.members(docs, SHINGLE_WORDS, SIMILARITY).where("node IS NOT NULL AND doc_id IS NOT NULL")
+    found = jaccard.members(docs, SHINGLE_WORDS, SIMILARITY).where("node IS NOT NULL")
     rows = written(found.groupBy("component", "doc_id", "node", "digest").agg(F.count(F.lit(1)).alias("rows")), "members")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "node", "digest")).alias("first"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "digest")).alias("first"))
     stays = F.expr("doc_id <=> first.doc_id AND node = first.node AND digest = first.digest")
     judged = written(rows.join(first, "component").select("doc_id", "digest", "rows", stays.alias("stays")), "near-copies")
 

@@ -331,11 +331,13 @@ def _compared(percent: int):
 
 
 def _sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the given nodes, from the row with the least doc_id of each."""
-    chosen = written(known.where("least IS NOT NULL").join(nodes.distinct(), "node", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "chosen")
+    """(node, elements) of the given nodes, from a row with the least doc_id of each, or from one without doc_id."""
+    chosen = written(known.join(nodes.distinct(), "node", "left_semi").select(F.col("least").alias("_id"), F.col("digest").alias("_of")).distinct(), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    return written(node_sets(docs.join(chosen, "doc_id", "left_semi"), n), "sets")
+    rows = docs.select("doc_id", "text").withColumn("_digest", text_digest())
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
+    return written(node_sets(rows, n), "sets")
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -357,7 +359,9 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ids = written(keyed(docs, n), "keyed")
-    known = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("cells").alias("cells"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
+    known = ids.where("node IS NOT NULL").groupBy("node").agg(row, F.first("n_shingles").alias("size"), F.first("cells").alias("cells"))
+    known = known.select("node", F.col("row.doc_id").alias("least"), F.col("row.digest").alias("digest"), "size", "cells")
     known = written(known, "nodes")
     by_sig = Window.partitionBy("sig")
     shared = (
@@ -420,7 +424,7 @@ def op9_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more, linked step by step.
 
     Null, empty and wordless texts have empty sets and are classes of their own; rows that repeat a doc_id are
-    one class if their texts are alike; a row without doc_id has no part in a test between different sets and
-    takes its class's id, null if there is none. An empty table gives no rows.
+    one class if their texts are alike; rows without doc_id are tested and linked like any other and take the
+    least id of their class, null if no row of it has one. An empty table gives no rows.
     """
     return classes(table(spark, sf_dir, "documents"), 3, 90)

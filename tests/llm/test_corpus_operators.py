@@ -247,3 +247,16 @@ def test_near_copies_are_removed_by_row(spark):
     assert sorted(texts(corpus_pipeline.ngram_jaccard(spark, docs, ""))) == wanted
     hot = [(1, " ".join(prose(k))) for k in range(10, 60)]
     assert sorted(texts(corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(hot, "doc_id long, text string"), ""))) == sorted(hot)
+
+
+def test_rows_without_ids_link_and_are_removed(spark):
+    base, alone = prose(1, 100), prose(2, 100)
+    left, right = ["x", *base[1:]], [*base[:-1], "y"]  # 0.96 alike, each 0.98 to base
+    rows = [(8, left), (5, right), (None, base), (None, alone), (None, alone), (None, [*alone[:-1], "z"]), (None, []), (None, prose(3))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = jaccard.members(docs, 3, 97).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(8, 5), (5, 5), (None, 5), *[(None, None)] * 5], key=str)
+    assert len({r["component"] for r in got}) == 4  # a class with ids, one without, a text alone, none
+    kept = texts(corpus_pipeline.ngram_jaccard(spark, docs, ""))
+    assert sorted(i for i, _ in kept if i is not None) == [5] and len(kept) == 4
+    assert (None, "") in kept and (None, " ".join(prose(3))) in kept
