@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -24,6 +25,12 @@ RULES = [
     Rule("web_token", "", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=30),
     Rule("private_key", "", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
+#: What ends a private key, and, where that is missing, what may follow its BEGIN line: base64 characters and lines of them.
+KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+KEY_BODY = re.compile(
+    r"(?:\\[nr]|[A-Za-z0-9+/=])*+"
+    r"(?:[^\S\n]*+\n\s*+(?:(?:Proc-Type|DEK-Info):[^\n]*+|(?:\\[nr]|[A-Za-z0-9+/=])++(?=[^\S\n]*+(?:\n|\Z))))*+"
+)
 #: Bytes that are scanned at once.
 BATCH = 8_000_000
 
@@ -60,18 +67,34 @@ def found(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     return out
 
 
+def whole_keys(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """spans with those of private keys, which `found` ends at the BEGIN line, extended over the keys themselves.
+
+    A key goes on to the first END line. If the next key begins or the text ends before one, it goes on over the
+    base64 characters and lines that follow. Other spans stay as they are, also inside a key.
+    """
+    stops = [a for a, _, kind in spans if kind == "private_key"][1:] + [len(text)]
+    out, k = [], 0
+    for a, b, kind in spans:
+        if kind == "private_key":
+            end = KEY_END.search(text, b, stops[k]) or KEY_BODY.match(text, b, stops[k])
+            b, k = end.end(), k + 1
+        out.append((a, b, kind))
+    return out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
 @F.pandas_udf(fields("n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
 def secrets(text: pd.Series) -> pd.DataFrame:
-    """Counts of the base kinds, a digest of their spans and all spans; a null text counts as an empty one."""
+    """Counts of the base kinds, a digest of their spans and all spans, private keys whole; a null text counts as an empty one."""
     rows = []
-    for spans in found(text.tolist()):
+    for own, spans in zip(text.tolist(), found(text.tolist())):
         base = [s for s in spans if s[2] in BASE_KINDS]
         counts = [sum(s[2] == k for s in base) for k in BASE_KINDS]
-        rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+        rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(whole_keys(own or "", spans))))
     return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
@@ -87,9 +110,9 @@ def masked(text: str, spans) -> str:
 
 @F.pandas_udf(T.StringType())
 def redacted(text: pd.Series) -> pd.Series:
-    """Whole texts with secrets masked; null stays null."""
+    """Whole texts with secrets masked, private keys from their BEGIN to their END line; null stays null."""
     texts = text.tolist()
-    return pd.Series([t if t is None else masked(t, s) if s else t for t, s in zip(texts, found(texts))], dtype=object)
+    return pd.Series([t if t is None else masked(t, whole_keys(t, s)) if s else t for t, s in zip(texts, found(texts))], dtype=object)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
