@@ -48,12 +48,15 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
-def language_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by Poisson counts to the weights of their languages, in a global random order."""
-    mixed = mixing.laid_out(mixing.replicate(docs, "doc_id", "lang", mixing.LANGUAGE_WEIGHTS), "doc_id")
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by Poisson counts to tempered shares of all sources, null as one, in a global random order."""
+    mixed = mixing.laid_out(mixing.replicate(docs, "doc_id", "source", None), "doc_id")
     return mixed.select(docs.columns)
 
 
+language_mix = source_mix  # its former name
+
+
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
@@ -63,7 +66,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard", ngram_jaccard),
     ("secret_spans", secret_spans),
-    ("language_mix", language_mix),
+    ("source_mix", source_mix),
     ("packed_sequences", packed_sequences),
 ]
 

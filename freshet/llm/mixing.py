@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import gapless, hex_number, table
+from freshet.llm.common import BROADCAST_ROWS, gapless, hex_number, table, written
 
 SEED = "mix"
 #: Share of the mix by language, for op1: English is brought down, the others up.
 LANGUAGE_WEIGHTS = {"en": 0.40, "de": 0.25, "fr": 0.20, "es": 0.15}
+#: Without given weights a group's weight is its rows to this power: large groups are brought down, small ones up.
+TEMPER = 0.7
 #: A larger rate is the sum of several Poisson variables of equal rates up to this, which is Poisson again.
 RATE_TERM = 16.0
 #: Buckets of the global order; this many rows of counts are broadcast whatever the input.
@@ -46,15 +48,18 @@ def poisson_count(key: Column, rate: Column, seed: str = SEED) -> Column:
     return F.when(parts == 1, one(F.lit(0))).otherwise(more)
 
 
-def rates(df: DataFrame, group: str, weights: dict[str, float], total: float | None = None) -> DataFrame:
+def rates(df: DataFrame, group: str, weights: dict[str, float] | None, total: float | None = None, other: float = 0.0) -> DataFrame:
     """(group, size, rate): rate = weight x total / size, weights normalised over the groups that have rows.
 
     total is the expected number of rows in the mix, by default that of the input. A group without a weight
-    (null too) gets rate 0.
+    (null too) has the weight `other`. If weights is None, each group's (null is one) is its size to the power TEMPER.
     """
-    if any(w < 0 for w in weights.values()):
+    if other < 0 or any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights can't be negative")
-    weight = F.coalesce(*[F.when(F.col(group) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
+    if weights is None:
+        weight = F.pow(F.col("size").cast("double"), F.lit(TEMPER))
+    else:
+        weight = F.coalesce(*[F.when(F.col(group) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(float(other)))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("weight", weight)
     whole = sizes.agg(F.sum("size").alias("rows"), F.sum("weight").alias("weights"))
     mean = F.lit(float(total)) if total is not None else F.col("rows")
@@ -62,15 +67,22 @@ def rates(df: DataFrame, group: str, weights: dict[str, float], total: float | N
     return sizes.crossJoin(F.broadcast(whole)).select(group, "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float], total: float | None = None, seed: str = SEED) -> DataFrame:
+def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float] | None, total: float | None = None, seed: str = SEED, other: float = 0.0) -> DataFrame:
     """df with each row repeated by its Poisson count; adds rate and replica (from 0), in place of columns of those names.
 
-    The count depends on seed and key alone. Only groups with a weight have rows in the mix, so what is
-    broadcast is a row for each weight, a parameter, and not a row for each group of the data.
+    The count depends on seed and key alone. weights and other are those of `rates`. If only listed groups can
+    have rows in the mix, a row for each weight is broadcast; else the groups are counted first and joined by
+    shuffle beyond BROADCAST_ROWS of them.
     """
-    wanted = rates(df, group, weights, total).where(F.col(group).isin(list(weights))).select(group, F.col("rate").alias("_rate"))
+    wanted = rates(df, group, weights, total, other).where("rate > 0").select(F.col(group).alias("_group"), F.col("rate").alias("_rate"))
+    if weights is None or other > 0:
+        wanted = written(wanted, "rates")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    else:
+        wanted = F.broadcast(wanted.where(F.col("_group").isin(list(weights))))
     kept = [c for c in df.columns if c not in ("rate", "replica")]
-    counted = df.select(*kept).join(F.broadcast(wanted), group).select(*kept, "_rate").withColumn("_n", poisson_count(F.col(key), F.col("_rate"), seed))
+    joined = df.select(*kept).join(wanted, F.col(group).eqNullSafe(F.col("_group")))
+    counted = joined.select(*kept, "_rate").withColumn("_n", poisson_count(F.col(key), F.col("_rate"), seed))
     return counted.where("_n > 0").select(*kept, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
 
 

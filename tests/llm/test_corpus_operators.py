@@ -260,3 +260,17 @@ def test_rows_without_ids_link_and_are_removed(spark):
     kept = texts(corpus_pipeline.ngram_jaccard(spark, docs, ""))
     assert sorted(i for i, _ in kept if i is not None) == [5] and len(kept) == 4
     assert (None, "") in kept and (None, " ".join(prose(3))) in kept
+
+
+def test_mixture_by_source_keeps_all_groups(spark, monkeypatch):
+    sizes = {"hot": 18_000, "b": 1800, None: 200}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, "t", None if i % 2 else "zz", s, 1) for i, (s, _) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    whole = sum(n**0.7 for n in sizes.values())
+    wanted = {s: 20_000 * n**0.7 / whole for s, n in sizes.items()}
+    for limit in (10**6, 0):  # by broadcast and by join
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+        got = {r["source"]: r["count"] for r in corpus_pipeline.source_mix(spark, docs, "").groupBy("source").count().collect()}
+        assert set(got) == set(sizes) and all(abs(got[s] - w) < 5 * (w * max(1, w / sizes[s])) ** 0.5 for s, w in wanted.items())
+    some = mixing.replicate(docs, "doc_id", "source", {"hot": 1.0}, other=0.5)
+    assert {r["source"] for r in some.select("source").distinct().collect()} == set(sizes)
