@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,14 @@ from freshet.llm.tokens import batches
 
 #: Words whose hashes a worker remembers.
 REMEMBERED = 250_000
-#: Sets of a block in which all pairs are compared by one task.
+#: Sets of a block; all pairs of two blocks are compared by one task.
 BLOCK = 96
-#: Cells of the histograms whose distance bounds that of two sets from below.
-CELLS = 128
+#: A hub's nodes are dealt out in parts of about so many where it is joined.
+PART = 256
+#: Steps, in percent, of the sizes and of the shares of unique elements by which a large hub's nodes are binned.
+BIN_PERCENT = 2
+#: Least and most cells of the histograms whose distance bounds that of two sets from below.
+CELLS = 128, 8192
 
 _words: dict[bytes, int] = {}
 
@@ -74,24 +79,36 @@ def bands(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]
 
 
 #: A band's last size as a percentage of its first, where similarity alone would allow less.
-WIDTH_PERCENT = 150
-#: Partitions of the domain for each that must be equal, and the least elements of a signature.
+WIDTH_PERCENT = 125
+#: Partitions of the domain for each that must be equal, where one partition makes a signature.
 SLACK_PERCENT = 115
+#: Bands whose sets may differ in at most so many elements enumerate subsets of several partitions.
+MOST_ENUMERATED = 8
+#: Partitions of those bands beyond the ones that may differ: the size of the enumerated subsets.
+SUBSET = 2
 
 
 def least_elements(percent: int) -> int:
     return 3 if percent >= 88 else 1
 
 
+@lru_cache(maxsize=16)
+def subsets(differ: int) -> np.ndarray:
+    """All subsets of SUBSET of the partitions that a band of so many differences has."""
+    return np.array(list(combinations(range(differ + SUBSET), SUBSET)), np.int64)
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Each set's PartEnum signatures: two sets of Jaccard similarity >= percent that differ share one at least.
 
     Two such sets of at most b elements differ in at most k = 2b(100 - percent) / (100 + percent) elements, b the
-    last size of the larger one's band. The domain is hashed into N > k partitions, so all but k of them hold the
-    same elements of both; a signature is the sum of the mixed elements in one partition (every subset of all but
-    k partitions holds one of the k + 1 enumerated ones). A set also signs for the next band if it could be
-    similar to a set there. Partitions with few elements say little: a set with more than k well-filled partitions
-    signs only with those, as one of them is equal in both sets; one with fewer signs with all.
+    last size of the larger one's band; a set also signs for the next band if it could be similar to a set there.
+    The domain is hashed into partitions, of which all but k hold the same elements of both sets. With k up to
+    MOST_ENUMERATED there are k + SUBSET of them, and a signature is the content of one of all the subsets of
+    SUBSET partitions. Beyond, such subsets would be too many: there are SLACK_PERCENT of k + 1 partitions, and the
+    enumerated subsets are single ones (the first level with a second level of two, any one of which may differ).
+    Subsets with few elements say little: a set with more than k well-filled partitions signs only with subsets
+    that hold enough, as one of them is equal in both sets; one with fewer signs with all.
     """
     first, last = bands(percent)
     size = np.array([len(s) for s in sets], np.int64)
@@ -100,13 +117,14 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     jobs = [(np.flatnonzero(size > 0), band)]
     jobs.append((np.flatnonzero((size > 0) & (size * 100 >= percent * first[upper])), upper))
     found: list[list[np.ndarray]] = [[] for _ in sets]
-    least = least_elements(percent)
     for own, tag in jobs:
         differ = 2 * last[tag[own]] * (100 - percent) // (100 + percent)
         own, differ = own[differ > 0], differ[differ > 0]
         if not len(own):
             continue
-        parts = np.maximum((differ + 1) * SLACK_PERCENT // 100, differ + 1)
+        few = differ <= MOST_ENUMERATED
+        parts = np.where(few, differ + SUBSET, np.maximum((differ + 1) * SLACK_PERCENT // 100, differ + 1))
+        least = np.where(few, 1, least_elements(percent))
         base = np.cumsum(parts) - parts
         mixed = _mix(np.concatenate([sets[i] for i in own.tolist()]), 0x51ED)
         counts = size[own]
@@ -118,13 +136,21 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         high = np.bincount(place, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
         filled = np.bincount(place, minlength=total)
         number = np.arange(total) - np.repeat(base, parts)
-        tags = np.repeat(tag[own], parts).astype(np.uint64)
-        signs = _mix(_mix(low + (high << np.uint64(32)), 0x77) + tags * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64), 0x1234)
-        good = filled >= least
+        tags = tag[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        content = _mix(low + (high << np.uint64(32)), 0x77) + number.astype(np.uint64)
+        signs = _mix(content + np.repeat(tags, parts), 0x1234)
+        good = filled >= np.repeat(least, parts)
         enough = np.add.reduceat(good, base) > differ
         chosen = good | np.repeat(~enough, parts)
-        for i, a, b in zip(own.tolist(), base.tolist(), (base + parts).tolist()):
-            found[i].append(signs[a:b][chosen[a:b]])
+        for i, k, a, b, t, full, enumerated in zip(own.tolist(), differ.tolist(), base.tolist(), (base + parts).tolist(), tags.tolist(), enough.tolist(), few.tolist()):
+            if not enumerated:
+                found[i].append(signs[a:b][chosen[a:b]])
+                continue
+            each = subsets(k)
+            if full:
+                each = each[good[a:b][each].any(axis=1)]
+            named = _mix(content[a:b], 0x2F)[each]
+            found[i].append(_mix(named[:, 0] + np.uint64(3) * named[:, 1] + np.uint64(t), 0x4321))
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
 
 
@@ -147,8 +173,22 @@ def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBat
 
 
 def histogram(s: np.ndarray) -> np.ndarray:
-    """How many elements fall into each of CELLS cells, 255 at most; two sets differ in at least as many as their histograms."""
-    return np.minimum(np.bincount((_mix(s, 0xBEEF) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+    """How many elements fall into each cell, 255 at most; two sets differ in at least as many as their histograms.
+
+    There is a cell for each one or two elements within the limits CELLS, a power of two of them; adjacent cells
+    are added to compare with a histogram of fewer.
+    """
+    cells = min(max(CELLS[0], 1 << (max(1, len(s) // 2) - 1).bit_length()), CELLS[1])
+    place = _mix(s, 0xBEEF) >> np.uint64(65 - cells.bit_length())
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def _stacked(histograms: list[bytes]) -> np.ndarray:
+    """A row for each, with as many cells as the smallest."""
+    least = min(map(len, histograms))
+    if all(len(h) == least for h in histograms):
+        return np.frombuffer(b"".join(histograms), np.uint8).reshape(-1, least).astype(np.int16)
+    return np.stack([np.frombuffer(h, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.int16) for h in histograms])
 
 
 def keyed(docs: DataFrame, n: int) -> DataFrame:
@@ -231,9 +271,9 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, root long") if out is None else written(out, "roots")
 
 
-def _alike(size: np.ndarray, cells: np.ndarray, percent: int, i: int, rest: np.ndarray) -> np.ndarray:
-    """Those of rest whose sizes and histograms let them be similar to i."""
-    rest = rest[np.minimum(size[rest], size[i]) * 100 >= percent * np.maximum(size[rest], size[i])]
+def _alike(size: np.ndarray, most: np.ndarray, cells: np.ndarray, percent: int, i: int, rest: np.ndarray) -> np.ndarray:
+    """Those of rest whose sizes, shared elements at most and histograms let them be similar to i."""
+    rest = rest[np.minimum(most[rest], most[i]) * (100 + percent) >= percent * (size[rest] + size[i])]
     return rest[np.abs(cells[rest] - cells[i]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (size[rest] + size[i]) * (100 - percent)]
 
 
@@ -243,10 +283,15 @@ def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x_size", "y_size"))
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x_cells", "y_cells"))
+            p, q = (batch.column(c).to_pylist() for c in ("x_cells", "y_cells"))
             good = np.minimum(x, y) * 100 >= percent * np.maximum(x, y)
-            good &= np.abs(p - q).sum(axis=1, dtype=np.int64) * (100 + percent) <= (x + y) * (100 - percent)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("hub", "node")], names=["hub", "node"])
+            cells = np.minimum([len(h) for h in p], [len(h) for h in q])
+            for c in np.unique(cells[good]).tolist():
+                own = np.flatnonzero(good & (cells == c))
+                pair = _stacked([p[i] for i in own] + [q[i] for i in own])
+                apart = np.abs(pair[: len(own)] - pair[len(own) :]).sum(axis=1, dtype=np.int64)
+                good[own] = apart * (100 + percent) <= (x[own] + y[own]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("hub", "part", "node")], names=["hub", "part", "node"])
 
     return run
 
@@ -258,19 +303,20 @@ def _open_units(percent: int):
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            hub, a, b, node, root, size = (table.column(c).to_numpy() for c in ("hub", "a", "b", "node", "root", "size"))
-            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            hub, a, b, node, root, size, most = (table.column(c).to_numpy() for c in ("hub", "a", "b", "node", "root", "size", "most"))
+            all_cells = table.column("cells").to_pylist()
             new = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             keep = np.zeros(len(hub), bool)
             for first, last in zip(new.tolist(), [*new[1:].tolist(), len(hub)]):
                 if (root[first:last] == root[first]).all():
                     continue
-                for i in range(first, last - 1):
-                    rest = np.arange(i + 1, last)
-                    rest = _alike(size, cells, percent, i, rest[root[rest] != root[i]])
+                cells, own = _stacked(all_cells[first:last]), slice(first, last)
+                for i in range(last - first - 1):
+                    rest = np.arange(i + 1, last - first)
+                    rest = _alike(size[own], most[own], cells, percent, i, rest[root[own][rest] != root[first + i]])
                     if len(rest):
-                        keep[i] = True
-                        keep[rest] = True
+                        keep[first + i] = True
+                        keep[first + rest] = True
             if keep.any():
                 columns = [pa.array(x[keep]) for x in (hub, a, b, node, root)]
                 yield pa.RecordBatch.from_arrays(columns, names=["hub", "a", "b", "node", "root"])
@@ -305,7 +351,7 @@ def _compared(percent: int):
         root = pdf["root"].to_numpy()
         sets = [np.asarray(x).view(np.uint64) for x in pdf["elements"]]
         size = np.array([len(s) for s in sets], np.int64)
-        cells = np.stack([histogram(s) for s in sets]).astype(np.int16)
+        cells = _stacked([histogram(s).tobytes() for s in sets])
         own = dict(zip(root.tolist(), root.tolist()))
 
         def top(x: int) -> int:
@@ -317,7 +363,7 @@ def _compared(percent: int):
         edges = []
         for i in range(len(sets) - 1):
             rest = np.arange(i + 1, len(sets))
-            for j in _alike(size, cells, percent, i, rest[root[rest] != root[i]]).tolist():
+            for j in _alike(size, size, cells, percent, i, rest[root[rest] != root[i]]).tolist():
                 p, q = top(int(root[i])), top(int(root[j]))
                 if p == q:
                     continue
@@ -330,14 +376,70 @@ def _compared(percent: int):
     return run
 
 
-def _sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the given nodes, from a row with the least doc_id of each, or from one without doc_id."""
+def _rows_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) of the given nodes, from a row with the least doc_id of each, or from one without doc_id."""
     chosen = written(known.join(nodes.distinct(), "node", "left_semi").select(F.col("least").alias("_id"), F.col("digest").alias("_of")).distinct(), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     rows = docs.select("doc_id", "text").withColumn("_digest", text_digest())
-    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
-    return written(node_sets(rows, n), "sets")
+    return rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
+
+
+def _unique_elements(docs: DataFrame, n: int) -> DataFrame:
+    """(node, alone): how many elements of each set are in no other set of docs; sets that have none are left out."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(rows, n):
+            nodes = np.repeat(np.array([_key(s) if len(s) else 0 for s in sets], np.int64), [len(s) for s in sets])
+            values = np.concatenate(sets).view(np.int64)
+            for a in range(0, len(values), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(values[a : a + 500_000]), pa.array(nodes[a : a + 500_000])], names=["element", "node"])
+
+    each = docs.select("doc_id", "text").mapInArrow(run, fields("element long, node long"))
+    own = each.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("high")).where("node = high")
+    return own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _units(docs: DataFrame, known: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+    """(hub, a, b, node, root, size, most, cells): member's nodes of large hubs, in pairs of blocks (a, b) to be compared.
+
+    What a pair can share is bounded by the elements that aren't unique among these nodes (most). Nodes that can't
+    be similar to any set go. The others are binned by size, by their share of unique elements, and by whether
+    their root is the hub's most frequent one: at most a few hundred bins a hub, whatever its nodes. Pairs of bins
+    whose sizes and bounds rule out similar sets, or of one root, go; bins are cut into blocks, and nodes are
+    repeated for the blocks of the other bin of each pair that is left.
+    """
+    alone = written(_unique_elements(_rows_of(docs, known, member.select("node")), n), "unique")
+    main = member.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    log = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1 + BIN_PERCENT / 100))).cast("int")
+    own = member.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
+    own = own.where(F.col("most") * 100 >= percent * F.col("size")).join(_by_part(main, member), ["hub", "part"])
+    share = F.floor((F.col("size") - F.col("most")) * (100 // BIN_PERCENT) / F.col("size")).cast("int")
+    bin_ = F.struct(log(F.col("size")).alias("size"), share.alias("share"), (F.col("root") == F.col("main")).alias("main"))
+    own = written(own.select("hub", "node", "root", "size", "most", "cells", bin_.alias("bin")), "binned")
+
+    bins = own.groupBy("hub", "bin").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("size").alias("size"), F.max("most").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    bins = written(bins, "bins")
+    x = bins.select("hub", *[F.col(c).alias(f"x_{c}") for c in bins.columns[1:]])
+    y = bins.select("hub", *[F.col(c).alias(f"y_{c}") for c in bins.columns[1:]])
+    possible = F.least("x_most", "y_most") * (100 + percent) >= percent * (F.col("x_size") + F.col("y_size"))
+    mixed = (F.least("x_low", "y_low") < F.greatest("x_high", "y_high")) & (F.col("x_bin") <= F.col("y_bin"))
+    pairs = x.join(y, "hub").where(mixed & possible).select("hub", "x_bin", "y_bin", "x_blocks", "y_blocks")
+    count = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pairs = pairs.withColumn("i", count("x_blocks")).withColumn("j", count("y_blocks")).where("x_bin < y_bin OR i <= j")
+    code = lambda b, k: F.concat_ws(":", b["size"], b["share"], b["main"], k)
+    pairs = pairs.select("hub", "x_bin", "i", "y_bin", "j", F.xxhash64(code(F.col("x_bin"), F.col("i"))).alias("a"), F.xxhash64(code(F.col("y_bin"), F.col("j"))).alias("b"))
+    sides = pairs.select("hub", F.col("x_bin").alias("bin"), F.col("i").alias("block"), "a", "b").union(pairs.select("hub", "y_bin", "j", "a", "b")).distinct()
+    placed = own.join(bins.select("hub", "bin", "blocks"), ["hub", "bin"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.join(sides, ["hub", "bin", "block"]).select("hub", "a", "b", "node", "root", "size", "most", "cells")
+
+
+def _by_part(hubs: DataFrame, member: DataFrame) -> DataFrame:
+    """hubs' rows, repeated for each part that member has of the hub, so that no task takes a whole hub."""
+    parts = member.groupBy("hub").agg(F.max("part").alias("_parts"))
+    return hubs.join(parts, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts")))).drop("_parts")
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -351,10 +453,9 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     Sets that are equal are one node, known by a 64-bit hash like the shingles themselves; links between different
     sets are those that pass an exact test. In the bucket of a signature the node that is in most buckets is the
     hub. Each other one is tested against it, unless sizes or histograms rule it out: a row for each node and hub,
-    not for each pair. What is left is pairs of nodes of one bucket of three or more that are in different
-    components: a hub's nodes are laid out in blocks of bounded size, by bands of set size of which only the same
-    and neighbouring ones can be similar; pairs of blocks are compared by histograms first, and the nodes that are
-    left in a pair of blocks by their sets.
+    not for each pair. What is left is nodes of one hub that are in different components: those of a small hub are
+    one block, those of a large one are laid out as `_units` says; pairs are compared by histograms first, and the
+    nodes that are left in a pair of blocks by their sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -374,38 +475,37 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("nodes"))
     star = shared.join(hubs, "sig").where("node <> hub").groupBy("hub", "node").agg(F.max("nodes").alias("nodes"))
     star = written(star, "star")
+    parts = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    star = written(star.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "parts")
 
     x = known.select("node", F.col("size").alias("x_size"), F.col("cells").alias("x_cells"))
-    y = known.select(F.col("node").alias("hub"), F.col("size").alias("y_size"), F.col("cells").alias("y_cells"))
-    sizes = star.select("hub", "node").join(x.drop("x_cells"), "node").join(y.drop("y_cells"), "hub")
-    sized = sizes.where(F.least("x_size", "y_size") * 100 >= percent * F.greatest("x_size", "y_size")).select("hub", "node")
-    close = written(sized.join(x, "node").join(y, "hub").mapInArrow(_possible(percent), fields("hub long, node long")), "close")
-    sets = _sets_of(docs, known, close.select("node").union(close.select("hub")), n)
+    y = _by_part(known.select(F.col("node").alias("hub"), F.col("size").alias("y_size"), F.col("cells").alias("y_cells")), star)
+    sizes = star.select("hub", "part", "node").join(x.drop("x_cells"), "node").join(y.drop("y_cells"), ["hub", "part"])
+    sized = sizes.where(F.least("x_size", "y_size") * 100 >= percent * F.greatest("x_size", "y_size")).select("hub", "part", "node")
+    close = written(sized.join(x, "node").join(y, ["hub", "part"]).mapInArrow(_possible(percent), fields("hub long, part int, node long")), "close")
+    sets = written(node_sets(_rows_of(docs, known, close.select("node").union(close.select("hub"))), n), "sets")
     both = F.size(F.array_intersect("x", "y"))
     tested = (
         close.join(sets.select("node", F.col("elements").alias("x")), "node")
-        .join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("y")), "hub")
+        .join(_by_part(sets.select(F.col("node").alias("hub"), F.col("elements").alias("y")), close), ["hub", "part"])
         .select("hub", "node", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
     )
     edges = tested.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     root = roots(edges)
 
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent * 1.000001))).cast("int")
-    member = star.where("nodes > 2").select("hub", "node").join(known.select("node", "size", "cells"), "node").join(root, "node", "left")
-    member = member.select("hub", "node", "size", "cells", band.alias("bin"), F.coalesce("root", "node").alias("root"))
-    open_ = member.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub")
-    member = written(member.join(open_, "hub", "left_semi"), "members")
-    blocks = member.groupBy("hub", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    near = blocks.select("hub", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("bin").alias("to"), "blocks")
-    placed = member.join(blocks, ["hub", "bin"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    units = placed.join(near, ["hub", "bin"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    code = lambda b, k: F.shiftleft(b.cast("bigint"), 32) + k
-    mine, its = code(F.col("bin"), F.col("block")), code(F.col("to"), F.col("other"))
-    units = units.select("hub", F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), "node", "root", "size", "cells")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    sorted_units = units.repartition(int(parts), "hub", "a", "b").sortWithinPartitions("hub", "a", "b")
-    left = written(sorted_units.mapInArrow(_open_units(percent), fields("hub long, a long, b long, node long, root long")), "open")
-    more = left.join(_sets_of(docs, known, left.select("node"), n), "node").groupBy("hub", "a", "b").applyInPandas(_compared(percent), fields("a long, b long"))
+    member = star.where("nodes > 2").select("hub", "part", "node").join(known.select("node", "size", "cells"), "node").join(root, "node", "left")
+    member = written(member.select("hub", "part", "node", "size", "cells", F.coalesce("root", "node").alias("root")), "members")
+    open_ = member.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("hub", "n")
+    member = written(member.join(_by_part(open_, member), ["hub", "part"]), "open")
+    zero = F.lit(0).cast("bigint")
+    units = member.where(F.col("n") <= BLOCK).select("hub", zero.alias("a"), zero.alias("b"), "node", "root", "size", F.col("size").alias("most"), "cells")
+    large = member.where(F.col("n") > BLOCK).drop("n")
+    if not large.isEmpty():
+        units = units.union(_units(docs, known, large, n, percent))
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    sorted_units = units.repartition(int(shuffles), "hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+    left = written(sorted_units.mapInArrow(_open_units(percent), fields("hub long, a long, b long, node long, root long")), "left")
+    more = left.join(written(node_sets(_rows_of(docs, known, left.select("node")), n), "sets"), "node").groupBy("hub", "a", "b").applyInPandas(_compared(percent), fields("a long, b long"))
     again = roots(more)
     final = root.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = again.join(root, "node", "left_anti")  # nodes without a link to a hub
