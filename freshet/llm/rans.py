@@ -132,11 +132,19 @@ BLOCKS = fields("part int, first long, n_tokens long, doc_no array<long>, doc_id
 DECODED = fields("part int, doc_no long, doc_id long, start long, length long, crc long")
 
 
+def _short(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones; an error if one is too large."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >= VOCABULARY:
+        raise ValueError(f"the tokenizer has ids of {VOCABULARY} or more")
+    return wide.astype("<u2").tobytes()
+
+
 def ordered_ids(docs: DataFrame, path: str) -> DataFrame:
     """Each row's ids (16 bits each) in ascending doc_id order: parts by ranges of doc_id, numbered rows inside.
 
     The ranges come from approximate quantiles of doc_id alone. Null ids come first; rows with equal ids stay
-    apart as rows. A part holds about PART_DOCUMENTS rows, more only beyond MAX_PARTS parts.
+    apart as rows, in the order of their token ids. A part holds about PART_DOCUMENTS rows, more only beyond MAX_PARTS parts.
     """
     n = docs.count()
     parts = max(1, min(MAX_PARTS, -(-n // PART_DOCUMENTS)))
@@ -145,8 +153,8 @@ def ordered_ids(docs: DataFrame, path: str) -> DataFrame:
     def tokenise(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in batches(texts, 3_000_000):
-                ids = [(np.frombuffer(x, "<u4").astype("<u2").tobytes() + END_ID.to_bytes(2, "little")) for x in encoded(path, texts[a:b])]
+            for a, b in batches(texts, 6_000_000):
+                ids = [_short(x) + END_ID.to_bytes(2, "little") for x in encoded(path, texts[a:b])]
                 own = doc_ids[a:b]
                 part = [0 if d is None else bisect.bisect_right(bounds, d) for d in own]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
@@ -165,7 +173,7 @@ def ordered_ids(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), *[pa.int64()] * 4, pa.binary()])], names=ORDERED.names)
 
     ids = docs.select("doc_id", "text").mapInArrow(tokenise, fields("part int, doc_id long, ids binary"))
-    return ids.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()).mapInArrow(numbered, ORDERED)
+    return ids.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(numbered, ORDERED)
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -21,14 +20,10 @@ FIRST = "\0"
 #: After a letter or digit these always begin another token.
 _PUNCTUATION = ".,;:!?#$%&*|"
 #: A space after another space character could be part of a token with it; such texts are encoded whole.
-_UNSAFE = re.compile("[\\s\u180e\ufeff\u200b] |\0")
-_UNSAFE_ASCII = tuple(f"{c} " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f") + ("\0",)
-
-
-def _unsafe(text: str) -> bool:
-    if text.isascii():
-        return any(x in text for x in _UNSAFE_ASCII)
-    return _UNSAFE.search(text) is not None
+_SPACES = "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace()) + "\\x{180e}\\x{feff}\\x{200b}"
+_UNSAFE = f"[{_SPACES}] |\\x{{0}}"
+#: Plain words: ASCII and Latin-1 letters, of which any number can be encoded as one text.
+_WORDS = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{{1,{PIECE_CHARS}}}$"
 
 
 def _latin(text: str) -> bool:
@@ -60,10 +55,32 @@ class Memory:
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't in the newer generation. A piece follows a space unless it begins with FIRST."""
+    def words(self, names: list[str]) -> list[bytes]:
+        """The ids of plain words that follow a space."""
+        ids = list(map(self.known.get, names))
+        if missing := [x for x, y in zip(names, ids) if y is None]:
+            self.turn()
+            found = dict(zip(missing, map(self.older.get, missing)))
+            self.encode([], [x for x, y in found.items() if y is None], found)
+            self.known.update(found)
+            ids = [found[x] if y is None else y for x, y in zip(names, ids)]
+        return ids
+
+    def pieces(self, names: list[str]) -> list[bytes]:
+        """The ids of any pieces, as `learn` takes them."""
+        ids = list(map(self.known.get, names))
+        if missing := [x for x, y in zip(names, ids) if y is None]:
+            found = self.learn(missing)
+            ids = [found[x] if y is None else y for x, y in zip(names, ids)]
+        return ids
+
+    def turn(self) -> None:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't in the newer generation. A piece follows a space unless it begins with FIRST."""
+        self.turn()
         older, known = self.older.get, self.known
         found: dict[str, bytes] = {}
         parts: list[tuple[str, str, str]] = []
@@ -86,17 +103,15 @@ class Memory:
                         todo.add(x)
                     else:
                         found[x] = ids
-        self.encode(todo, found)
+        alpha = [x.isalpha() and x.lower().isalpha() and len(x) < 100 for x in todo]
+        self.encode([x for x, y in zip(todo, alpha) if not y], [x for x, y in zip(todo, alpha) if y], found)
         for piece, stem, tail in parts:
             found[piece] = (found[stem] if stem in found else known[stem]) + (found[tail] if tail in found else known[tail])
         known.update(x for x in found.items() if len(x[0]) <= PIECE_CHARS)
         return found
 
-    def encode(self, todo: set[str], found: dict[str, bytes]) -> None:
+    def encode(self, rest: list[str], words: list[str], found: dict[str, bytes]) -> None:
         """Words of letters after a space are encoded many at a time, as one text, and told apart by their first or last tokens."""
-        words, rest = [], []
-        for x in todo:
-            (words if x.isalpha() and x.lower().isalpha() and len(x) < 100 else rest).append(x)
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for i in range(0, len(groups), 16):
             own = groups[i : i + 16]
@@ -130,6 +145,30 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _piece_ids(memory: Memory, pieces: pa.Array) -> pa.Array:
+    """The ids of pieces that follow a space; a plain word and one punctuation mark after it are looked up apart."""
+    stems = pc.utf8_rtrim(pieces, characters=_PUNCTUATION)
+    size = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+    tail = size - pc.binary_length(stems).to_numpy(zero_copy_only=False)
+    plain = (tail <= 1) & pc.match_substring_regex(stems, _WORDS).to_numpy(zero_copy_only=False)
+    _, offsets, data = pieces.buffers()
+    ends = np.frombuffer(offsets, np.int32)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
+    ended = np.flatnonzero(plain & (tail == 1))
+    marks = np.frombuffer(data, np.uint8)[ends[ended] - 1] if len(ended) else np.zeros(0, np.uint8)
+    own = pc.dictionary_encode(stems.filter(pa.array(plain)))
+    words = memory.words(own.dictionary.to_pylist())
+    known = memory.pieces(pieces.filter(pa.array(~plain)).to_pylist())
+    after = memory.pieces([FIRST + chr(c) for c in np.unique(marks).tolist()])
+    values = pa.array([b"", *words, *known, *after], pa.large_binary())
+    pair = np.zeros((len(pieces), 2), np.int64)
+    pair[plain, 0] = 1 + own.indices.to_numpy()
+    pair[~plain, 0] = 1 + len(words) + np.arange(len(known))
+    pair[ended, 1] = 1 + len(words) + len(known) + np.searchsorted(np.unique(marks), marks)
+    _, offsets, data = values.take(pa.array(pair.ravel())).buffers()
+    cuts = np.frombuffer(offsets, np.int64)[: 2 * len(pieces) + 1 : 2].copy()
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(cuts), data])
+
+
 def encoded(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; None counts as empty.
 
@@ -138,9 +177,10 @@ def encoded(path: str, texts: list[str | None]) -> list[bytes]:
     """
     memory = loaded(path)
     out: list[bytes] = [b""] * len(texts)
+    unsafe = pc.match_substring_regex(pa.array(texts, pa.string()), _UNSAFE).to_pylist()
     safe: list[int] = []
     for i, text in enumerate(texts):
-        if text and _unsafe(text):
+        if text and unsafe[i]:
             out[i] = memory.whole(text)
         elif text:
             safe.append(i)
@@ -150,23 +190,16 @@ def encoded(path: str, texts: list[str | None]) -> list[bytes]:
     lists = pc.split_pattern(pa.array(own, pa.string()), " ")
     coded = pc.dictionary_encode(lists.values)
     begins = lists.offsets.to_numpy().astype(np.int64)
-    names = coded.dictionary.to_pylist()
-    n = len(names)
-    names += [FIRST + t.split(" ", 1)[0] for t in own]
-    index = coded.indices.to_numpy().astype(np.int64)
-    index[begins[:-1]] = np.arange(n, len(names))  # the first piece of a text follows no space
-    ids = list(map(memory.known.get, names))
-    if missing := [x for x, y in zip(names, ids) if y is None]:
-        found = memory.learn(missing)
-        ids = [found[x] if y is None else y for x, y in zip(names, ids)]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    starts = np.cumsum(sizes) - sizes
-    taken = sizes[index]
-    ends = np.cumsum(taken)
-    place = np.repeat(starts[index] - (ends - taken), taken)
-    place += np.arange(len(place))
-    data = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
-    cuts = [0, *(4 * ends[begins[1:] - 1]).tolist()]
+    ids = _piece_ids(memory, coded.dictionary)
+    index = coded.indices.to_numpy().copy()
+    n = len(ids)
+    first = memory.pieces([FIRST + t.split(" ", 1)[0] for t in own])
+    index[begins[:-1]] = np.arange(n, n + len(first))  # the first piece of a text follows no space
+    ids = pa.concat_arrays([ids, pa.array(first, pa.large_binary())])
+    taken = ids.take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    data = data.to_pybytes()
+    cuts = np.frombuffer(offsets, np.int64)[begins].tolist()
     for k, i in enumerate(safe):
         out[i] = data[cuts[k] : cuts[k + 1]]
     return out
