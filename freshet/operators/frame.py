@@ -233,3 +233,38 @@ def rebin_rates(df: DataFrame, keys: list[str], begin: str, end: str, rate: str,
     inside = F.least(F.col(end), (F.col("_k") + 1) * width) - F.greatest(F.col(begin), F.col("_k") * width)
     out = bins.groupBy(*keys, "_k").agg(F.sum(inside).alias("_h"), (F.sum(inside * F.col(rate)) / width).alias(rate))
     return out.where(F.col("_h") == width).select(*keys, (F.col("_k") * width).alias(begin), rate)
+
+
+def to_stored_units(stream: Column, v: Column) -> Column:
+    """A value as a stream stores it: rain not below 0, pressure less 1000 hPa, temperature from kelvin."""
+    return F.when(v.isNull(), v).when(stream == "rain", F.greatest(F.lit(0.0), v)).when(stream == "pressure", v - 1000).when(stream == "temperature", v - 273.15).otherwise(v)
+
+
+def from_stored_units(stream: Column, v: Column) -> Column:
+    return F.when(stream == "pressure", v + 1000).when(stream == "temperature", v + 273.15).otherwise(v)
+
+
+def to_physical_units(df: DataFrame, scales: dict[str, float], columns: list[str], strict: bool = True) -> DataFrame:
+    """columns by their registered scales; one that isn't registered is an error if strict, else it stays."""
+    if strict and (unknown := [c for c in columns if c not in scales]):
+        raise ValueError(f"no scale for {unknown}")
+    return df.withColumns({c: F.col(c) * F.lit(float(scales[c])) for c in columns if c in scales})
+
+
+def flip_shift_grid(df: DataFrame, lon: str, value: str) -> DataFrame:
+    """Longitudes of 0 to 360 as -180 to 180, negative values as missing."""
+    return df.withColumn(lon, F.when(F.col(lon) >= 180, F.col(lon) - 360).otherwise(F.col(lon))).withColumn(value, F.when(F.col(value) >= 0, F.col(value)))
+
+
+def subdataset(basin: Column) -> Column:
+    """What precedes the first underscore of a basin's id."""
+    return F.split_part(basin, F.lit("_"), F.lit(1))
+
+
+def link_id(number: Column) -> Column:
+    """The nine digits of a link."""
+    return F.lpad((number % 1_000_000_000).cast("string"), 9, "0")
+
+
+def safe_id(name: Column) -> Column:
+    return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")

@@ -109,3 +109,10 @@ def weighted_majority(df: DataFrame, key: str, weight: str, label: str) -> DataF
 def coverage_fraction(df: DataFrame, key: str, used: Column, area: str) -> DataFrame:
     """Share of a basin's fragments' area that is used, and their whole area."""
     return df.groupBy(key).agg(F.try_divide(F.sum(F.when(used, F.col(area)).otherwise(0.0)), F.sum(area)).alias("coverage"), F.sum(area).alias("area"))
+
+
+def requested_mean(df: DataFrame, key: str, weight: str, value: str, least: float = 0.8) -> DataFrame:
+    """The weighted mean of the values that are there; NULL if they have less than the least share of the requested weight."""
+    have = F.when(F.col(value).isNotNull(), F.col(weight))
+    out = df.groupBy(key).agg(F.sum(have).alias("_h"), F.sum(weight).alias("_w"), F.sum(have * F.col(value)).alias("_s"))
+    return out.select(key, F.when(F.try_divide("_h", "_w") >= least, F.try_divide("_s", "_h")).alias("value"))

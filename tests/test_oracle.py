@@ -1,8 +1,10 @@
 """Every query that has SQL against DuckDB on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,9 +15,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
 
 
+def cell(v) -> str:
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return ""
+    if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_):
+        return f"{float(v):.7g}"
+    if hasattr(v, "__len__") and not isinstance(v, str):
+        return str([cell(x) for x in v])
+    return str(v)[:10] if hasattr(v, "year") else str(v)
+
+
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
-    text = df.apply(lambda c: c.map(lambda v: "" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else f"{float(v):.7g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)[:10] if hasattr(v, "year") else str(v)))
+    text = df.apply(lambda c: c.map(cell)).astype(object)
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
