@@ -203,10 +203,31 @@ def percentile_profile(df: DataFrame, by: list[str], value: str, shares=(0.0, 0.
     return out.select(*by, *[F.col("_q")[i].alias(f"p{s * 100:g}") for i, s in enumerate(shares)])
 
 
+#: Steps of a feature's range among which the one that holds its median is found.
+MEDIAN_STEPS = 4096
+
+
 def feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
-    """Mean, population deviation, extremes and median of each feature, in one pass."""
-    long = df.unpivot([], features, "feature", "v")
-    return long.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median"))
+    """Mean, population deviation, extremes and exact median of each feature.
+
+    No task sees a whole column: values are counted by steps of the feature's range, then those of the one or two
+    steps that hold the middle ranks are counted by value.
+    """
+    long = df.unpivot([], features, "feature", "v").where("v IS NOT NULL")
+    stats = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+    step = F.coalesce(F.least(F.lit(MEDIAN_STEPS - 1), F.floor(F.try_divide(F.col("v") - F.col("min"), F.col("max") - F.col("min")) * MEDIAN_STEPS)), F.lit(0))
+    stepped = long.join(F.broadcast(stats.select("feature", "min", "max", "n")), "feature").select("feature", "v", "n", step.cast("int").alias("step"))  # a row for each named feature
+    w = Window.partitionBy("feature").orderBy("step")
+    counts = stepped.groupBy("feature", "step", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("to", F.sum("k").over(w)).withColumn("before", F.col("to") - F.col("k"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("to"))
+    middle = counts.where(holds(low) | holds(high)).select("feature", "step", "before")
+    values = stepped.join(F.broadcast(middle), ["feature", "step"]).groupBy("feature", "step", "v", "n", "before").agg(F.count(F.lit(1)).alias("k"))
+    ranked = values.withColumn("to", F.col("before") + F.sum("k").over(Window.partitionBy("feature", "step").orderBy("v"))).withColumn("before", F.col("to") - F.col("k"))
+    found = ranked.where(holds(low) | holds(high))
+    median = found.groupBy("feature").agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"))
+    empty = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
+    return empty.join(stats.drop("n"), "feature", "left").join(median, "feature", "left")
 
 
 def scaled(df: DataFrame, scaler: DataFrame, features: list[str], key: list[str]) -> DataFrame:

@@ -105,21 +105,21 @@ def classify_exceedance(q: Column, levels: dict[float, Column]) -> Column:
 
 
 def return_period_estimate(q: Column, levels: list[tuple[float, Column]]) -> Column:
-    """Period of a flow by interpolation in Gumbel's factor between known levels; NULL below the first, 1000 at most."""
-    levels = sorted(levels)
-    out = F.lit(None).cast("double")
-    k = [-math.sqrt(6) / math.pi * (EULER + math.log(math.log(t / (t - 1)))) for t, _ in levels]
-
-    def inverse(kk: Column) -> Column:
-        inner = F.exp(-math.pi / math.sqrt(6) * kk - EULER)
-        return 1 / (1 - F.exp(-inner))
-
-    for i in range(len(levels) - 1):
-        a, b = levels[i][1], levels[i + 1][1]
-        last = i == len(levels) - 2
-        inside = (q >= a) if last else (q >= a) & (q < b)
-        out = F.when(inside, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), inverse(k[i] + (q - a) / (b - a) * (k[i + 1] - k[i]))))).otherwise(out)
-    return out
+    """Period of a flow by interpolation in Gumbel's factor between known levels; NULL below the first, 1000 at most.
+
+    Levels that are missing or don't exceed all before them are left out; fewer than two levels give NULL.
+    """
+    k = lambda t: -math.sqrt(6) / math.pi * (EULER + math.log(math.log(t / (t - 1))))
+    known = F.array(*[F.struct(F.lit(k(t)).alias("k"), flow.cast("double").alias("q")) for t, flow in sorted(levels, key=lambda x: x[0])])
+    none = F.lit(None).cast("array<struct<k:double,q:double>>")
+    rising = lambda acc, x: F.when(x["q"].isNotNull() & (acc.isNull() | (x["q"] > F.element_at(acc, -1)["q"])), F.concat(F.coalesce(acc, F.array().cast("array<struct<k:double,q:double>>")), F.array(x))).otherwise(acc)
+    kept = F.aggregate(known, none, rising)
+    i = F.least(F.size(kept) - 1, F.size(F.filter(kept, lambda x: x["q"] <= q)))
+    a, b = F.get(kept, i - 1), F.get(kept, i)
+    factor = a["k"] + F.try_divide(q - a["q"], b["q"] - a["q"]) * (b["k"] - a["k"])
+    inner = F.exp(-math.pi / math.sqrt(6) * factor - EULER)
+    period = F.coalesce(F.try_divide(F.lit(1.0), 1 - F.exp(-inner)), F.lit(1000.0))
+    return F.when((F.size(kept) >= 2) & (q >= F.get(kept, F.lit(0))["q"]), F.least(F.lit(1000.0), F.greatest(F.lit(1.0), period)))
 
 
 def event_hits(df: DataFrame, key: str, t: str, value: str, threshold: Column, window: int, discard_any_missing: bool) -> Column:

@@ -14,32 +14,49 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() else df
 
 
-def upstream_closure(edges: DataFrame, node: str, down: str, depth: int = 64) -> DataFrame:
-    """(start, member, hops): every node that drains to start, itself included, for all starts.
+def upstream_closure(edges: DataFrame, node: str, down: str) -> DataFrame:
+    """(start, member, hops): every node that drains to start, itself included, for all starts; all pairs by definition.
 
-    Doubling: from all pairs up to 2^k hops apart come those up to 2^(k+1), so log2 of the depth joins suffice.
-    A network deeper than `depth` is an error rather than a part of the result.
+    Doubling: from all pairs up to 2^k hops apart come those up to 2^(k+1), until none is added. A path longer than
+    the number of nodes is a cycle, which is an error.
     """
     base = edges.select(F.col(node).alias("member"), F.col(down).alias("start"))
     known = edges.select(F.col(node).alias("member"), F.col(node).alias("start"), F.lit(0).alias("hops"))
     reach = base.join(edges.select(F.col(node).alias("start")), "start", "left_semi").withColumn("hops", F.lit(1))
-    pairs = known.unionByName(reach.select("member", "start", "hops"))
-    step = 1
-    while step < depth:
+    pairs, nodes, step = known.unionByName(reach.select("member", "start", "hops")), edges.count(), 1
+    while True:
         ahead = pairs.where(F.col("hops") == step).select(F.col("member").alias("mid"), F.col("start").alias("top"))
-        more = pairs.where("hops > 0").join(ahead, F.col("start") == F.col("mid")).select("member", F.col("top").alias("start"), (F.col("hops") + step).alias("hops"))
+        more = _kept(pairs.where("hops > 0").join(ahead, F.col("start") == F.col("mid")).select("member", F.col("top").alias("start"), (F.col("hops") + step).alias("hops")))
         step *= 2
         if more.isEmpty():
             return pairs.select("start", "member", "hops")
-        pairs = _kept(pairs.unionByName(more))
-    if not pairs.where(F.col("hops") == step).isEmpty():
-        raise ValueError("the network is deeper than depth, or has a cycle")
-    return pairs.select("start", "member", "hops")
+        if step > nodes:
+            raise ValueError("the network has a cycle")
+        pairs = pairs.unionByName(more)
 
 
-def contributing(closure: DataFrame, nodes: DataFrame, node: str, area: str) -> DataFrame:
-    """Units and area that drain to each start."""
-    return closure.join(nodes.select(F.col(node).alias("member"), area), "member").groupBy("start").agg(F.count(F.lit(1)).alias("units"), F.sum(area).alias("area"), F.max("hops").alias("depth"))
+def contributing(nodes: DataFrame, node: str, down: str, area: str) -> DataFrame:
+    """(start, units, area, depth): what drains to each node, itself included, and its longest path.
+
+    Each round adds to a node the sums of those whose pointer it is, 2^k hops above it, and doubles the pointers:
+    a row for each node in each of log2(depth) rounds. Pointers that outlast the number of nodes are a cycle.
+    """
+    state = nodes.select(F.col(node).alias("start"), F.col(down).alias("to"), F.lit(1).cast("bigint").alias("units"), F.col(area).alias("area"), F.lit(0).alias("depth"))
+    state = _kept(state.join(nodes.select(F.col(node).alias("to"), F.lit(True).alias("_in")), "to", "left").withColumn("to", F.when(F.col("_in"), F.col("to"))).drop("_in"))
+    total, hops = nodes.count(), 1
+    while not state.where("to IS NOT NULL").isEmpty():
+        if hops > total:
+            raise ValueError("the network has a cycle")
+        above = state.where("to IS NOT NULL").groupBy(F.col("to").alias("start")).agg(F.sum("units").alias("_u"), F.sum("area").alias("_a"), F.max("depth").alias("_d"))
+        ahead = state.select(F.col("start").alias("to"), F.col("to").alias("_to"))
+        added = state.join(above, "start", "left").join(ahead, "to", "left")
+        state = _kept(added.select(
+            "start", F.col("_to").alias("to"), (F.col("units") + F.coalesce("_u", F.lit(0))).alias("units"),
+            F.when(F.col("_u").isNull(), F.col("area")).otherwise(F.col("area") + F.col("_a")).alias("area"),
+            F.greatest("depth", F.col("_d") + hops).alias("depth"),
+        ))
+        hops *= 2
+    return state.select("start", "units", "area", "depth")
 
 
 def main_stem(edges: DataFrame, node: str, down: str, area: str) -> DataFrame:
@@ -108,12 +125,18 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
 
 
 def locate_units(points: DataFrame, units: DataFrame, cell_degrees: float = 5.0) -> DataFrame:
-    """(point_id, unit_id) of the units that hold each point: units go to the cells of their box, then an exact test."""
+    """(point_id, unit_id) of the units that hold each point: units go to the cells of their box, then an exact test.
+
+    Rings may run past the antimeridian; columns and points wrap.
+    """
+    n = int(round(360 / cell_degrees))
     at = lambda c, base: F.floor((c + base) / cell_degrees).cast("int")
     lat, lon = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    placed = units.withColumn("_r", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("_c", F.explode(F.sequence(at(F.array_min(lon), 180), at(F.array_max(lon), 180))))
-    found = points.withColumn("_r", at(F.col("lat"), 90)).withColumn("_c", at(F.col("lon"), 180)).join(placed, ["_r", "_c"])
-    return found.where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("point_id", "unit_id")
+    columns = F.array_distinct(F.transform(F.sequence(at(F.array_min(lon), 180), at(F.array_max(lon), 180)), lambda c: F.pmod(c, F.lit(n))))
+    placed = units.withColumn("_west", F.array_min(lon)).withColumn("_r", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("_c", F.explode(columns))
+    found = points.withColumn("_r", at(F.col("lat"), 90)).withColumn("_c", F.pmod(at(F.col("lon"), 180), F.lit(n))).join(placed, ["_r", "_c"])
+    east = F.when(F.col("lon") < F.col("_west"), F.col("lon") + 360).when(F.col("lon") - 360 >= F.col("_west"), F.col("lon") - 360).otherwise(F.col("lon"))
+    return found.where(in_ring(F.col("lat"), east, F.col("ring"))).select("point_id", "unit_id")
 
 
 def point_segment_km(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

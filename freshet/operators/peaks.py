@@ -113,7 +113,7 @@ def cell_weights(rings: DataFrame, degrees: float) -> DataFrame:
 
     rings: (basin, is_hole, pts array of (lon, lat)). Candidate cells of a ring come from its box by arithmetic, so
     no join looks at all cells; a ring's cells are spread over tasks before they are clipped. Holes subtract.
-    A basin that covers nothing measurable is its centre's cell.
+    A basin that covers nothing measurable is its centre's cell. Rings may run past the antimeridian; columns wrap.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
@@ -133,6 +133,7 @@ def cell_weights(rings: DataFrame, degrees: float) -> DataFrame:
             yield pdf[["basin", "lat_idx", "lon_idx"]].assign(area=np.array(area, float) * sign)
 
     measured = cells.repartition("basin", "lat_idx", "lon_idx").mapInPandas(clip, f"basin {kinds['basin']}, lat_idx int, lon_idx int, area double")
+    measured = measured.withColumn("lon_idx", F.pmod("lon_idx", F.lit(round(360 / degrees))))
     areas = measured.groupBy("basin", "lat_idx", "lon_idx").agg(F.sum("area").alias("area"))
     total = F.sum(F.greatest(F.col("area"), F.lit(0.0))).over(Window.partitionBy("basin"))
     weighed = areas.withColumn("_t", total).where("area > 1e-12 AND _t > 0").select("basin", "lat_idx", "lon_idx", (F.col("area") / F.col("_t")).alias("weight"))

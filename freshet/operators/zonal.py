@@ -20,28 +20,28 @@ def normalised_weights(cells: DataFrame, size: str, key: str = "basin") -> DataF
     return cells.withColumn("weight", F.try_divide(F.col(size), F.sum(size).over(Window.partitionBy(key))))
 
 
-def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx")) -> DataFrame:
+def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx"), more: dict[str, Column] | None = None) -> DataFrame:
     """Per basin and `by`: the weighted mean of valid cells, NULL under the coverage rule, and the missing fraction.
 
     The weights decide what a basin's whole weight is, so cells without a row count as missing. The join is an equi-join on the cell;
-    the aggregation has partial sums before its one shuffle.
+    the aggregation has partial sums before its one shuffle. `more` are further aggregates of the joined cells.
     """
     whole = weights.groupBy("basin").agg(F.sum("weight").alias("_whole"))
     joined = grid.join(weights, list(cell))
     valid = F.col(value).isNotNull()
     sums = joined.groupBy("basin", *by).agg(
-        F.sum(F.when(valid, F.col("weight") * F.col(value))).alias("_wx"), F.coalesce(F.sum(F.when(valid, F.col("weight"))), F.lit(0.0)).alias("_w")
+        F.sum(F.when(valid, F.col("weight") * F.col(value))).alias("_wx"), F.coalesce(F.sum(F.when(valid, F.col("weight"))), F.lit(0.0)).alias("_w"),
+        *[x.alias(name) for name, x in (more or {}).items()],
     )
     share = F.try_divide(F.col("_w"), F.col("_whole"))
     return sums.join(whole, "basin").select(
-        "basin", *by, F.when(share >= COVERAGE - SLACK, F.try_divide(F.col("_wx"), F.col("_w"))).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction")
+        "basin", *by, F.when(share >= COVERAGE - SLACK, F.try_divide(F.col("_wx"), F.col("_w"))).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction"), *(more or {})
     )
 
 
 def basin_summary(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx")) -> DataFrame:
     """zonal_reduce with the largest cell beside the mean."""
-    most = grid.join(weights, list(cell)).groupBy("basin", *by).agg(F.max(value).alias("max_cell"))
-    return zonal_reduce(grid, weights, by, value, cell).join(most, ["basin", *by])
+    return zonal_reduce(grid, weights, by, value, cell, {"max_cell": F.max(value)})
 
 
 def ensemble_stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -103,7 +103,13 @@ def flood_event_scores(spark, d):
     return _scored(spark, d).select("basin", "n_obs", "n_sim", *[R(c, 8).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("return_period_estimate", None)
+def _between(a: int, b: int) -> str:
+    k = f"({_K(a)} + (peak - f{a}) / (f{b} - f{a}) * ({_K(b)} - {_K(a)}))"
+    return f"least(1000, greatest(1, 1 / (1 - exp(-exp(-pi() / sqrt(6) * {k} - {frequency.EULER})))))"
+
+
+@query("return_period_estimate", f"""WITH l AS (SELECT basin, year, peak, {', '.join(f"{_LEVEL(t)} AS f{t}" for t in (2, 5, 20, 100))} FROM {_ANNUAL} JOIN {_FIT} USING (basin))
+SELECT basin, year, peak, round(CASE WHEN NOT (f2 < f5) OR peak < f2 THEN NULL WHEN peak < f5 THEN {_between(2, 5)} WHEN peak < f20 THEN {_between(5, 20)} ELSE {_between(20, 100)} END, 6) AS period FROM l""", "flow")
 def return_period_estimate(spark, d):
     wide = _levels(spark, d, [2.0, 5.0, 20.0, 100.0]).groupBy("basin").pivot("period", [2.0, 5.0, 20.0, 100.0]).agg(F.first("flow"))
     levels = [(t, F.col(f"`{t}`")) for t in (2.0, 5.0, 20.0, 100.0)]
@@ -133,7 +139,7 @@ def upstream_closure(spark, d):
 SELECT start, count(*) AS units, round(sum(area), 4) AS area, max(hops) AS depth FROM c JOIN e ON e.reach_id = c.member GROUP BY 1""", "reaches")
 def contributing_area(spark, d):
     r = base.reaches(spark, d)
-    return network.contributing(network.upstream_closure(r, "reach_id", "next_down"), r, "reach_id", "area").withColumn("area", R("area", 4))
+    return network.contributing(r, "reach_id", "next_down", "area").withColumn("area", R("area", 4))
 
 
 @query("main_stem", "SELECT next_down AS node, arg_max(reach_id, area) AS up, count(*) AS tributaries FROM reaches WHERE next_down <> 0 GROUP BY 1", "reaches")
@@ -222,10 +228,13 @@ def _mixtures(spark, d):
     return base.read(spark, d, "supplier").select("s_suppkey", F.array(part(mu, 2.0, 0.3, 0.7), part(mu + 5, 1.0, 0.6, 0.3)).alias("c"))
 
 
-@query("cell_weights")
+@query("cell_weights", """WITH b AS (SELECT point_id AS basin, greatest(lat - 2, -90) AS s, least(lat + 2, 90) AS n, lon - 3.5 AS w, lon + 3.5 AS e FROM points),
+c AS (SELECT basin, i, ((j + 72) % 72) AS j, greatest(0, least(n, i * 5 - 85) - greatest(s, i * 5 - 90)) * greatest(0, least(e, j * 5 - 175) - greatest(w, j * 5 - 180)) * cos(radians(i * 5 - 87.5)) AS a FROM b, range(36) r(i), range(-2, 75) t(j)),
+g AS (SELECT basin, i, j, sum(a) AS a FROM c GROUP BY 1, 2, 3)
+SELECT basin, i::INT AS lat_idx, j::INT AS lon_idx, round(a / sum(a) OVER (PARTITION BY basin), 9) AS weight FROM g WHERE a > 1e-12""", "points")
 def cell_weights(spark, d):
-    """Boxes of 7 by 4 degrees around the points, on a grid of 5 degrees."""
-    p = base.points(spark, d).where("abs(lat) < 80 AND abs(lon) < 170")
-    corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+    """Boxes of 7 by 4 degrees around all points, cut at the poles, on a grid of 5 degrees."""
+    p = base.points(spark, d)
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), F.least(F.lit(90.0), F.greatest(F.lit(-90.0), F.col("lat") + y)).alias("lat"))
     rings = p.select(F.col("point_id").alias("basin"), F.lit(False).alias("is_hole"), F.array(corner(-3.5, -2.0), corner(3.5, -2.0), corner(3.5, 2.0), corner(-3.5, 2.0)).alias("pts"))
     return peaks.cell_weights(rings, 5.0).withColumn("weight", R("weight", 9))

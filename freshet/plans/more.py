@@ -75,11 +75,11 @@ def return_period_levels(spark, d):
     return out.withColumn("flow", R("flow"))
 
 
-@query("locate_units", """SELECT p.point_id, u.point_id AS unit_id FROM points p, points u WHERE abs(u.lat) < 80 AND abs(u.lon) < 170 AND abs(p.lat - u.lat) + abs(p.lon - u.lon) < 7.05""", "points")
+@query("locate_units", """SELECT p.point_id, u.point_id AS unit_id FROM points p, points u WHERE abs(p.lat - u.lat) + least(abs(p.lon - u.lon), 360 - abs(p.lon - u.lon)) < 7.05""", "points")
 def locate_units(spark, d):
-    """Points in diamonds of 7.05 degrees around all that are away from the map's edges; coordinates have one decimal, so none lies on an edge."""
+    """Points in diamonds of 7.05 degrees around all points, past the antimeridian too; coordinates have one decimal, so none lies on an edge."""
     p = base.points(spark, d)
     corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
     ring = F.array(corner(-7.05, 0.0), corner(0.0, -7.05), corner(7.05, 0.0), corner(0.0, 7.05))
-    units = p.where("abs(lat) < 80 AND abs(lon) < 170").select(F.col("point_id").alias("unit_id"), ring.alias("ring"))
+    units = p.select(F.col("point_id").alias("unit_id"), ring.alias("ring"))
     return network.locate_units(p, units)

@@ -73,12 +73,24 @@ def test_skill_of_flat_and_equal_series(spark):
     assert got[1]["nse"] == 1 and got[1]["kge"] == pytest.approx(1) and got[2]["nse"] is None and 3 not in got
 
 
-def test_closure_depth_is_an_error(spark):
-    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 12)], "n long, d long")
+def test_closures_of_long_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1, 1.0) for i in range(1, 201)], "n long, d long, a double")
     got = network.upstream_closure(chain, "n", "d")
-    assert got.count() == 66 and got.agg(F.max("hops")).first()[0] == 10
-    with pytest.raises(ValueError):
-        network.upstream_closure(chain, "n", "d", depth=4)
+    assert got.count() == 200 * 201 // 2 and got.agg(F.max("hops")).first()[0] == 199
+    sums = {r["start"]: tuple(r)[1:] for r in network.contributing(chain, "n", "d", "a").collect()}
+    assert sums == {i: (201 - i, 201.0 - i, 200 - i) for i in range(1, 201)}
+    ring = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "n long, d long, a double")
+    for f in (lambda: network.upstream_closure(ring, "n", "d"), lambda: network.contributing(ring, "n", "d", "a")):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_return_periods_of_flat_and_missing_levels(spark):
+    rows = [(1, 5.0, 5.0, 5.0), (2, 1.0, 2.0, 3.0), (3, None, 2.0, 4.0), (4, 1.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    levels = [(2.0, F.col("a")), (5.0, F.col("b")), (20.0, F.col("c"))]
+    got = {r["k"]: (r["low"], r["at"]) for r in df.select("k", frequency.return_period_estimate(F.lit(0.5), levels).alias("low"), frequency.return_period_estimate(F.lit(3.0), levels).alias("at")).collect()}
+    assert got[1] == (None, None) and got[2] == (None, pytest.approx(20)) and 5 < got[3][1] < 20 and got[4] == (None, pytest.approx(20))
 
 
 def test_nearest_across_the_antimeridian_and_at_the_pole(spark):
