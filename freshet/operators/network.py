@@ -30,7 +30,7 @@ def upstream_closure(edges: DataFrame, node: str, down: str) -> DataFrame:
         step *= 2
         if more.isEmpty():
             return pairs.select("start", "member", "hops")
-        if step > nodes:
+        if step >= nodes and not more.where(F.col("hops") >= nodes).isEmpty():
             raise ValueError("the network has a cycle")
         pairs = pairs.unionByName(more)
 
