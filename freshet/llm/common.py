@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a local master without one a folder of our own (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not str(spark.conf.get("spark.master", "local")).startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
         base = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

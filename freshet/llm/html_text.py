@@ -23,8 +23,9 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-#: Elements whose text is no text of the page, up to their end tag.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "select", "button", "canvas", "audio", "video"}
+#: Elements whose text is no text of the page, up to their end tag. Without one the first ones run to the page's end, the others hide nothing.
+UNENDED = {"script", "style", "textarea", "title"}
+RAW = UNENDED | {"noscript", "template", "iframe", "svg", "select", "button", "canvas", "audio", "video"}
 #: Elements that stay inside a block; any other begins and ends blocks.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "nobr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -33,13 +34,17 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FURNITURE = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 MAIN = {"article", "main"}
-#: Words of class and id attributes that name furniture.
-FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?"
-    r"|footer|masthead|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|notices|notification|alert|warning|popup|modal|overlay|newsletter"
-    r"|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|topbar|widget|search|copyright|legal|skip|tags|hidden)(?=$|[\s_-])",
-    re.I,
+#: Names of furniture in class and id attributes: a whole name, its last word, or its first one before a word of UI.
+FURNITURE_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side menu navbar nav navigation breadcrumb breadcrumbs footer"
+    " masthead comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices notification alert warning popup modal overlay newsletter subscribe"
+    " subscription signup login share sharing social related recommended recommendations pagination pager toolbar topbar widget search copyright legal skip tags hidden".split()
 )
+UI_WORDS = set("area bar block body box button buttons card cards container content form group header icons inner item items line link links list message panel row section slot strip text title top unit wrap wrapper".split())
+#: A name that begins so says what an element is or has, not that it is furniture.
+MODIFIERS = {"has", "is", "no", "not", "with", "without"}
+#: Lists of other texts: an article inside them is not the page's own.
+LISTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side comment comments commentlist disqus respond replies related recommended recommendations popup modal overlay widget".split())
 #: Features of a block; the first two are also taken of its neighbours.
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "page_header", "in_main", "heading"]
 
@@ -56,31 +61,48 @@ class Block:
     keep: bool
 
 
-def _role(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether an element's start tag speaks for furniture, a header, main text, or is labelled as main text."""
+def furniture_name(names: str) -> str:
+    """The word of a class or id attribute that names furniture, or an empty one."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if not words or words[0] in MODIFIERS:
+            continue
+        if words[-1] in FURNITURE_WORDS:
+            return words[-1]
+        if words[0] in FURNITURE_WORDS and all(w in UI_WORDS or w in FURNITURE_WORDS or w.isdigit() for w in words[1:]):
+            return words[0]
+    return ""
+
+
+def _role(name: str, attributes: str) -> tuple[int, bool, bool, bool]:
+    """What an element's start tag speaks for: furniture (2, or 1 if an article inside it is the page's own), a header, main text, the label."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
-    named = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    furniture = name in FURNITURE or role in FURNITURE_ROLES or hidden or (name not in ("html", "body") and bool(FURNITURE_WORDS.search(named)))
+    word = "" if name in ("html", "body") else furniture_name(f"{found.get('class', '')} {found.get('id', '')}")
+    if hidden or word in LISTS or (name in FURNITURE and name != "form") or role in FURNITURE_ROLES - {"form", "search"}:
+        furniture = 2
+    else:
+        furniture = int(bool(word) or name == "form" or role in FURNITURE_ROLES)
     return furniture, name == "header", name in MAIN or role in MAIN, "data-keep" in found
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order: text without markup, references decoded, white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, furniture, header, main: own or of an ancestor
+    stack: list[tuple[str, int, bool, bool]] = []  # element, furniture, header, main: own or of an ancestor
     text: list[str] = []
     linked: list[str] = []
     in_link = heading = keep = False
+    link_depth = 0
 
     def end() -> None:
         nonlocal keep
         words = "".join(text).split()
         text.clear()
         if words:
-            _, furniture, header, main = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), furniture, header and not main, main, heading, keep))
+            _, furniture, header, main = stack[-1] if stack else ("", 0, False, False)
+            out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), furniture > 0, header and not main, main, heading, keep))
         linked.clear()
 
     def say(part: str) -> None:
@@ -106,17 +128,16 @@ def blocks(page: str | None) -> list[Block]:
         if name in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else n
+                at = stop.end() if stop else n if name in UNENDED else at
             continue
         if name == "br":
             say(" ")
         elif name == "a":
             if in_link:
                 linked.append(" ")
-            in_link = not closing
+            in_link, link_depth = not closing, len(stack)
         elif name not in INLINE:
             end()
-            in_link = False
             heading = name in HEADINGS and not closing
             keep = False
             if closing:
@@ -124,12 +145,15 @@ def blocks(page: str | None) -> list[Block]:
                     if stack[i][0] == name:
                         del stack[i:]
                         break
+                in_link = in_link and len(stack) >= link_depth
             elif name not in VOID:
                 while stack and stack[-1][0] == "p":  # a paragraph ends where any other block begins
                     stack.pop()
+                in_link = in_link and len(stack) >= link_depth
                 furniture, header, main, keep = _role(name, attributes)
-                _, f, h, a = stack[-1] if stack else ("", False, False, False)
-                stack.append((name, f or furniture, h or header, a or main))
+                _, f, h, a = stack[-1] if stack else ("", 0, False, False)
+                f = 0 if main and f == 1 else f  # what surrounds an article is its layout
+                stack.append((name, max(f, furniture), h or header, a or main))
     end()
     return out
 
@@ -201,8 +225,8 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
 def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page.
 
-    Null and empty pages, and pages of furniture only, have an empty text; rows that repeat a page_id are treated
-    one by one; an empty table gives no rows.
+    Null and empty pages, and pages of furniture only, have an empty text; long pages are read whole; rows that repeat
+    a page_id are treated one by one; further columns are left out; an empty table gives no rows.
     """
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 

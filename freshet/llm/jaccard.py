@@ -528,3 +528,21 @@ def op9_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     least id of their class, null if no row of it has one. An empty table gives no rows.
     """
     return classes(table(spark, sf_dir, "documents"), 3, 90)
+
+
+_UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+
+#: Sets as sorted lists of shingles, pairs by shared shingles, classes by reachability.
+OP9_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) END) AS k FROM w),
+n AS MATERIALIZED (SELECT k, min(doc_id) AS node, len(k) AS n FROM s WHERE len(k) > 0 GROUP BY k),
+e AS MATERIALIZED (SELECT node, n, unnest(k) AS g FROM n),
+p AS MATERIALIZED (SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.g = b.g AND a.node < b.node AND least(a.n, b.n) * 100 >= 90 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a AS node, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.k)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN n ON s.k = n.k LEFT JOIN c ON c.node = n.node
+"""

@@ -51,6 +51,12 @@ PAGES = [
     <footer>Posted in drought by the editors of the valley record.</footer></article>
     <section class="comments"><article><p>My well was dry as well, and so was that of my neighbour, for longer than I can remember.</p></article></section>
     <div class="newsletter"><p>Get the best of our stories in your mailbox every Sunday, free.</p></div></body>""",
+    # Layout classes and a form around the page; a link around a teaser.
+    """<body class="has-sidebar"><form id="page"><div class="content with-sidebar no-banner social-science"><article class="post has-comments legal-news">
+    <h2 data-keep>Tides of the estuary</h2><p data-keep>The tide table is older than the harbour and was drawn up by a monk who had nothing else to do.</p>
+    <p data-keep>It is still right.</p><div class="share-buttons"><p>Send this to a friend</p></div></article>
+    <div class="sidebar"><h3>More from us</h3><p>Ebb and flow for beginners, in twelve short lessons.</p></div>
+    <a href="/t"><div>Read how the harbour was built by hand in a year</div></a></div></form></body>""",
     # Furniture only.
     """<body><nav><a href="/">Home</a></nav><div class="menu"><p>Choose a district</p></div><div class="popup"><p>Subscribe now and save a third of the price for a year.</p></div>
     <div class="alert">This site will be down for repairs on Sunday from noon to four.</div><footer><p>Imprint</p><p>Made with care by people who like water and the web.</p></footer></body>""",

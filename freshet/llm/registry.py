@@ -17,4 +17,4 @@ QUERIES = {
     "op10_block_tree": html_text.op10_block_tree,
 }
 
-ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL, "op10_block_tree": html_text.OP10_SQL}
+ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL, "op9_partenum_jaccard": jaccard.OP9_SQL, "op10_block_tree": html_text.OP10_SQL}

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from freshet.llm import jaccard, media, mixing, packing, rans, sharding, tokens
-from freshet.llm.common import scratch
+from freshet.llm import jaccard, media, mixing, packing, rans, registry, sharding, tokens
+from freshet.llm.common import scratch, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, rate string"
 HERE = "/root/testdata/sf0.001"
@@ -274,3 +274,84 @@ def test_mixture_by_source_keeps_all_groups(spark, monkeypatch):
         assert set(got) == set(sizes) and all(abs(got[s] - w) < 5 * (w * max(1, w / sizes[s])) ** 0.5 for s, w in wanted.items())
     some = mixing.replicate(docs, "doc_id", "source", {"hot": 1.0}, other=0.5)
     assert {r["source"] for r in some.select("source").distinct().collect()} == set(sizes)
+
+
+def test_shards_against_plain_hashes(spark, tmp_path):
+    """The query itself on null, empty, long and repeated rows: shards, the one more shard, sizes, CRCs, slots."""
+    rows = [(i, f"text {i} \u00e9") for i in range(300)] + [(3, None), (3, ""), (None, "x"), (7, "y" * 50_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def best(key, shards):
+        us = [int(hashlib.md5(f"shard:{i // 4}:{key}".encode()).hexdigest()[8 * (i % 4) : 8 * (i % 4) + 8], 16) for i in range(shards)]
+        return max(range(shards), key=lambda i: us[i])
+
+    got = sharding.op6_rendezvous_shards(spark, str(tmp_path)).collect()
+    key = lambda d: "" if d is None else str(d)
+    wanted = sorted((key(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), best(key(d), 16), best(key(d), 17)) for d, t in rows)
+    assert sorted((key(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == wanted
+    assert all(r["grown_shard"] in (r["shard"], 16) and r["law"] == "key" for r in got)
+    for shard in range(16):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+@pytest.mark.parametrize("name", ["op1_poisson_mix", "op3_repetition_rules", "op9_partenum_jaccard", "op10_block_tree"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{HERE}/{t}.parquet'")
+    got, wanted = registry.QUERIES[name](spark, HERE), con.execute(registry.ORACLE[name])
+    names = sorted(got.columns)
+    assert names == sorted(x[0] for x in wanted.description)
+    at = [[x[0] for x in wanted.description].index(n) for n in names]
+    plain = lambda row: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
+    assert sorted(plain(r) for r in got.select(names).collect()) == sorted(plain([row[i] for i in at]) for row in wanted.fetchall())
+
+
+def test_large_hubs(spark, monkeypatch):
+    """More near copies and outsiders than a block holds, in bins that mix roots."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "PART", 16)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(140):
+        own = list(base)
+        at = rnd.randrange(100)
+        for j in range(rnd.choice([2, 4, 8, 14, 22])):
+            own[at + j if at + j < 120 else j] = f"n{k}-{j}" if k % 3 else f"m{k % 5}-{j}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(docs, 5, 80).collect())) == plain_classes(rows, 5, 80)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated doc_ids, an empty table, and columns with the names that stages use themselves."""
+    text = lambda k: " ".join(prose(k))
+    names = "rate replica _order _rate _n _quality _digest _id row key group".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in names)
+    rows = [(i, t, None, s, None, *names) for i, t, s in [(1, text(1), "a"), (1, text(2), "a"), (2, text(1), None), (None, text(3), "b"), (4, None, "b"), (5, "", None)]]
+    docs = spark.createDataFrame(rows, schema)
+    for docs_ in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs_ = written(stage(spark, docs_, ""), name)
+            assert docs_.columns == docs.columns
+            assert all(tuple(r)[5:] == tuple(names) for r in docs_.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, docs_, "").count() >= 0
+    kept = texts(corpus_pipeline.ngram_jaccard(spark, docs, ""))
+    assert sorted(kept, key=str) == sorted([(1, text(1)), (1, text(2)), (None, text(3)), (4, None), (5, "")], key=str)
+
+
+def test_short_texts_fill_sequences():
+    packer, made = packing.Packer(), []
+    for i in range(3000):
+        made += packer.add(i, 4, 1)
+    made += packer.sequences(True)
+    assert sum(n for pieces in made for _, _, n in pieces) == 12_000 and len(made) == 3
+
+
+def test_wide_ids_are_refused():
+    with pytest.raises(ValueError):
+        rans._short(np.array([1, 70_000], "<u4").tobytes())

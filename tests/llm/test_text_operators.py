@@ -152,3 +152,13 @@ def test_grading_of_odd_rows(spark):
     model = ordinal.trained(docs, labels, labels["g"])
     assert ordinal.scored(docs, model).count() == len(ODD) and ordinal.scored(docs.limit(0), model).count() == 0
     assert ordinal.trained(docs, labels.limit(0), labels["g"]).weights.sum() == 0
+
+
+def test_class_names_that_only_name_furniture():
+    for c in ("content with-sidebar", "no-sidebar", "has-comments", "social-science", "legal-news", "layout sidebar-right", "has-banner"):
+        article = "<h1>A title</h1><p>A paragraph of the article with some words in it.</p><p>Yes.</p>"
+        wanted = "A title\nA paragraph of the article with some words in it.\nYes."
+        assert html_text.main_text(f'<body><div class="{c}"><article>{article}</article></div></body>') == wanted
+        assert html_text.main_text(f'<body><article class="{c}">{article}</article></body>') == wanted
+    for c in ("sidebar", "cookie-notice", "ad-slot", "comment-list", "share-buttons", "footer"):
+        assert html_text.main_text(f'<body><article><p>Kept text of the page, of some length.</p><div class="{c}"><p>Something else of the same length.</p></div></article></body>') == "Kept text of the page, of some length."
