@@ -400,20 +400,17 @@ def _unique_elements(docs: DataFrame, n: int) -> DataFrame:
     return own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _units(docs: DataFrame, known: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+def _units(member: DataFrame, percent: int) -> DataFrame:
     """(hub, a, b, node, root, size, most, cells): member's nodes of large hubs, in pairs of blocks (a, b) to be compared.
 
-    What a pair can share is bounded by the elements that aren't unique among these nodes (most). Nodes that can't
-    be similar to any set go. The others are binned by size, by their share of unique elements, and by whether
-    their root is the hub's most frequent one: at most a few hundred bins a hub, whatever its nodes. Pairs of bins
-    whose sizes and bounds rule out similar sets, or of one root, go; bins are cut into blocks, and nodes are
-    repeated for the blocks of the other bin of each pair that is left.
+    Nodes are binned by size, by their share of unique elements, and by whether their root is the hub's most
+    frequent one: at most a few hundred bins a hub, whatever its nodes. Pairs of bins whose sizes and bounds rule
+    out similar sets, or of one root, go; bins are cut into blocks, and nodes are repeated for the blocks of the
+    other bin of each pair that is left.
     """
-    alone = written(_unique_elements(_rows_of(docs, known, member.select("node")), n), "unique")
     main = member.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     log = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1 + BIN_PERCENT / 100))).cast("int")
-    own = member.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
-    own = own.where(F.col("most") * 100 >= percent * F.col("size")).join(_by_part(main, member), ["hub", "part"])
+    own = member.join(_by_part(main, member), ["hub", "part"])
     share = F.floor((F.col("size") - F.col("most")) * (100 // BIN_PERCENT) / F.col("size")).cast("int")
     bin_ = F.struct(log(F.col("size")).alias("size"), share.alias("share"), (F.col("root") == F.col("main")).alias("main"))
     own = written(own.select("hub", "node", "root", "size", "most", "cells", bin_.alias("bin")), "binned")
@@ -453,9 +450,10 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     Sets that are equal are one node, known by a 64-bit hash like the shingles themselves; links between different
     sets are those that pass an exact test. In the bucket of a signature the node that is in most buckets is the
     hub. Each other one is tested against it, unless sizes or histograms rule it out: a row for each node and hub,
-    not for each pair. What is left is nodes of one hub that are in different components: those of a small hub are
-    one block, those of a large one are laid out as `_units` says; pairs are compared by histograms first, and the
-    nodes that are left in a pair of blocks by their sets.
+    not for each pair. What is left is nodes of one hub that are in different components. What two of them can share
+    is bounded by the elements that are in no other such set (most, the rest); nodes that this rules out go. Those
+    of a small hub are one block, those of a large one are laid out as `_units` says; pairs are compared by bounds
+    and histograms first, and the nodes that are left in a pair of blocks by their sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -475,7 +473,7 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("nodes"))
     star = shared.join(hubs, "sig").where("node <> hub").groupBy("hub", "node").agg(F.max("nodes").alias("nodes"))
     star = written(star, "star")
-    parts = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    parts = written(star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "hubs")
     star = written(star.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "parts")
 
     x = known.select("node", F.col("size").alias("x_size"), F.col("cells").alias("x_cells"))
@@ -497,11 +495,14 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     member = written(member.select("hub", "part", "node", "size", "cells", F.coalesce("root", "node").alias("root")), "members")
     open_ = member.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("hub", "n")
     member = written(member.join(_by_part(open_, member), ["hub", "part"]), "open")
+    alone = written(_unique_elements(_rows_of(docs, known, member.select("node")), n), "unique")
+    bounded = member.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
+    member = written(bounded.where(F.col("most") * 100 >= percent * F.col("size")).drop("alone"), "bounded")
     zero = F.lit(0).cast("bigint")
-    units = member.where(F.col("n") <= BLOCK).select("hub", zero.alias("a"), zero.alias("b"), "node", "root", "size", F.col("size").alias("most"), "cells")
+    units = member.where(F.col("n") <= BLOCK).select("hub", zero.alias("a"), zero.alias("b"), "node", "root", "size", "most", "cells")
     large = member.where(F.col("n") > BLOCK).drop("n")
     if not large.isEmpty():
-        units = units.union(_units(docs, known, large, n, percent))
+        units = units.union(_units(large, percent))
     shuffles = spark.conf.get("spark.sql.shuffle.partitions")
     sorted_units = units.repartition(int(shuffles), "hub", "a", "b").sortWithinPartitions("hub", "a", "b")
     left = written(sorted_units.mapInArrow(_open_units(percent), fields("hub long, a long, b long, node long, root long")), "left")
