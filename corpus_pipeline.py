@@ -37,6 +37,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = jaccard.members(docs, SHINGLE_WORDS, SIMILARITY).where("node IS NOT NULL")
     rows = written(found.groupBy("component", "doc_id", "node", "digest").agg(F.count(F.lit(1)).alias("rows")), "members")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "digest")).alias("first"))
+    first = written(first, "firsts")  # so that the join may split a large class
     stays = F.expr("doc_id <=> first.doc_id AND node = first.node AND digest = first.digest")
     judged = written(rows.join(first, "component").select("doc_id", "digest", "rows", stays.alias("stays")), "near-copies")
 
