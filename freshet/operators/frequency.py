@@ -275,3 +275,25 @@ def fit_lp3(peaks: DataFrame, key: str, value: str, least: int = 5) -> DataFrame
     share = peaks.groupBy(key).agg(F.avg((F.col(value) > 0).cast("double")).alias("p_positive"))
     m = sample_moments(peaks.where(F.col(value) > 0), [key], F.log10(value)).where(F.col("n") >= least)
     return m.join(share, key)
+
+
+def gumbel_periods(flows: DataFrame, fit: DataFrame, key: str, value: str) -> DataFrame:
+    """Return period of each flow under its key's Gumbel fit; NULL without a fit or spread, infinite beyond doubles."""
+    k = F.try_divide(F.col(value) - F.col("mean"), F.col("std"))
+    chance = -F.expm1(-F.exp(-(math.pi / math.sqrt(6) * k + EULER)))
+    period = F.when(chance == 0, float("inf")).otherwise(F.try_divide(F.lit(1.0), chance))
+    return flows.join(fit.select(key, "mean", "std"), key, "left").withColumn("period", period).drop("mean", "std")
+
+
+def loglog_flows(fit: DataFrame, key: str, periods: list[float]) -> DataFrame:
+    """Flow of each period on the line of fit_loglog; NULL where the line is flat."""
+    period = F.explode(F.array(*[F.lit(float(t)) for t in periods]))
+    flow = F.pow(F.lit(10.0), F.try_divide(F.log10(F.log10("period")) - F.col("intercept"), F.col("slope")))
+    return fit.select(key, "slope", "intercept", period.alias("period")).select(key, "period", flow.alias("flow"))
+
+
+def loglog_periods(flows: DataFrame, fit: DataFrame, key: str, value: str) -> DataFrame:
+    """Return period of each flow on its key's line; NULL without a line or for flows that aren't positive."""
+    line = F.col("intercept") + F.col("slope") * F.log10(value)
+    period = F.when(F.col(value) > 0, F.pow(F.lit(10.0), F.pow(F.lit(10.0), line)))
+    return flows.join(fit.select(key, "slope", "intercept"), key, "left").withColumn("period", period).drop("slope", "intercept")
