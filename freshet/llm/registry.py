@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm import html_text, jaccard, media, mixing, ordinal, packing, quality, rans, secret_scan, sharding
+from freshet.llm import html_text, jaccard, media, mixing, ordinal, packing, quality, rans, resampling, secret_scan, sharding, whitening
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_vector_packing": packing.op8_vector_packing,
     "op9_partenum_jaccard": jaccard.op9_partenum_jaccard,
     "op10_block_tree": html_text.op10_block_tree,
+    "op11_jacobi_davidson": whitening.op11_jacobi_davidson,
+    "op13_head_tail_resampling": resampling.op13_head_tail_resampling,
 }
 
 ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL, "op9_partenum_jaccard": jaccard.OP9_SQL, "op10_block_tree": html_text.OP10_SQL}
