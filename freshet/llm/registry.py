@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm import html_text, jaccard, media, mixing, ordinal, packing, quality, rans, resampling, secret_scan, sharding, whitening
+from freshet.llm import html_text, jaccard, media, mixing, ordinal, packing, quality, rans, resampling, secret_scan, sharding, suffixes, whitening
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_partenum_jaccard": jaccard.op9_partenum_jaccard,
     "op10_block_tree": html_text.op10_block_tree,
     "op11_jacobi_davidson": whitening.op11_jacobi_davidson,
+    "op12_previous_factors": suffixes.op12_previous_factors,
     "op13_head_tail_resampling": resampling.op13_head_tail_resampling,
 }
 
