@@ -106,7 +106,8 @@ def _nearest_smaller(lcp: np.ndarray, value: np.ndarray, least: int) -> np.ndarr
     reach = lcp.copy()
     reach[:1] = 0
     open_ = np.flatnonzero(reach >= least)
-    to[reach < least] = -1
+    short = reach < least
+    to[short], reach[short] = -1, 0
     while len(open_):
         open_ = open_[value[to[open_]] >= value[open_]]
         via = to[open_]
