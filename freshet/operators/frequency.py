@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from freshet.functions.special import gamma_cdf, gamma_ppf, normal_ppf, pearson3_ppf  # noqa: F401  their former place
+from freshet.operators import pearson
+from freshet.operators.moments import sample_moments, station_skew_mse, weighted_skew  # noqa: F401
 
 EULER = 0.5772156649015329
 
@@ -25,28 +28,6 @@ def annual_maxima(df: DataFrame, key: str, t: str, value: str, max_missing: int
     return years.where(F.col("days") >= 365 - max_missing)
 
 
-def sample_moments(df: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """n, mean, sample deviation and the unbiased skew n / ((n-1)(n-2)) sum z^3."""
-    x = df.select(*by, value.alias("_x")).where(F.col("_x").isNotNull())
-    mean = F.avg("_x").over(Window.partitionBy(*by))
-    m = x.withColumn("_d", F.col("_x") - mean).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.sum(F.col("_d") ** 3).alias("_c"))
-    n = F.col("n")
-    skew = F.when((n >= 3) & (F.col("std") > 0), n / ((n - 1) * (n - 2)) * F.col("_c") / F.col("std") ** 3)
-    return m.select(*by, "n", "mean", "std", skew.alias("skew"))
-
-
-def station_skew_mse(skew: Column, n: Column) -> Column:
-    """Mean squared error of a station's skew (bulletin 17B)."""
-    g = F.abs(skew)
-    a = F.when(g <= 0.90, -0.33 + 0.08 * g).otherwise(-0.52 + 0.30 * g)
-    b = F.when(g <= 1.50, 0.94 - 0.26 * g).otherwise(F.lit(0.55))
-    return F.pow(F.lit(10.0), a - b * F.log10(n / 10.0))
-
-
-def weighted_skew(skew: Column, mse: Column, regional: float, regional_mse: float) -> Column:
-    return (regional_mse * skew + mse * regional) / (regional_mse + mse)
-
-
 def gumbel_k(period: Column) -> Column:
     """Frequency factor of a return period."""
     return -math.sqrt(6) / math.pi * (EULER + F.log(F.log(period / (period - 1))))
@@ -82,6 +63,37 @@ def plotting_positions(peaks: DataFrame, key: str, value: str, alpha: float = 0.
     return peaks.withColumn("rank", rank).withColumn("exceedance", (F.col("rank") - alpha) / (n + 1 - 2 * alpha))
 
 
+def threshold_positions(peaks: DataFrame, key: str, value: str, threshold: str, alpha: float = 0.0) -> DataFrame:
+    """peaks with band and exceedance: plotting positions where each year's peak is known only above its own threshold.
+
+    Thresholds cut a key's values into bands. From the top, a band's share of the years whose threshold it reaches and
+    whose peak lies in it or below is its conditional chance; 1 minus it, multiplied over the bands above, is what is left for
+    it (Hirsch and Stedinger, 1987), and its peaks divide its own part evenly. A NULL threshold is no limit. Only
+    windows by key: bands are numbered and counted, years never meet thresholds in pairs.
+    """
+    own = Window.partitionBy(key)
+    none = F.lit(float("-inf"))
+    rows = peaks.where(F.col(value).isNotNull()).withColumn("_limit", F.coalesce(F.col(threshold).cast("double"), none)).withColumn("_value", F.col(value).cast("double"))
+    levels = rows.select(key, "_limit").distinct().union(rows.select(key, none.alias("_limit")).distinct()).distinct()
+    levels = levels.withColumn("_band", F.row_number().over(own.orderBy(F.desc("_limit"))))
+    rows = rows.join(levels.withColumnRenamed("_band", "_known"), [key, "_limit"])
+    both = rows.select(*rows.columns, F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_band")).unionByName(
+        levels.select(key, F.col("_limit").alias("_value"), F.lit(0).alias("_kind"), "_band"), allowMissingColumns=True)
+    upto = own.orderBy("_value", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_band", F.last("_band", ignorenulls=True).over(upto)).where("_kind = 1")
+    counts = rows.groupBy(key, F.col("_band").alias("_b")).agg(F.count(F.lit(1)).alias("_k"))
+    known = rows.groupBy(key, F.least("_band", "_known").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    bands = levels.select(key, F.col("_band").alias("_b"), "_limit").join(counts, [key, "_b"], "left").join(known.withColumnRenamed("_g", "_b"), [key, "_b"], "left")
+    bands = bands.withColumn("_years", F.sum(F.coalesce("_n", F.lit(0))).over(own.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0))).where("_k > 0")
+    share = F.when((F.col("_limit") == none) | (F.col("_years") <= 0), 1.0).otherwise(F.col("_k") / F.greatest("_years", "_k"))
+    above = own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.withColumn("_share", share).withColumn("_left", F.coalesce(F.product(1 - F.col("_share")).over(above), F.lit(1.0)))
+    placed = rows.join(bands.select(key, F.col("_b").alias("_band"), "_k", "_share", "_left"), [key, "_band"])
+    down = F.row_number().over(Window.partitionBy(key, "_band").orderBy(F.desc("_value")))
+    at = (down - alpha) / (F.col("_k") + 1 - 2 * alpha)
+    return placed.select(*peaks.columns, F.col("_band").alias("band"), (1 - F.col("_left") + F.col("_left") * F.col("_share") * at).alias("exceedance"))
+
+
 def fit_loglog(peaks: DataFrame, key: str, value: str, alpha: float = 0.0) -> DataFrame:
     """Regression of log10(-log10 p) on log10 of the flow, p the plotting position of exceedance."""
     p = plotting_positions(peaks.where(F.col(value) > 0), key, value, alpha)
@@ -177,97 +189,9 @@ def peaks_over_threshold(df: DataFrame, key: str, t: str, value: str, separation
     return df.select(key, t, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {t} {kinds[t]}, peak double, rank int")
 
 
-def log_gamma(x: float) -> float:
-    return math.lgamma(x)
-
-
-def gamma_cdf(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
-        return 0.0
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        for _ in range(10_000):
-            k += 1
-            term *= x / k
-            total += term
-            if term < total * 1e-16:
-                break
-        return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    tiny = 1e-300
-    b = x + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return 1 - math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
-
-
-def normal_ppf(p: float) -> float:
-    """Inverse of the standard normal distribution by Newton's method from a rational start."""
-    if not 0 < p < 1:
-        return -math.inf if p <= 0 else math.inf
-    q = p if p < 0.5 else 1 - p
-    s = math.sqrt(-2 * math.log(q))
-    z = s - (2.515517 + 0.802853 * s + 0.010328 * s * s) / (1 + 1.432788 * s + 0.189269 * s * s + 0.001308 * s**3)
-    z = -z if p < 0.5 else z
-    for _ in range(4):
-        z -= (0.5 * math.erfc(-z / math.sqrt(2)) - p) / (math.exp(-z * z / 2) / math.sqrt(2 * math.pi))
-    return z
-
-
-def gamma_ppf(a: float, p: float) -> float:
-    """Inverse of gamma_cdf: bisection inside a bracket grown from Wilson and Hilferty's approximation."""
-    if p <= 0:
-        return 0.0
-    x = a * max(1e-3, 1 - 1 / (9 * a) + normal_ppf(p) / (3 * math.sqrt(a))) ** 3
-    low, high = 0.0, max(x, 1e-12)
-    while gamma_cdf(a, high) < p:
-        low, high = high, high * 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        if gamma_cdf(a, mid) < p:
-            low = mid
-        else:
-            high = mid
-        if high - low <= 1e-14 * high:
-            break
-    return (low + high) / 2
-
-
-def pearson3_ppf(p: float, mean: float, std: float, skew: float) -> float:
-    """Quantile of a shifted gamma distribution with the given moments; nearly normal ones are treated as normal."""
-    if abs(skew) < 1e-4:
-        return mean + std * normal_ppf(p)
-    a = 4 / skew**2
-    x = gamma_ppf(a, p if skew > 0 else 1 - p)
-    return mean + std * skew / 2 * (x - a)
-
-
 def lp3_flows(moments: DataFrame, key: str, periods: list[float]) -> DataFrame:
     """Log-Pearson III flows from moments of log10 peaks and p_positive, the share of peaks that aren't zero."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def flows(mean: pd.Series, std: pd.Series, skew: pd.Series, positive: pd.Series) -> pd.Series:
-        out = []
-        for m, s, g, p in zip(mean, std, skew, positive):
-            g = 0.0 if pd.isna(g) else g
-            out.append([0.0 if 1 - 1 / t <= 1 - p else 10 ** pearson3_ppf(1 - (1 / t) / p, m, s, g) for t in periods])
-        return pd.Series(out)
-
-    arrays = F.arrays_zip(F.array(*[F.lit(float(t)) for t in periods]).alias("period"), flows("mean", "std", "skew", "p_positive").alias("flow"))
-    return moments.select(key, F.explode(arrays).alias("x")).select(key, F.col("x.period").alias("period"), F.col("x.flow").alias("flow"))
+    return pearson.flows_of_periods(moments, key, periods)
 
 
 def fit_lp3(peaks: DataFrame, key: str, value: str, least: int = 5) -> DataFrame:

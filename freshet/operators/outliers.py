@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.operators.frequency import normal_ppf
+from freshet.functions.special import log_gamma, normal_cdf, normal_density, normal_ppf
 
 LEAST_17B = 10
 # 10 % critical values of bulletin 17B, appendix 4, for 10 to 149 peaks.
@@ -24,24 +24,6 @@ KN = [
     3.104, 3.107, 3.109, 3.112, 3.114, 3.116, 3.119, 3.122, 3.124, 3.126, 3.129, 3.131, 3.133, 3.135, 3.138, 3.14, 3.142, 3.144, 3.146, 3.148,
 ]
 
-_AT = np.arange(-38 * 64, 9 * 64 + 1) / 64
-_BELOW = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _AT])
-_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
-
-
-def _density(x: np.ndarray) -> np.ndarray:
-    return np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-
-
-def normal_cdf(x: np.ndarray) -> np.ndarray:
-    """Standard normal distribution by five terms of Taylor's series around the nearest point of a table, to 1e-8 of its value above -12."""
-    x = np.clip(x, -37.9, 8.9)
-    i = np.rint((x - _AT[0]) * 64).astype(np.int64)
-    a = _AT[i]
-    h = x - a
-    return _BELOW[i] + _density(a) * h * (1 - h / 2 * (a - h / 3 * ((a * a - 1) - h / 4 * ((a * a - 3) * a - h / 5 * (a**4 - 6 * a * a + 3)))))
-
-
 def noncentral_t_above(q: np.ndarray, nu: np.ndarray, delta: np.ndarray, nodes: int = 128) -> np.ndarray:
     """P(t > q): the normal tail averaged over the logarithm of s, s^2 being chi-square by its degrees of freedom."""
     q, nu, delta = (v[:, None] for v in (q, nu, delta))
@@ -52,43 +34,56 @@ def noncentral_t_above(q: np.ndarray, nu: np.ndarray, delta: np.ndarray, nodes:
     return (normal_cdf(delta - q * np.exp(x)) * weight).sum(axis=1) / weight.sum(axis=1)
 
 
+def _above(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, variance, third and fourth central moment of a standard normal value above z, from its hazard."""
+    hazard = normal_density(z) / normal_cdf(-z)
+    raw = [np.ones_like(z), hazard]
+    for k in (2, 3, 4):
+        raw.append((k - 1) * raw[k - 2] + z ** (k - 1) * hazard)
+    mean = raw[1]
+    centre = lambda k: sum(math.comb(k, j) * raw[j] * (-mean) ** (k - j) for j in range(k + 1))
+    return mean, centre(2), centre(3), centre(4)
+
+
+def _tail_given(z: np.ndarray, k: np.ndarray, omega: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """P((z - M) / S < omega) for the mean M and deviation S of k normal values above z.
+
+    S^2 is taken as gamma distributed with its own mean and variance. M is split into a multiple of S and a rest
+    that is uncorrelated with S, so that the event is one of a normal value and S, a noncentral t: a normal tail
+    above 20 degrees of freedom (Abramowitz and Stegun 26.7.10). Places without a variance of the rest have NaN.
+    """
+    mean, var, third, fourth = _above(z)
+    var_of_square = (fourth - var**2 * (k - 3) / (k - 1)) / k
+    shape = var**2 / var_of_square
+    root_mean = np.sqrt(var / shape) * np.exp(log_gamma(shape + 0.5) - log_gamma(shape))
+    cov = third / (2 * np.sqrt(k * (k - 1)) * root_mean)
+    share = cov / (var - root_mean**2)
+    rest = np.sqrt(var / k - cov * share)
+    t, off, freedom = -np.sqrt(var) * (omega + share) / rest, (mean - z - share * root_mean) / rest, 2 * shape
+    p = normal_cdf(-((1 - 1 / (4 * freedom)) * t - off) / np.sqrt(1 + t * t / (2 * freedom)))
+    few = (freedom <= 20) & wanted & np.isfinite(t)
+    for i in np.flatnonzero(few.any(axis=1)):
+        own = few[i]
+        p[i, own] = noncentral_t_above(t[i, own], freedom[i, own], off[i, own])
+    return p
+
+
 def order_statistic_p(n: np.ndarray, r: np.ndarray, omega: np.ndarray, nodes: int = 61) -> np.ndarray:
     """Chance that the r-th smallest of n normal values lies omega or more deviations below the mean of those above it.
 
-    Given the value z of that order statistic, the mean and deviation of the n - r values above it are made
-    uncorrelated and the ratio follows a noncentral t; that chance is averaged over the distribution of z by the
-    trapezoid rule. Above 20 degrees of freedom t is taken as normal (Abramowitz and Stegun 26.7.10).
+    The chance given that value z is averaged over its distribution by the trapezoid rule, over the places where it is known.
     """
     n, r, omega = (np.asarray(v, float)[:, None] for v in (n, r, omega))
     share = r / (n + 1)
-    centre = np.array([normal_ppf(float(p)) for p in share[:, 0]])[:, None]
-    width = np.sqrt(share * (1 - share) / (n + 2)) / _density(centre)
+    centre = normal_ppf(share).reshape(share.shape)
+    width = np.sqrt(share * (1 - share) / (n + 2)) / normal_density(centre)
     z = centre + width * np.linspace(-11, 9, nodes)
-    tail = normal_cdf(-z)
     with np.errstate(all="ignore"):
-        log_weight = (r - 1) * np.log(normal_cdf(z)) + (n - r) * np.log(tail) - z * z / 2
+        log_weight = (r - 1) * np.log(normal_cdf(z)) + (n - r) * np.log(normal_cdf(-z)) - z * z / 2
         weight = np.exp(log_weight - log_weight.max(axis=1, keepdims=True))
-        m1 = _density(z) / tail
-        m2, k = 1 + m1 * z, n - r
-        m3 = 2 * m1 + m1 * z**2
-        m4 = 3 * m2 + m1 * z**3
-        c2, c3 = m2 - m1**2, m3 - 3 * m2 * m1 + 2 * m1**3
-        c4 = m4 - 4 * m3 * m1 + 6 * m2 * m1**2 - 3 * m1**4
-        spread = (c4 - c2**2) / k + 2 * c2**2 / (k * (k - 1))
-        half_nu, scale = c2**2 / spread, spread / c2
-        deviation = np.sqrt(scale) * np.exp((_LGAMMA(half_nu + 0.5) - _LGAMMA(half_nu)).astype(float))
-        both = c3 / np.sqrt(k * (k - 1)) / (2 * deviation)
-        slope = both / (c2 - deviation**2)
-        variance = c2 / k - both * slope
-        sigma = np.sqrt(np.maximum(variance, 1e-30))
-        q, nu = -np.sqrt(c2) / sigma * (omega + slope), 2 * half_nu
-        delta = (m1 - slope * deviation - z) / sigma
-        p = normal_cdf(-(q * (1 - 1 / (4 * nu)) - delta) / np.sqrt(1 + q * q / (2 * nu)))
-        for i in np.flatnonzero(((nu <= 20) & (weight > 1e-13)).any(axis=1)):
-            few = (nu[i] <= 20) & (weight[i] > 1e-13)
-            p[i, few] = noncentral_t_above(q[i, few], nu[i, few], delta[i, few])
-    p = np.where((variance > 0) & np.isfinite(p), p, 1.0)
-    return np.clip((p * weight).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        p = _tail_given(z, n - r, omega, weight > 1e-13)
+    known = np.isfinite(p)
+    return np.clip(np.where(known, p * weight, 0).sum(axis=1) / np.where(known, weight, 0).sum(axis=1), 0, 1)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.plans import base, basins, events_and_networks, more, outliers, samples_and_models  # noqa: F401  registration
+from freshet.plans import base, basins, events_and_networks, fits, more, outliers, samples_and_models  # noqa: F401  registration
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
