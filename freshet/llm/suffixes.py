@@ -17,20 +17,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BROADCAST_ROWS, fields, small_batches, table, written
+from freshet.llm.common import fields, small_batches, table, written
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
 #: Bytes of text whose anchors are found at once; longer texts are cut into chunks that overlap.
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: Anchors that a task compares before it asks the others, and units (texts or chunks) among them at most.
 ASKED, UNITS = 1_000_000, 60_000
 #: Anchors, and windows, of a group that one task compares at a time.
-GROUP_ANCHORS, GROUP_WINDOWS = 4_000_000, 4_000_000
+GROUP_ANCHORS, GROUP_WINDOWS = 4_000_000, 2_500_000
+#: Bytes of text whose removed spans are put together at a time.
+GROUP_BYTES = 64_000_000
 #: Windows that are sorted at once, or those of one anchor.
 SORTED_WINDOWS = 1_000_000
-#: Bytes of a side that is broadcast, besides BROADCAST_ROWS.
-BROADCAST_BYTES = 32_000_000
 #: Bits of an anchor's name. Anchors of equal names by chance cost work, not results.
 NAME_BITS = 48
 
@@ -386,7 +386,7 @@ def _by_unit(group: pa.Table) -> pa.Table:
 
 # --- comparison ------------------------------------------------------------------------------------------------
 
-_ITEMS = fields("bucket long, kind int, doc_id long, digest long, has_id boolean, starts binary, items binary")
+_ITEMS = fields("bucket long, kind int, packed binary")
 
 
 def _starts(flags: np.ndarray, count: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,15 +405,45 @@ def _spans(starts: np.ndarray) -> np.ndarray:
     return np.column_stack([starts[first], np.diff(np.append(first, len(starts)))]).astype("<i8")
 
 
-def _hits(keys: list[tuple], unit: np.ndarray, place: np.ndarray, bucket: int | None, buckets: int) -> list[tuple]:
-    """Rows of kind 1: the flagged starts of each document, in the bucket of its key or the given one."""
+def _hits(keys: list[tuple], unit: np.ndarray, place: np.ndarray, groups: int, spread: int) -> list[tuple]:
+    """Rows of kind 1: the flagged starts of all documents of a group, by digest; groups are dealt to `spread` buckets."""
     order = np.lexsort((place, unit))
     unit, place = unit[order], place[order]
     at = np.append(_groups(unit), len(unit))
-    return [((keys[unit[a]][1] % buckets) if bucket is None else bucket, 1, *keys[unit[a]], _spans(place[a:b]).tobytes(), b"") for a, b in zip(at, at[1:])]
+    by: dict[int, list] = {}
+    for a, b in zip(at, at[1:]):
+        key = keys[unit[a]]
+        by.setdefault(key[1] % groups % spread, []).append((key, _spans(place[a:b])))
+    return [(k, 1, _packed_hits(own)) for k, own in by.items()]
 
 
-def compared(joined: DataFrame, buckets: int, length: int, chunk: int) -> DataFrame:
+def _packed_hits(own: list[tuple[tuple, np.ndarray]]) -> bytes:
+    head = np.array([(k[0], k[1], int(k[2]), len(spans)) for k, spans in own], "<i8")
+    return len(own).to_bytes(8, "little") + head.tobytes() + b"".join(spans.tobytes() for _, spans in own)
+
+
+def _unpacked_hits(data: bytes) -> Iterator[tuple[tuple, np.ndarray]]:
+    n = int.from_bytes(data[:8], "little")
+    head = np.frombuffer(data, "<i8", 4 * n, 8).reshape(-1, 4)
+    spans = np.frombuffer(data, "<i8", offset=8 + 32 * n).reshape(-1, 2)
+    ends = np.cumsum(head[:, 3])
+    for (d, g, h, m), end in zip(head.tolist(), ends.tolist()):
+        yield (d, g, bool(h)), spans[end - m : end]
+
+
+_FOUND = fields("doc_id long, digest long, has_id boolean, found binary")
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """Of one group of documents: all spans of each."""
+    by: dict[tuple, list] = {}
+    for data in group.column("packed").to_pylist():
+        for key, spans in _unpacked_hits(data):
+            by.setdefault(key, []).append(spans.tobytes())
+    return pa.Table.from_batches([_out([(*key, b"".join(spans)) for key, spans in by.items()], _FOUND)])
+
+
+def compared(joined: DataFrame, buckets: int, groups: int, length: int, chunk: int) -> DataFrame:
     """Within each task: kind 1, windows that an earlier document of the task holds; kind 0, by anchor, the stretches with others.
 
     Rows that repeat a stretch in one document are sent once, with all its starts.
@@ -433,7 +463,7 @@ def compared(joined: DataFrame, buckets: int, length: int, chunk: int) -> DataFr
             start = first - begins[unit] + np.array([o for _, o in units])[unit]
             keys = [k for k, _ in units]
             item, place = _starts(flags, count, start)
-            out = _hits(keys, unit[item], place, None, buckets)
+            out = _hits(keys, unit[item], place, groups, buckets)
             open_ = np.add.reduceat(~flags, np.cumsum(count) - count) > 0 if len(count) else np.zeros(0, bool)
             bucket = ((name * np.uint64(buckets)) >> np.uint64(NAME_BITS)).astype(np.int64)
             chosen = np.flatnonzero(open_)
@@ -451,7 +481,7 @@ def compared(joined: DataFrame, buckets: int, length: int, chunk: int) -> DataFr
                     np.array([len(docs), len(heads), len(own)], "<i8").tobytes(), _key_bytes([(keys[u], 0) for u in docs]), _planes(name[heads], 6), _planes(count[heads], 1),
                     _planes(np.diff(np.append(lead, len(own))), 4), _planes(local, 3), _planes(start[own], 6), text.tobytes(),
                 ]
-                out.append((int(bucket[own[0]]), 0, 0, 0, False, b"", zlib.compress(b"".join(packed), 1)))
+                out.append((int(bucket[own[0]]), 0, zlib.compress(b"".join(packed), 1)))
             return out
 
         for batch in rows:
@@ -481,14 +511,12 @@ def _take(data: bytes, sizes: list[int]) -> list[bytes]:
     return [*out, data[at:]]
 
 
-def _settle(length: int):
+def _settle(groups: int, length: int):
     def settle(group: pa.Table) -> pa.Table:
         """Of one bucket: the windows that an earlier document of another task holds, besides what tasks found by themselves."""
         keys: list[tuple] = []
         number: dict[tuple, int] = {}
         parts, found = [], []
-        kinds = group.column("kind").to_pylist()
-        ids = list(zip(group.column("doc_id").to_pylist(), group.column("digest").to_pylist(), group.column("has_id").to_pylist()))
 
         def known(key: tuple) -> int:
             if key not in number:
@@ -496,13 +524,13 @@ def _settle(length: int):
                 keys.append(key)
             return number[key]
 
-        for kind, key, starts, items in zip(kinds, ids, group.column("starts").to_pylist(), group.column("items").to_pylist()):
+        for kind, packed in zip(group.column("kind").to_pylist(), group.column("packed").to_pylist()):
             if kind == 1:
-                spans = np.frombuffer(starts, "<i8").reshape(-1, 2)
-                place = np.repeat(spans[:, 0] - (np.cumsum(spans[:, 1]) - spans[:, 1]), spans[:, 1]) + np.arange(spans[:, 1].sum())
-                found.append((np.full(len(place), known(key)), place))
+                for key, spans in _unpacked_hits(packed):
+                    place = np.repeat(spans[:, 0] - (np.cumsum(spans[:, 1]) - spans[:, 1]), spans[:, 1]) + np.arange(spans[:, 1].sum())
+                    found.append((np.full(len(place), known(key)), place))
                 continue
-            raw = zlib.decompress(items)
+            raw = zlib.decompress(packed)
             n_docs, n, m = np.frombuffer(raw[:24], "<i8").tolist()
             docs, name, count, times, local, start, text = _take(raw[24:], [32 * n_docs, 6 * n, n, 4 * n, 3 * m, 6 * m])
             own = np.array([known((d, g, bool(h))) for d, g, h, _ in np.frombuffer(docs, "<i8").reshape(-1, 4).tolist()])
@@ -522,7 +550,7 @@ def _settle(length: int):
         if not found:
             return pa.Table.from_batches([_out([], _ITEMS)])
         unit, place = (np.concatenate(x) for x in zip(*found))
-        return pa.Table.from_batches([_out(_hits(keys, unit, place, 0, 1), _ITEMS)])
+        return pa.Table.from_batches([_out(_hits(keys, unit, place, groups, groups), _ITEMS)])
 
     return settle
 
@@ -536,35 +564,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
-def _small(df: DataFrame, size) -> bool:
-    """Whether a written table may be broadcast."""
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
-    return found.rows <= BROADCAST_ROWS and (found.bytes or 0) <= BROADCAST_BYTES
-
-
-def _by_key(docs: DataFrame, found: DataFrame, how: str, size) -> DataFrame:
+def _by_key(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     own = found.select(F.when(F.col("has_id"), F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest"), "found")
-    own = F.broadcast(own) if _small(own, size) else own
     return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), how).drop("_id", "_digest")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, digest, has_id, found) of rows of keyed docs with windows that also start in a document of a smaller id.
 
-    found: binary runs (first, how many) of such starts as pairs of little-endian longs, one or more, in any order.
+    found: runs (first, how many) of such starts as pairs of little-endian longs, in any order.
     """
     total = docs.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    groups = max(1, -(-total // (10 * GROUP_ANCHORS)))
-    asks = asked(docs, groups, length, chunk)
+    asks = asked(docs, max(1, -(-total // (10 * GROUP_ANCHORS))), length, chunk)
     told = asks.groupBy("bucket").applyInArrow(_answer, _ROW).groupBy("batch").applyInArrow(_by_unit, _NAMED)
     names = told.groupBy("doc_id", "digest", "has_id", "offset").agg(F.first("names").alias("names"))
     found = written(names.groupBy("doc_id", "digest", "has_id").agg(F.collect_list(F.struct("offset", "names")).alias("found")), "shared-anchors")
     bytes_of = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["names"]))
     anchors_ = found.agg(F.sum(bytes_of).alias("n")).first().n or 0
-    groups = max(1, -(-anchors_ * length // (18 * GROUP_WINDOWS)))
-    items = compared(_by_key(docs, found, "inner", bytes_of), groups, length, chunk)
-    hits = items.groupBy("bucket").applyInArrow(_settle(length), _ITEMS)
-    return written(hits.groupBy("doc_id", "digest", "has_id").agg(F.collect_list("starts").alias("found")), "repeats")
+    buckets, groups = max(1, -(-anchors_ * length // (18 * GROUP_WINDOWS))), max(1, -(-total // GROUP_BYTES))
+    items = compared(_by_key(docs, found, "inner"), buckets, groups, length, chunk)
+    hits = items.groupBy("bucket").applyInArrow(_settle(groups, length), _ITEMS).groupBy("bucket").applyInArrow(_by_document, _FOUND)
+    return written(hits, "repeats")
 
 
 _KEPT = fields("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
@@ -591,7 +611,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -
                 if not found:
                     out.append((doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest(), b""))
                     continue
-                runs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found])
+                runs = np.frombuffer(found, "<i8").reshape(-1, 2)
                 runs = runs[np.argsort(runs[:, 0], kind="stable")]
                 ends = np.maximum.accumulate(runs[:, 0] + runs[:, 1] - 1 + length)
                 new = np.flatnonzero(np.append(True, runs[1:, 0] > ends[:-1]))
@@ -606,8 +626,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=_KEPT.names)
 
-    size = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    return _by_key(rows, spans, "left", size).mapInArrow(run, _KEPT)
+    return _by_key(rows, spans, "left").mapInArrow(run, _KEPT)
 
 
 def op12_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
