@@ -21,6 +21,8 @@ DRAW_PERCENT = 10
 SEED = "2024"
 #: Frequent words and pairs whose CRCs are sent to all tasks; longer ones than HEAD_BYTES never are.
 HEAD_WORDS, HEAD_PAIRS, HEAD_BYTES = 30_000, 60_000, 64
+#: Levels of counts in a doubling.
+LEVELS = 8
 #: Distinct words or pairs that a task counts before it passes its counts on.
 COUNTED = 200_000
 
@@ -75,7 +77,10 @@ def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
 
 
 def frequent(docs: DataFrame, pairs: bool, most: int) -> list[bytes]:
-    """The `most` most frequent words (or pairs of neighbours) of all texts, ties by bytes. Counts are exact; most is their bound here."""
+    """The most frequent words (or pairs of neighbours) of all texts: all of the highest levels of counts that hold `most` or fewer.
+
+    Counts are exact and cover all texts; `most` bounds what comes to the driver.
+    """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -92,8 +97,15 @@ def frequent(docs: DataFrame, pairs: bool, most: int) -> list[bytes]:
         yield out()
 
     counted = docs.select("text").mapInArrow(count, fields("feature binary, n long")).where(F.length("feature") <= HEAD_BYTES)
-    top = counted.groupBy("feature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature").limit(most)
-    return [bytes(r.feature) for r in top.collect()]
+    counted = counted.groupBy("feature").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = written(counted.select("feature", F.floor(LEVELS * F.log2("n")).alias("level")), "features")
+    left, least = most, None
+    for r in sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 64 x LEVELS at most
+        left -= r.n
+        if left < 0:
+            break
+        least = r.level
+    return sorted(bytes(r.feature) for r in counted.where(F.col("level") >= least).collect()) if least is not None else []
 
 
 def bucket_totals(docs: DataFrame, head: Head) -> np.ndarray:
