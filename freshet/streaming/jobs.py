@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
+#: The state of a key without a valid value; nulls alone can't be sent as a state column.
+NOTHING = (-(1 << 63), float("nan"))
+
+
 def daily_complete(stream: DataFrame, key: str, t: str, value: str, watermark: str, slots: int = 48, slot_minutes: int = 30) -> DataFrame:
     """Days with all their slots: (key, day, total of slot means is left to the caller as sum and count); append mode.
 
@@ -40,18 +44,17 @@ def threshold_alerts(stream: DataFrame, key: str, t: str, value: str, threshold:
     kinds = dict(stream.dtypes)
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last_t, last_v = state.get if state.exists else (None, None)
+        last_t, last_v = state.get if state.exists else NOTHING
         rows = pd.concat(list(frames)).sort_values(t)
         out = []
         for when, v in zip(rows[t], rows[value]):
             stamp = pd.Timestamp(when).value
-            if pd.isna(v) or (last_t is not None and stamp <= last_t):
+            if pd.isna(v) or stamp <= last_t:
                 continue
-            if v >= threshold and (last_v is None or last_v < threshold):
+            if v >= threshold and not last_v >= threshold:
                 out.append((k[0], when, float(v)))
             last_t, last_v = stamp, float(v)
-        if last_t is not None:
-            state.update((last_t, last_v))
+        state.update((last_t, last_v))
         yield pd.DataFrame(out, columns=[key, t, value])
 
     return stream.select(key, t, value).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {t} {kinds[t]}, {value} double", "t long, v double", "append", GroupStateTimeout.NoTimeout)

@@ -48,6 +48,14 @@ def test_alerts_keep_the_last_value(spark, tmp_path):
     assert sorted((r["ts"].day, r["v"]) for r in got) == [(2, 6.0), (6, 8.0)]
 
 
+def test_alerts_of_keys_without_values(spark, tmp_path):
+    rows = [("a", dt.datetime(2024, 1, 1), None), ("b", dt.datetime(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    assert drained(jobs.threshold_alerts(stream, "k", "ts", "v", 5.0), tmp_path) == []
+
+
 def test_upsert_best(spark, tmp_path):
     merge = jobs.upsert_best(str(tmp_path / "t"), ["k"], "v", "f")
     merge(spark.createDataFrame([(1, 1.0, 0.5), (2, None, None)], "k int, v double, f double"), 0)
