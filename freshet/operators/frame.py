@@ -256,13 +256,33 @@ def rebin_rates(df: DataFrame, keys: list[str], begin: str, end: str, rate: str,
     return out.where(F.col("_h") == width).select(*keys, (F.col("_k") * width).alias(begin), rate)
 
 
-def to_stored_units(stream: Column, v: Column) -> Column:
-    """A value as a stream stores it: rain not below 0, pressure less 1000 hPa, temperature from kelvin."""
-    return F.when(v.isNull(), v).when(stream == "rain", F.greatest(F.lit(0.0), v)).when(stream == "pressure", v - 1000).when(stream == "temperature", v - 273.15).otherwise(v)
+#: What a unit of rain is in mm an hour, units of the other streams, and what is taken off stored pressures.
+RAIN_UNITS = {"kg m-2 s-1": 3600.0, "kg m**-2 s**-1": 3600.0, "mm/s": 3600.0, "mm s-1": 3600.0, "mm/h": 1.0, "mm/hr": 1.0, "mm h-1": 1.0, "mm/day": 1 / 24, "mm/d": 1 / 24, "mm day-1": 1 / 24}
+KELVIN, CELSIUS = ["K", "kelvin", "degK", "deg_K"], ["degC", "deg_C", "C", "celsius", "degree_Celsius", "degrees_Celsius"]
+PASCAL, HECTOPASCAL, WIND_UNITS = ["Pa", "pa", "pascal"], ["hPa", "hpa", "mbar", "millibar"], ["m/s", "m s-1", "m s**-1", "m/sec"]
+PRESSURE_OFFSET = 1000.0
 
 
-def from_stored_units(stream: Column, v: Column) -> Column:
-    return F.when(stream == "pressure", v + 1000).when(stream == "temperature", v + 273.15).otherwise(v)
+def to_stored_units(stream: Column, v: Column, units: Column, mean: Column) -> Column:
+    """A value as its stream stores it: precip in mm/h and not below 0, mslp in hPa less 1000, temp in degrees Celsius, u10 and v10 in m/s.
+
+    Without units rain is in kg m-2 s-1, pressure in Pa, and temperature in kelvin if `mean`, that of its field, is above 150. Missing
+    values stay missing; streams and units that aren't known are errors.
+    """
+    wrong = F.raise_error(F.concat(F.lit("no such stream or unit: "), stream, F.lit(" "), F.coalesce(units, F.lit("")))).cast("double")
+    one_of = lambda names: units.isin(*names)
+    factor = F.coalesce(*[F.when(units == u, F.lit(f)) for u, f in RAIN_UNITS.items()], F.when(units.isNull(), F.lit(3600.0)), wrong)
+    pressure = F.when(units.isNull() | one_of(PASCAL), v / 100).when(one_of(HECTOPASCAL), v).otherwise(wrong) - PRESSURE_OFFSET
+    kelvin = F.when(units.isNull(), F.coalesce(mean > 150, F.lit(False))).when(one_of(KELVIN), True).when(one_of(CELSIUS), False)
+    temperature = F.when(kelvin.isNull(), wrong).when(kelvin, v - 273.15).otherwise(v)
+    wind = F.when(units.isNull() | one_of(WIND_UNITS), v).otherwise(wrong)
+    known = F.when(stream == "precip", F.greatest(F.lit(0.0), v) * factor).when(stream == "mslp", pressure).when(stream == "temp", temperature).when(stream.isin("u10", "v10"), wind).otherwise(wrong)
+    return F.when(v.isNotNull(), known)
+
+
+def from_stored_units(stream: Column, v: Column, offset: float = PRESSURE_OFFSET) -> Column:
+    """Physical values of stored ones: pressures get their offset back, temperatures stay in degrees Celsius."""
+    return F.when(stream == "mslp", v + offset).otherwise(v)
 
 
 def to_physical_units(df: DataFrame, scales: dict[str, float], columns: list[str], strict: bool = True) -> DataFrame:

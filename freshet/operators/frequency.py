@@ -142,6 +142,19 @@ def event_hits(df: DataFrame, key: str, t: str, value: str, threshold: Column, w
     return F.when(keep, (best >= threshold).cast("double"))
 
 
+def period_scores(df: DataFrame, thresholds: DataFrame, keys: list[str], t: str, period: str, windows: list[int]) -> DataFrame:
+    """flood_event_scores of each key, period and window: thresholds (keys, period, obs_threshold, sim_threshold) meet their key's series.
+
+    A series is repeated once for each of its periods, whose number is fixed, and marked once for each window.
+    """
+    long = df.join(thresholds, keys).withColumn("_key", F.struct(*keys, period))
+    each = [flood_event_scores(long, "_key", t, w, "obs_threshold", "sim_threshold").withColumn("window", F.lit(w)) for w in windows]
+    both = each[0]
+    for more in each[1:]:
+        both = both.unionByName(more)
+    return both.select("_key.*", *[c for c in both.columns if c != "_key"])
+
+
 def flood_event_scores(df: DataFrame, key: str, t: str, window: int, obs_threshold: str, sim_threshold: str) -> DataFrame:
     """Precision, recall and F1 of threshold crossings; missing where there is nothing to score."""
     from freshet.operators.frame import up_crossings

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.skill import skill
+
 
 def timeline_align(series: dict[str, DataFrame], key: str, t: str, value: str) -> DataFrame:
     """All timestamps of all models with a column for each model's values; names are fixed by the caller, so no pass finds them."""
@@ -28,10 +30,26 @@ def model_peaks(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias("peak"), F.max_by(t, first).alias("peak_date"), F.avg(value).alias("mean"))
 
 
-def flood_summary(ranks: DataFrame, key: str, rank: str) -> DataFrame:
-    """How many models reach the 2-year flow, the highest rank, and a word for it; two models make a flood likely."""
-    out = ranks.groupBy(key).agg(F.count_if(F.col(rank) >= 1).alias("models_over"), F.count(rank).alias("models"), F.max(rank).alias("risk"))
-    return out.withColumn("summary", F.when(F.col("models") == 0, "no data").when(F.col("models_over") >= 2, "likely").when(F.col("models_over") == 1, "possible").otherwise("none"))
+#: Risk levels from the lowest.
+RISKS = ["UNKNOWN", "NORMAL", "WARNING", "SEVERE", "EXTREME"]
+
+
+def flood_summary(consensus: DataFrame, key: str, model: str) -> DataFrame:
+    """What the independent models that are live say together, a row for each key.
+
+    Rows (key, model, available, independent, status, rank, label, risk); those count that are available, independent and
+    `live` or `severity_only`. (models_over, models, governing, max_rank, label, risk, agreement): how many of them reach the 2-year flow
+    (rank 1), the model of the highest rank (the first by name of a tie), and the highest known risk.
+    """
+    counts = F.col("available") & F.col("independent") & F.col("status").isin("live", "severity_only")
+    rank = F.coalesce("rank", F.lit(0))
+    own = F.when(F.coalesce(counts, F.lit(False)), F.lit(True))
+    level = F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("risk"))
+    first = F.min(F.when(own, F.struct((-rank).alias("r"), F.col(model).alias("m"), F.col("label").alias("l"))))
+    out = consensus.groupBy(key).agg(F.count_if(own & (rank >= 1)).alias("models_over"), F.count(own).alias("models"), first.alias("_f"), F.max(F.when(own & (level > 0), level)).alias("_k"))
+    text = F.format_string("%d of %d independent models forecast \u2265 2-yr exceedance", "models_over", "models")
+    risk = F.coalesce(F.get(F.array(*[F.lit(r) for r in RISKS]), (F.col("_k") - 1).cast("int")), F.lit("UNKNOWN"))
+    return out.select(key, "models_over", "models", F.col("_f.m").alias("governing"), (-F.col("_f.r")).alias("max_rank"), F.coalesce("_f.l", F.lit("Unknown")).alias("label"), risk.alias("risk"), text.alias("agreement"))
 
 
 def latest_run(df: DataFrame, key: str, issue: str, lead: str, leads: int) -> DataFrame:
@@ -41,8 +59,13 @@ def latest_run(df: DataFrame, key: str, issue: str, lead: str, leads: int) -> Da
 
 
 def lead_step(df: DataFrame, keys: list[str], lead: str, wanted: list[int], exact: bool) -> DataFrame:
-    """The plane for each wanted lead: that lead (states), or else the first at or after it (rates)."""
-    near = df.withColumn("wanted", F.explode(F.array(*[F.lit(w) for w in wanted]))).where(F.col(lead) == F.col("wanted") if exact else F.col(lead) >= F.col("wanted"))
+    """The plane for each wanted lead: that lead (states), or else the first at or after it (rates).
+
+    A rate holds for the interval that ends at its lead, so the rate at lead 0 is that of the first interval. Negative leads and
+    leads beyond the run have no plane.
+    """
+    target = F.when(F.col("wanted") > 0, F.col("wanted").cast("double")).otherwise(1e-6)
+    near = df.withColumn("wanted", F.explode(F.array(*[F.lit(w) for w in wanted]))).where("wanted >= 0").where(F.col(lead) == F.col("wanted") if exact else F.col(lead) >= target)
     rest = [c for c in df.columns if c not in keys and c != lead]
     out = near.groupBy(*keys, "wanted").agg(F.min_by(F.struct(lead, *rest), lead).alias("_b"))
     return out.select(*keys, "wanted", f"_b.{lead}", *[f"_b.{c}" for c in rest])
@@ -75,32 +98,72 @@ def queue(df: DataFrame, area: str, key: str, n: int) -> DataFrame:
     return df.where("queued").orderBy(F.col(area).desc(), key).limit(n)
 
 
-def expected_scores(scores: DataFrame, keys: list[str], period: str, value: str, weights: dict[float, float]) -> DataFrame:
-    """The mean of scores by return period under fixed weights, renormalised over the periods that have a score."""
+def expected_scores(scores: DataFrame, keys: list[str], period: str, values: list[str], weights: dict[float, float]) -> DataFrame:
+    """Scores over return periods under fixed weights: the sum over periods that have the score, and `_norm` divided by their weights."""
     w = F.coalesce(*[F.when(F.col(period) == p, F.lit(v)) for p, v in weights.items()], F.lit(0.0))
-    have = scores.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sum(w * F.col(value)).alias("_s"), F.sum(w).alias("_w"))
-    return scores.select(*keys).distinct().join(have, keys, "left").select(*keys, F.try_divide("_s", "_w").alias("expected"))
+    sums = [x for v in values for x in (F.sum(F.when(F.col(v).isNotNull(), w * F.col(v))).alias(f"{v}_sum"), F.sum(F.when(F.col(v).isNotNull(), w)).alias(f"{v}_w"))]
+    have = scores.groupBy(*keys).agg(*sums)
+    return have.select(*keys, *[c for v in values for c in (F.when(F.col(f"{v}_w") > 0, F.col(f"{v}_sum")).alias(v), F.try_divide(F.col(f"{v}_sum"), F.when(F.col(f"{v}_w") > 0, F.col(f"{v}_w"))).alias(f"{v}_norm"))])
 
 
 def forcing_delta(a: DataFrame, b: DataFrame, keys: list[str], t: str, obs: str, sim: str) -> DataFrame:
-    """Scores of two forcings on the days that both have, their difference, and how many predictions each lacks."""
-    both = a.select(*keys, t, F.col(obs).alias("_o"), F.col(sim).alias("_a")).join(b.select(*keys, t, F.col(sim).alias("_b")), [*keys, t])
-    use = F.col("_o").isNotNull() & F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    rmse = lambda c: F.sqrt(F.avg(F.when(use, (F.col(c) - F.col("_o")) ** 2)))
-    out = both.groupBy(*keys).agg(rmse("_a").alias("rmse_a"), rmse("_b").alias("rmse_b"), F.count_if(F.col("_a").isNull()).alias("missing_a"), F.count_if(F.col("_b").isNull()).alias("missing_b"))
-    return out.withColumn("delta", F.col("rmse_b") - F.col("rmse_a"))
-
-
-def compare_grids(a: DataFrame, b: DataFrame, cells: list[str], by: list[str], value: str, limit: float) -> DataFrame:
-    """Confusion of the cells at or above a limit, and the share of cells with equal values; cells that one grid lacks count as missing."""
-    both = a.select(*by, *cells, F.col(value).alias("_x")).join(b.select(*by, *cells, F.col(value).alias("_y")), [*by, *cells], "full_outer")
-    x, y = F.col("_x") >= limit, F.col("_y") >= limit
-    have = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    out = both.groupBy(*by).agg(
-        F.count_if(x & y).alias("hits"), F.count_if(have & ~x & y).alias("false_alarms"), F.count_if(have & x & ~y).alias("misses"), F.count_if(have & ~x & ~y).alias("quiet"),
-        F.count_if(~have).alias("missing"), F.avg(F.when(have, (F.col("_x") == F.col("_y")).cast("int"))).alias("equal"),
+    """Predictions of one model under two forcings: metrics of each on its own valid days, their differences, and how far apart the predictions are.
+
+    missing_a and missing_b count days with an observation but no prediction; with any of them the status is NAN_PRED. A series
+    without spread has no correlation unless both are the same everywhere, when it is 1. Keys of either side have a row.
+    """
+    both = a.select(*keys, t, F.col(obs).alias("_oa"), F.col(sim).alias("_a")).join(b.select(*keys, t, F.col(obs).alias("_ob"), F.col(sim).alias("_b")), [*keys, t], "full_outer")
+    names = ["nse", "kge", "rmse", "alpha_nse", "beta_nse"]
+    one = {side: skill(both.select(*keys, F.col(f"_o{side}").alias("obs"), F.col(f"_{side}").alias("sim")), keys, names).withColumnsRenamed({n: f"{n}_{side}" for n in names}) for side in "ab"}
+    pair = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    x, y = F.when(pair, F.col("_a")), F.when(pair, F.col("_b"))
+    off = y - x
+    gone = lambda side: F.count_if(F.col(f"_o{side}").isNotNull() & F.col(f"_{side}").isNull())
+    apart = both.groupBy(*keys).agg(
+        gone("a").alias("missing_a"), gone("b").alias("missing_b"), F.count(off).alias("_n"), F.max(F.abs(off)).alias("_max"), F.avg(F.abs(off)).alias("_mean"), F.sqrt(F.avg(off**2)).alias("_rmse"),
+        F.try_divide(F.covar_pop(x, y), F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.stddev_pop(x) * F.stddev_pop(y))).alias("_r"),
+    )
+    two = lambda c: F.when(F.col("_n") >= 2, c)
+    out = apart.join(one["a"], keys, "left").join(one["b"], keys, "left")
+    status = F.when((F.col("missing_a") == 0) & (F.col("missing_b") == 0), "OK").otherwise("NAN_PRED")
+    deltas = [(F.col(f"{n}_b") - F.col(f"{n}_a")).alias(f"delta_{n}") for n in ("nse", "kge", "rmse")]
+    return out.select(
+        *keys, status.alias("status"), "missing_a", "missing_b", two(F.col("_max")).alias("max_apart"), two(F.col("_mean")).alias("mean_apart"), two(F.col("_rmse")).alias("rmse_apart"),
+        two(F.coalesce("_r", F.when(F.col("_max") == 0, 1.0))).alias("r_apart"), *[f"{n}_{side}" for side in "ab" for n in names], *deltas,
+    )
+
+
+def delta_profile(deltas: DataFrame, lead: str) -> DataFrame:
+    """forcing_delta's rows by lead: basins, those without a score, and the spread of scores and of the sizes of their differences."""
+    size = F.abs("delta_nse")
+    spread = lambda c, name: [F.min(c).alias(f"min_{name}"), F.percentile(c, F.lit(0.1)).alias(f"p10_{name}"), F.percentile(c, F.lit(0.5)).alias(f"median_{name}")]
+    return deltas.groupBy(lead).agg(
+        F.count(F.lit(1)).alias("basins"), F.count_if(F.col("nse_a").isNull() | F.col("nse_b").isNull()).alias("without_score"), F.sum("missing_a").alias("missing_a"), F.sum("missing_b").alias("missing_b"),
+        *spread("nse_a", "nse_a"), *spread("nse_b", "nse_b"), F.percentile(size, F.lit(0.5)).alias("median_delta"), F.percentile(size, F.lit(0.95)).alias("p95_delta"), F.max(size).alias("max_delta"),
+    )
+
+
+def compare_grids(rebuilt: DataFrame, reference: DataFrame, cells: list[str], by: list[str], value: str) -> DataFrame:
+    """How a rebuilt grid agrees with its reference, a row for each of `by`: where values are missing, and how far valid ones differ.
+
+    A cell that one side doesn't have is missing there. Errors are of cells valid on both sides: mae, rmse, bias, quantiles and the
+    largest of the absolute error, the shares within 1e-5 and exactly equal, means and deviations, and r where
+    both sides vary; NULL where no cell is valid on both.
+    """
+    both = rebuilt.select(*by, *cells, F.col(value).cast("double").alias("_x")).join(reference.select(*by, *cells, F.col(value).cast("double").alias("_y")), [*by, *cells], "full_outer")
+    valid = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(valid, F.col("_x")), F.when(valid, F.col("_y"))
+    off = x - y
+    size = F.abs(off)
+    varies = (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
+    n = F.count(F.lit(1))
+    count = {"both_valid": F.count_if(valid), "both_missing": F.count_if(F.col("_x").isNull() & F.col("_y").isNull()), "rebuilt_missing": F.count_if(F.col("_x").isNull() & F.col("_y").isNotNull()), "reference_missing": F.count_if(F.col("_x").isNotNull() & F.col("_y").isNull())}
+    return both.groupBy(*by).agg(
+        n.alias("cells"), *[c.alias(name) for name, c in count.items()], *[(100.0 * c / n).alias(f"{name}_percent") for name, c in count.items()],
+        F.avg(size).alias("mae"), F.sqrt(F.avg(off**2)).alias("rmse"), F.avg(off).alias("bias"), *[F.percentile(size, F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 95, 99)], F.max(size).alias("max"),
+        F.avg((size <= 1e-5).cast("int")).alias("near_equal"), F.avg((size == 0).cast("int")).alias("equal"), F.avg(x).alias("rebuilt_mean"), F.avg(y).alias("reference_mean"),
+        F.stddev_pop(x).alias("rebuilt_std"), F.stddev_pop(y).alias("reference_std"), F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias("r"),
     )
-    return out
 
 
 def window_forecast(df: DataFrame, keys: list[str], hours: Column, value: str) -> DataFrame:

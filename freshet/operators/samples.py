@@ -51,12 +51,32 @@ def union_by_valid_date(forecast: DataFrame, daily: DataFrame, key: str, issue:
     return forecast.withColumn("_valid", F.date_add(issue, F.col(lead) - 1)).join(own, [key, "_valid"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_valid", "_fill")
 
 
-def partition_dates(df: DataFrame, key: str, t: str, ratio: float, gap: int) -> DataFrame:
-    """Train and validation dates of each series: the first share of its days, and what comes after a gap of `gap` days."""
-    w = Window.partitionBy(key)
-    own = df.select(key, t).distinct().withColumn("_i", F.row_number().over(w.orderBy(t))).withColumn("_n", F.floor(F.count(F.lit(1)).over(w) * ratio))
-    train, valid = F.when(F.col("_i") <= F.col("_n"), F.col(t)), F.when(F.col("_i") > F.col("_n") + gap, F.col(t))
-    return own.groupBy(key).agg(F.min(train).alias("train_from"), F.max(train).alias("train_to"), F.min(valid).alias("valid_from"), F.max(valid).alias("valid_to"))
+#: Fixed values of the split: least days of a sequence, least sample days, bounds of the share.
+LEAST_SEQUENCE, LEAST_DAYS, SHARES = 8, 4, (0.2, 0.9)
+
+
+def partition_dates(df: DataFrame, key: str, t: str, share: float, lead_time: int, sequence: int, last_n: int | None = None) -> DataFrame:
+    """Train and validation dates of each series for samples of `sequence` days that predict `lead_time` days ahead.
+
+    (key, days, sequence, shortened, train_days, validation_days, train_from, train_to, valid_from, valid_to). The first
+    sample needs `sequence` days before it, the last one lead_time after it; targets reach `horizon` days (the larger of lead_time and
+    last_n), so that many days lie between the last training date and the first of validation. Short records get shorter
+    sequences, down to the larger of LEAST_SEQUENCE and the horizon. Series too short for both parts have NULL dates.
+    """
+    if not SHARES[0] <= share <= SHARES[1] or min(lead_time, sequence, last_n or 1) < 1:
+        raise ValueError("the share is out of range, or a length isn't positive")
+    horizon = max(lead_time, last_n or lead_time)
+    least = max(LEAST_SEQUENCE, horizon)
+    own = df.select(key, t).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1).withColumn("days", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    n = F.col("days")
+    length = F.least(F.lit(sequence), F.greatest(F.lit(least), F.floor((n - lead_time - horizon - 4) / 2)))
+    usable = n - lead_time - length + 1 - (horizon - 1)
+    enough = (n >= least + lead_time + horizon + LEAST_DAYS - 2) & (usable >= LEAST_DAYS)
+    train = F.greatest(F.lit(2), F.least(usable - 2, F.bround(usable * share))).cast("bigint")
+    at = {"train_from": length, "train_to": length + train - 1, "valid_from": length + train - 1 + horizon, "valid_to": n - lead_time}
+    picked = [F.min(F.when(enough & (F.col("_i") == i), F.col(t))).alias(c) for c, i in at.items()]
+    numbers = {"sequence": F.when(enough, length), "shortened": F.when(enough, length < sequence), "train_days": F.when(enough, train), "validation_days": F.when(enough, at["valid_to"] - at["valid_from"] + 1)}
+    return own.groupBy(key, "days").agg(*[F.first(c).alias(name) for name, c in numbers.items()], *picked)
 
 
 def timestep_counters(leads: Column, length: int, overlap: int) -> Column:
@@ -65,10 +85,18 @@ def timestep_counters(leads: Column, length: int, overlap: int) -> Column:
     return F.concat(F.array_repeat(F.lit(0), length - overlap), F.array_repeat(least, overlap), F.array_sort(leads))
 
 
-def plan_window(last_valid: Column, state: Column, issue: Column, lookback: int = 365) -> tuple[Column, Column]:
-    """(mode, begin) of a run: from the day after the earlier of state and last valid day, or `lookback` days back without a state."""
-    hot = state.isNotNull() & last_valid.isNotNull()
-    return F.when(hot, "hot").otherwise("cold"), F.when(hot, F.date_add(F.least(state, last_valid), 1)).otherwise(F.date_sub(issue, lookback))
+def plan_window(last_valid: Column, state: Column, issue: Column, lookback: int | None = None, cold_lookback: int = 365) -> tuple[Column, Column, Column]:
+    """(mode, begin, end) of a run that ends at the issue date.
+
+    It begins at the earlier of the last valid day and the state's date, whichever there are, so that the catch-up covers both: `hot`
+    with a state, `resumed` without one. With neither it is `cold` and begins cold_lookback days back. A given lookback moves the
+    begin back at least so far, and replaces cold_lookback. It never begins after the issue date.
+    """
+    first = F.least(state, last_valid)  # of those that are there
+    mode = F.when(state.isNotNull(), "hot").when(last_valid.isNotNull(), "resumed").otherwise("cold")
+    back = F.date_sub(issue, cold_lookback if lookback is None else lookback)
+    begin = F.when(first.isNull(), back).otherwise(F.least(first, issue) if lookback is None else F.least(first, issue, back))
+    return mode, begin, issue
 
 
 def reduce_samples(df: DataFrame, keys: list[str], value: str, how: str = "mean") -> DataFrame:

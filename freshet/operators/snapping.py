@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once: checkpoint() to the shared folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def _east(lon: Column, lon0: Column) -> Column:
     """How far lon is east of lon0, from -180 up to 180 degrees."""
     return F.pmod(lon - lon0 + 540, F.lit(360.0)) - 180
@@ -48,28 +53,47 @@ def snap_to_reach(points: DataFrame, reaches: DataFrame, max_km: float, weight:
 def snap_by_area(points: DataFrame, reaches: DataFrame, near_km: float, far_km: float, near_ratio: float, far_ratio: float, weight: float) -> DataFrame:
     """As snap_to_reach from near_km, and from far_km where that finds none; reaches whose area differs by more than the tier's ratio are refused.
 
-    Points carry target_area; a NULL one accepts any area.
+    Points carry target_area; a NULL one accepts any area. Only points without a near reach are looked up again, in wider cells.
     """
-    ratio = F.greatest(F.try_divide(F.col("area"), F.col("target_area")), F.try_divide(F.col("target_area"), F.col("area")))
-    found = _candidates(points, reaches, far_km / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
-    tier = F.when(F.col("km") <= near_km, 0).otherwise(1)
-    fits = F.coalesce(ratio <= F.when(tier == 0, near_ratio).otherwise(far_ratio), F.col("target_area").isNull())
-    score = F.col("km") / (1 + F.log10(F.greatest(F.lit(1.0), F.col("area"))) * weight)
-    best = found.where((F.col("km") <= far_km) & fits).groupBy("point_id").agg(F.min(F.struct(tier.alias("tier"), F.round(score, 9).alias("score"), F.col("reach_id"), F.col("km"))).alias("_b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", "_b.reach_id", "_b.km", "_b.tier")
 
+    def tier(asked: DataFrame, number: int, km: float, ratio: float) -> DataFrame:
+        off = F.greatest(F.try_divide(F.col("area"), F.col("target_area")), F.try_divide(F.col("target_area"), F.col("area")))
+        found = _candidates(asked, reaches, km / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
+        fits = F.coalesce(off <= F.when(F.col("km") <= near_km, near_ratio).otherwise(ratio), F.col("target_area").isNull())
+        score = F.round(F.col("km") / (1 + F.log10(F.greatest(F.lit(1.0), F.col("area"))) * weight), 9)
+        best = found.where((F.col("km") <= km) & fits).groupBy("point_id").agg(F.min(F.struct(score.alias("score"), F.col("reach_id"), F.col("km"))).alias("_b"))
+        return best.select("point_id", "_b.reach_id", "_b.km", F.lit(number).alias("tier"))
+
+    near = _kept(tier(points, 0, near_km, near_ratio))
+    far = tier(points.join(near, "point_id", "left_anti"), 1, far_km, far_ratio)
+    return points.select("point_id").join(near.unionByName(far), "point_id", "left")
 
-def threshold_lookup(points: DataFrame, reaches: DataFrame, threshold: str) -> DataFrame:
-    """A point's 2-year flow from the best reach within 0.45 degrees and a third to three times its area, scaled by the ratio of
-    areas to the power 0.75 between 0.4 and 2.5; from the regression 0.365 A^0.75 where there is none."""
-    ratio = F.col("target_area") / F.col("area")
-    own = reaches.select("reach_id", "area", threshold, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    found = _candidates(points, own, 0.45).withColumn("_d", F.sqrt((F.col("lat") - F.col("lat1")) ** 2 + _east(F.col("lon"), F.col("lon1")) ** 2))
-    found = found.where((F.col("_d") <= 0.45) & ratio.between(0.33, 3.0))
-    scaled = F.col(threshold) * F.least(F.lit(2.5), F.greatest(F.lit(0.4), ratio**0.75))
-    best = found.groupBy("point_id").agg(F.min(F.struct(F.round(F.abs(F.log(ratio)) + 2 * F.col("_d"), 9).alias("score"), F.col("reach_id"), scaled.alias("flow"))).alias("_b"))
-    out = points.join(best, "point_id", "left")
-    return out.select("point_id", F.col("_b.reach_id").alias("reach_id"), F.coalesce("_b.flow", 0.365 * F.col("target_area") ** 0.75).alias("flow"))
+
+#: Fixed values of the lookup: degrees, bounds of the ratio of areas and of the scale, and what the regression gives for the first flow
+#: (factor and power) and the later ones relative to it.
+LOOKUP_DEGREES, AREA_RATIO, SCALE, REGRESSION, LATER = 0.45, (0.33, 3.0), (0.4, 2.5), (0.365, 0.75), (1.66, 2.50)
+
+
+def threshold_lookup(points: DataFrame, reaches: DataFrame, thresholds: list[str]) -> DataFrame:
+    """(point_id, reach_id, thresholds): a point's flows of rising periods from the reach that fits it best, scaled by area.
+
+    Reaches within LOOKUP_DEGREES, longitudes shortened by the cosine of the point's latitude, that have a first flow and an area within
+    AREA_RATIO of the point's; the least of |ln ratio| + 2 degrees, of a tie the lowest id. A point's area is 50 at least, 500 if
+    unknown, a reach's 10. Without such a reach the flows follow the regression on the area.
+    """
+    area = F.greatest(F.when(F.col("target_area") != 0, F.col("target_area")).otherwise(500.0), F.lit(50.0))
+    area = F.when(F.col("target_area").isNull(), 500.0).otherwise(area)
+    known = points.withColumn("_area", area)
+    own = reaches.select("reach_id", F.greatest("area", F.lit(10.0)).alias("_own"), *thresholds, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    found = _candidates(known, own.where(F.col(thresholds[0]) > 0), LOOKUP_DEGREES)
+    away = F.sqrt((F.col("lat") - F.col("lat1")) ** 2 + (_east(F.col("lon1"), F.col("lon")) * F.cos(F.radians("lat"))) ** 2)
+    found = found.withColumn("_d", away).where((F.col("_d") <= LOOKUP_DEGREES) & F.col("_own").between(F.col("_area") * AREA_RATIO[0], F.col("_area") * AREA_RATIO[1]))
+    scale = F.least(F.lit(SCALE[1]), F.greatest(F.lit(SCALE[0]), (F.col("_area") / F.col("_own")) ** REGRESSION[1]))
+    score = F.round(F.abs(F.log(F.col("_own") / F.col("_area"))) + 2 * F.col("_d"), 9)
+    best = found.groupBy("point_id").agg(F.min(F.struct(score.alias("score"), "reach_id", *[(F.col(t) * scale).alias(t) for t in thresholds])).alias("_b"))
+    plain = REGRESSION[0] * F.col("_area") ** REGRESSION[1]
+    out = known.join(best, "point_id", "left")
+    return out.select("point_id", F.col("_b.reach_id").alias("reach_id"), *[F.coalesce(f"_b.{t}", f * plain).alias(t) for t, f in zip(thresholds, (1.0, *LATER))])
 
 
 def overlap_boxes(a: DataFrame, b: DataFrame, degrees: float) -> DataFrame:
@@ -105,14 +129,21 @@ def domain_coverage(south: Column, west: Column, north: Column, east: Column, bo
 
 
 def max_rank(lines: DataFrame, ranks: DataFrame, key: str, cells: list[str]) -> DataFrame:
-    """The highest rank of the grid cells of a line's vertices (array of structs of cell indices); NULL where none has one."""
-    each = lines.select(key, F.explode("vertices").alias("_v")).select(key, *[F.col("_v")[c].alias(c) for c in cells])
-    return each.join(ranks, cells, "left").groupBy(key).agg(F.max("rank").alias("rank"))
+    """The highest rank of the grid cells of a line's vertices (array of structs of cell indices); 0 where none has one.
+
+    Of lines of five vertices and more, five count: the first, those at the quarters, and the last.
+    """
+    n = F.size("vertices")
+    at = F.array(F.lit(0), F.floor(n / 4), F.floor(n / 2), F.floor(n * 3 / 4), F.lit(0) + n - 1)
+    some = F.when(n < 5, F.col("vertices")).otherwise(F.transform(at, lambda i: F.get("vertices", i.cast("int"))))
+    each = lines.select(key, F.explode_outer(some).alias("_v")).select(key, *[F.col("_v")[c].alias(c) for c in cells])
+    return each.join(ranks, cells, "left").groupBy(key).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
 
 
 def query_reaches(df: DataFrame, west: float, south: float, east: float, north: float, min_order: int, min_area: float) -> DataFrame:
-    """Reaches in a box, which may cross the antimeridian, of an order and area at least; one row for each id."""
+    """Reaches in a box, which may cross the antimeridian, of an order and area at least; of an id in several rows the one of the largest area."""
     lon = F.col("lon").between(west, east) if west <= east else (F.col("lon") >= west) | (F.col("lon") <= east)
-    return df.where(lon & F.col("lat").between(south, north) & (F.col("order") >= min_order) & (F.col("area") >= min_area)).dropDuplicates(["reach_id"])
-
-
+    kept = df.where(lon & F.col("lat").between(south, north) & (F.col("order") >= min_order) & (F.col("area") >= min_area))
+    rest = [c for c in df.columns if c != "reach_id"]
+    best = kept.groupBy("reach_id").agg(F.max(F.struct(F.col("area").alias("_a"), F.struct(*rest).alias("_r"))).alias("_b"))
+    return best.select("reach_id", "_b._r.*").select(*df.columns)
