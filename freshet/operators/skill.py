@@ -36,16 +36,38 @@ def both_valid(df: DataFrame, obs: str = "obs", sim: str = "sim") -> DataFrame:
     return df.where(F.col(obs).isNotNull() & F.col(sim).isNotNull())
 
 
+#: Users' metrics by name: (column builder or None, function of two series or None); see registries.
+EXTRA: dict[str, tuple] = {}
+
+
+def _aggregated(df: DataFrame, by: list[str], names: list[str], obs: str, sim: str) -> DataFrame:
+    """Column metrics in one aggregation, and functions of series in another, joined."""
+    known = metric_columns(obs, sim) | {k: build(obs, sim) for k, (build, _) in EXTRA.items() if build}
+    if lacking := [n for n in names if n not in known and n not in EXTRA]:
+        raise ValueError(f"no such metrics: {lacking}")
+    out = df.groupBy(*by).agg(*[known[k].alias(k) for k in names if k in known] or [F.count(F.lit(1)).alias("_n")])
+    own = [k for k in names if k not in known]
+    if own:
+        udf = lambda f: F.pandas_udf(f, "double", F.PandasUDFType.GROUPED_AGG)(F.col(obs).cast("double"), F.col(sim).cast("double"))
+        more = df.groupBy(*by).agg(*[udf(EXTRA[k][1]).alias(k) for k in own]).withColumnsRenamed({c: f"_{c}" for c in by})
+        match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        out = out.join(more, match, "left") if by else out.crossJoin(more)
+    return out.select(*by, *names)
+
+
 def skill(df: DataFrame, by: list[str], names: list[str] | None = None, obs: str = "obs", sim: str = "sim") -> DataFrame:
-    """The named metrics of each group in one aggregation."""
-    known = metric_columns(obs, sim)
-    return both_valid(df, obs, sim).groupBy(*by).agg(*[known[k].alias(k) for k in names or list(known)])
+    """The named metrics of each group, registered ones too, in one aggregation if all are columns."""
+    return _aggregated(both_valid(df, obs, sim), by, names or list(metric_columns(obs, sim)), obs, sim)
 
 
 def skill_by_lead(df: DataFrame, key: str, lead: str, names: list[str], obs: str = "obs", sim: str = "sim") -> DataFrame:
-    """Metrics of each key and lead, and pooled over leads (lead NULL), from one pass with grouping sets."""
-    known = metric_columns(obs, sim)
-    return both_valid(df, obs, sim).groupingSets([[F.col(key), F.col(lead)], [F.col(key)]], F.col(key), F.col(lead)).agg(*[known[k].alias(k) for k in names])
+    """Metrics of each key and lead, and pooled over leads (lead NULL), from one pass with grouping sets; functions of series take two."""
+    valid = both_valid(df, obs, sim)
+    if any(EXTRA.get(n, (True,))[0] is None for n in names):
+        pooled = _aggregated(valid, [key], names, obs, sim).withColumn(lead, F.lit(None).cast(df.schema[lead].dataType))
+        return _aggregated(valid, [key, lead], names, obs, sim).unionByName(pooled)
+    known = metric_columns(obs, sim) | {k: build(obs, sim) for k, (build, _) in EXTRA.items() if build}
+    return valid.groupingSets([[F.col(key), F.col(lead)], [F.col(key)]], F.col(key), F.col(lead)).agg(*[known[k].alias(k) for k in names])
 
 
 def medians(table: DataFrame, names: list[str]) -> DataFrame:
