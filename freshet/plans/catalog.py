@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.plans import base, basins, events_and_networks, fits, more, outliers, rivers, samples_and_models, training  # noqa: F401  registration
+from freshet.plans import base, basins, events_and_networks, fits, more, outliers, places, rivers, samples_and_models, training  # noqa: F401  registration
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
