@@ -433,6 +433,11 @@ def _units(member: DataFrame, percent: int) -> DataFrame:
     return placed.join(sides, ["hub", "bin", "block"]).select("hub", "a", "b", "node", "root", "size", "most", "cells")
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side that grows with the documents: its joins are shuffled at every size, so that small inputs show what large ones cost."""
+    return side.hint("merge")
+
+
 def _by_part(hubs: DataFrame, member: DataFrame) -> DataFrame:
     """hubs' rows, repeated for each part that member has of the hub, so that no task takes a whole hub."""
     parts = member.groupBy("hub").agg(F.max("part").alias("_parts"))
@@ -470,17 +475,17 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     shared = written(shared, "shared")
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("nodes"))
-    star = shared.join(hubs, "sig").where("node <> hub").groupBy("hub", "node").agg(F.max("nodes").alias("nodes"))
+    hubs = shared.join(_shuffled(degree), "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("nodes"))
+    star = shared.join(_shuffled(hubs), "sig").where("node <> hub").groupBy("hub", "node").agg(F.max("nodes").alias("nodes"))
     star = written(star, "star")
     parts = written(star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "hubs")
     star = written(star.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "parts")
 
     x = known.select("node", F.col("size").alias("x_size"), F.col("cells").alias("x_cells"))
     y = _by_part(known.select(F.col("node").alias("hub"), F.col("size").alias("y_size"), F.col("cells").alias("y_cells")), star)
-    sizes = star.select("hub", "part", "node").join(x.drop("x_cells"), "node").join(y.drop("y_cells"), ["hub", "part"])
+    sizes = star.select("hub", "part", "node").join(_shuffled(x.drop("x_cells")), "node").join(_shuffled(y.drop("y_cells")), ["hub", "part"])
     sized = sizes.where(F.least("x_size", "y_size") * 100 >= percent * F.greatest("x_size", "y_size")).select("hub", "part", "node")
-    close = written(sized.join(x, "node").join(y, ["hub", "part"]).mapInArrow(_possible(percent), fields("hub long, part int, node long")), "close")
+    close = written(sized.join(_shuffled(x), "node").join(_shuffled(y), ["hub", "part"]).mapInArrow(_possible(percent), fields("hub long, part int, node long")), "close")
     sets = written(node_sets(_rows_of(docs, known, close.select("node").union(close.select("hub"))), n), "sets")
     both = F.size(F.array_intersect("x", "y"))
     tested = (
