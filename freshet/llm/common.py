@@ -54,6 +54,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()):
+    """All columns as one named `row`, so that what an operator adds can't clash with them; names in `without`, in any case, are left out."""
+    kept = [c for c in df.columns if c.lower() not in without]
+    return F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+
+
 def hex_number(column, start: int, digits: int):
     """The given hex digits of a hash (1-based start) as a bigint."""
     return F.conv(F.substring(column, start, digits), 16, 10).cast("bigint")

@@ -49,6 +49,13 @@ LISTS = set("ad ads advert adverts advertisement advertising sponsor sponsored p
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "page_header", "in_main", "heading"]
 
 
+#: Kinds of furniture: by element or role; by the name of a list of other texts; by another name, where an article inside is the page's own.
+HARD, LIST, LAYOUT = 3, 2, 1
+#: Furniture by name alone is outvoted if it holds this share of the page's unlinked words outside hard furniture (and, unless it is a list
+#: itself, outside lists) in whole sentences: so many blocks of so many words, a heading counting as one. A list must hold the first heading too.
+OUTVOTED, LEAST_BLOCKS, LEAST_WORDS = 0.5, 3, 8
+
+
 @dataclass
 class Block:
     text: str
@@ -75,22 +82,26 @@ def furniture_name(names: str) -> str:
 
 
 def _role(name: str, attributes: str) -> tuple[int, bool, bool, bool]:
-    """What an element's start tag speaks for: furniture (2, or 1 if an article inside it is the page's own), a header, main text, the label."""
+    """What an element's start tag speaks for: furniture (a kind below, or 0), a header, main text, the label."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     word = "" if name in ("html", "body") else furniture_name(f"{found.get('class', '')} {found.get('id', '')}")
-    if hidden or word in LISTS or (name in FURNITURE and name != "form") or role in FURNITURE_ROLES - {"form", "search"}:
-        furniture = 2
+    if hidden or (name in FURNITURE and name != "form") or role in FURNITURE_ROLES - {"form", "search"}:
+        furniture = HARD
+    elif word in LISTS:
+        furniture = LIST
     else:
-        furniture = int(bool(word) or name == "form" or role in FURNITURE_ROLES)
+        furniture = LAYOUT if word or name == "form" or role in FURNITURE_ROLES else 0
     return furniture, name == "header", name in MAIN or role in MAIN, "data-keep" in found
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order: text without markup, references decoded, white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # element, furniture, header, main: own or of an ancestor
+    stack: list[tuple[str, tuple[int, ...], bool, bool]] = []  # element, its furniture by number, header, main: own or of an ancestor
+    kinds: list[int] = []  # of each furniture element
+    inside: list[tuple[int, ...]] = []  # the furniture of each block
     text: list[str] = []
     linked: list[str] = []
     in_link = heading = keep = False
@@ -101,8 +112,9 @@ def blocks(page: str | None) -> list[Block]:
         words = "".join(text).split()
         text.clear()
         if words:
-            _, furniture, header, main = stack[-1] if stack else ("", 0, False, False)
-            out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), furniture > 0, header and not main, main, heading, keep))
+            _, around, header, main = stack[-1] if stack else ("", (), False, False)
+            inside.append(around)
+            out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), bool(around), header and not main, main, heading, keep))
         linked.clear()
 
     def say(part: str) -> None:
@@ -151,13 +163,37 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 in_link = in_link and len(stack) >= link_depth
                 furniture, header, main, keep = _role(name, attributes)
-                _, f, h, a = stack[-1] if stack else ("", 0, False, False)
-                f = 0 if main and f == 1 else f  # what surrounds an article is its layout
-                stack.append((name, max(f, furniture), h or header, a or main))
+                _, around, h, a = stack[-1] if stack else ("", (), False, False)
+                if main:  # what surrounds an article is its layout
+                    around = tuple(k for k in around if kinds[k] != LAYOUT)
+                if furniture and not (main and furniture == LAYOUT):
+                    around = (*around, len(kinds))
+                    kinds.append(furniture)
+                stack.append((name, around, h or header, a or main))
     end()
+    _outvote(out, inside, kinds)
     return out
 
 
+def _outvote(found: list[Block], inside: list[tuple[int, ...]], kinds: list[int]) -> None:
+    """Clears the furniture of blocks whose elements are furniture by name only and hold most of the page's text."""
+    soft = [i for i, around in enumerate(inside) if not any(kinds[k] == HARD for k in around)]
+    plain = lambda own: sum(found[i].words - found[i].linked for i in own)
+    total = {LIST: plain(soft), LAYOUT: plain([i for i in soft if not any(kinds[k] == LIST for k in inside[i])])}
+    first = next((i for i in soft if found[i].heading), None)
+    held: dict[int, list[int]] = {}
+    for i in soft:
+        for k in inside[i]:
+            held.setdefault(k, []).append(i)
+    wrong = set()
+    for k, own in held.items():
+        sentences = sum(found[i].heading or found[i].words - found[i].linked >= LEAST_WORDS for i in own)
+        if sentences >= LEAST_BLOCKS and plain(own) >= OUTVOTED * total[kinds[k]] and (kinds[k] == LAYOUT or first in own):
+            wrong.add(k)
+    for i in soft:
+        found[i].furniture = any(k not in wrong for k in inside[i])
+
+
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words, b.furniture, b.page_header, b.in_main, b.heading) for b in found], np.float64).reshape(-1, 6)
     near = np.vstack([np.zeros((1, 2)), own[:, :2], np.zeros((1, 2))])

@@ -74,4 +74,18 @@ PAGES = [
     <div data-keep>The deepest is closed today because a child fell in and was pulled out again by a passing carter with a good rope.</div></body>""",
     """<body><a href="/a">Up</a><p data-keep>This page has moved to the archive, where it can be read in full together with all the letters that came in after it was printed.</p></body>""",
     """<body><p><a href="/a">Here</a></p><p>Wait.</p></body>""",
+    # Names of furniture on what holds the page's text; lists with links between paragraphs.
+    """<body><nav><a href="/">Start</a></nav><div class="newsletter"><h1 data-keep>Letter of the month</h1>
+    <p data-keep>The harbour was dredged in May and the ferries run again at low water, as they did before the storm.</p>
+    <ul><li data-keep><a href="/t">The new timetable of all lines</a></li><li data-keep>and its holidays</li></ul><p data-keep>So it is.</p>
+    <p data-keep>Tickets are sold at the quay and on board, and those of last year are valid until the end of the season.</p></div>
+    <div class="newsletter-signup"><p>Get our letter by mail every month, free of charge.</p></div><footer>Imprint and contact</footer></body>""",
+    # A form around the whole page; comments longer than the text.
+    """<body><form id="aspnetForm"><div class="menu"><a href="/">Home</a><a href="/x">More</a></div>
+    <div><h1 data-keep>Report on wells</h1><p data-keep>Nine wells were drilled in the valley and seven of them gave water within the first week.</p>
+    <p data-keep>The other two were filled with gravel and closed.</p><p data-keep>Work goes on in spring, when the ground has thawed and the rig can be moved again.</p></div>
+    <div class="search"><p>Search this site</p></div></form>
+    <div class="comments"><h3>Comments</h3><p>Our well went dry two years ago and nobody came to see it, although we wrote three letters to the office.</p>
+    <p>Same here, and the letters were never answered by anyone, so we dug our own well with two neighbours.</p><p>Thanks for the report, it was good to read.</p>
+    <p>Where can one see the map of the nine wells, and are there plans for the upper valley as well as for ours?</p></div></body>""",
 ]

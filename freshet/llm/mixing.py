@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BROADCAST_ROWS, gapless, hex_number, table, written
+from freshet.llm.common import BROADCAST_ROWS, gapless, hex_number, table, whole_row, written
 
 SEED = "mix"
 #: Share of the mix by language, for op1: English is brought down, the others up.
@@ -74,23 +74,26 @@ def replicate(df: DataFrame, key: str, group: str, weights: dict[str, float] | N
     have rows in the mix, a row for each weight is broadcast; else the groups are counted first and joined by
     shuffle beyond BROADCAST_ROWS of them.
     """
-    wanted = rates(df, group, weights, total, other).where("rate > 0").select(F.col(group).alias("_group"), F.col("rate").alias("_rate"))
+    rows = df.select(whole_row(df, ("rate", "replica")), F.col(f"`{key}`").alias("key"), F.col(f"`{group}`").alias("group"))
+    wanted = rates(rows.select("group"), "group", weights, total, other).where("rate > 0").select(F.col("group").alias("_group"), "rate")
     if weights is None or other > 0:
         wanted = written(wanted, "rates")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     else:
         wanted = F.broadcast(wanted.where(F.col("_group").isin(list(weights))))
-    kept = [c for c in df.columns if c not in ("rate", "replica")]
-    joined = df.select(*kept).join(wanted, F.col(group).eqNullSafe(F.col("_group")))
-    counted = joined.select(*kept, "_rate").withColumn("_n", poisson_count(F.col(key), F.col("_rate"), seed))
-    return counted.where("_n > 0").select(*kept, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
+    joined = rows.join(wanted, F.col("group").eqNullSafe(F.col("_group"))).withColumn("n", poisson_count(F.col("key"), F.col("rate"), seed))
+    return joined.where("n > 0").select("row.*", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("replica"))
+
+
+def _order_text(seed: str, *rest) -> Column:
+    return F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("replica"), *rest)
 
 
 def shuffled(df: DataFrame, key: str, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """df in a global random order: adds position, gapless from 0, by the MD5 of seed, key and replica."""
-    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replica"))
-    ordered = df.withColumn("_order", F.md5(text)).withColumn("_bucket", hex_number(F.col("_order"), 1, 8) % buckets)
-    return gapless(ordered, [], "_bucket", [F.col("_order")], "position").drop("_order", "_bucket")
+    """df in a global random order: adds position, gapless from 0, by the MD5 of seed, key and replica, in place of a column of that name."""
+    rows = df.select(whole_row(df, ("position",)), F.col(f"`{key}`").alias("key"), F.col("replica"))
+    ordered = rows.withColumn("order", F.md5(_order_text(seed))).withColumn("bucket", hex_number(F.col("order"), 1, 8) % buckets)
+    return gapless(ordered, [], "bucket", [F.col("order")], "position").select("row.*", "position")
 
 
 def laid_out(df: DataFrame, key: str, seed: str = SEED) -> DataFrame:
@@ -98,15 +101,16 @@ def laid_out(df: DataFrame, key: str, seed: str = SEED) -> DataFrame:
 
     The order is by the MD5 of seed, key, replica and a hash of the row, so rows of one key are spread too.
     """
-    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replica"), F.xxhash64(*df.columns))
-    return df.withColumn("_order", F.md5(text)).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    rows = df.select(whole_row(df), F.col(f"`{key}`").alias("key"), F.col("replica")).withColumn("order", F.md5(_order_text(seed, F.xxhash64("row"))))
+    return rows.repartition("order").sortWithinPartitions("order").select("row.*")
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to LANGUAGE_WEIGHTS, as many rows as documents are expected, in a global random order.
 
     Null and empty texts are mixed like any other; documents of null or unlisted language have weight 0. Rows
-    that repeat a doc_id share its count. An empty table gives no rows. Further columns are kept.
+    that repeat a doc_id share its count; those of one replica tie and have neighbouring positions in any order. An
+    empty table gives no rows. Further columns are kept whatever their names; only rate, replica and position are replaced.
     """
     docs = table(spark, sf_dir, "documents")
     return shuffled(replicate(docs, "doc_id", "lang", LANGUAGE_WEIGHTS), "doc_id")

@@ -122,14 +122,18 @@ def fitted(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -
 
 
 def trained(docs: DataFrame, labels: DataFrame, grade, rows: int = SAMPLE_ROWS, n_grades: int = GRADES) -> Model:
-    """The model of at most `rows` labelled documents: those with the least hashes of their ids.
+    """The model of at most `rows` labelled texts: those with the least hashes of their ids, of one id those with the least hashes of the text.
 
-    One task fits it, as the sample is bounded; its weights, of a fixed number, come to the driver. Labels without
-    grade, id or document are left out. Without any, the middle grades are what every text is expected to have.
+    One task fits it, as the sample is bounded, also where a doc_id has many texts or labels; its weights, of a fixed
+    number, come to the driver. Labels without grade, id or document are left out, and grades outside 0 to n_grades - 1 are an error. Without
+    any, the middle grades are what every text is expected to have.
     """
-    graded = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
-    sample = graded.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "grade").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    number = grade.cast("int")
+    checked = F.when(number.between(0, n_grades - 1), number).otherwise(F.raise_error(F.concat(F.lit("no such grade: "), number.cast("string"))).cast("int"))
+    graded = labels.select("doc_id", F.when(number.isNotNull(), checked).alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
+    first = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("grade")]
+    sample = graded.orderBy(*first).limit(rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(*first, F.xxhash64("text")).limit(rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, grade, rows: int = SAMPLE_ROWS,
             rows_ += [np.array(x, np.int64) for x in batch.column("features").to_pylist()]
             grades += batch.column("grade").to_pylist()
         if rows_:
-            model = fitted(rows_, np.clip(np.array(grades, np.int64), 0, n_grades - 1), n_grades)
+            model = fitted(rows_, np.array(grades, np.int64), n_grades)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
 
     found = texts.mapInArrow(featurise, fields("doc_id long, grade int, features array<long>"))
@@ -167,8 +171,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op2_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's expected grade (0 toxic, 1 poor, 2 good) and whether it is selected.
 
-    Null and empty texts have the feature of an empty text alone; rows that repeat a doc_id are graded one by
-    one; without labels all thresholds are at their defaults; an empty table gives no rows.
+    Null and empty texts have the feature of an empty text alone; very long texts count with the features of all their words; rows
+    that repeat a doc_id are graded one by one, equal texts alike; without labels all thresholds are at their defaults. Other columns
+    aren't read. An empty table gives no rows.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
