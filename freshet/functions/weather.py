@@ -32,6 +32,7 @@ def reference_et(pressure: Column, temperature: Column, dew_point: Column, wind:
 
 
 def planar_area_km2(square_degrees: Column, lat: Column) -> Column:
+    """An area in square degrees around a latitude, for shapes of a few degrees; places.geodesic_area_km2 is exact."""
     return square_degrees * 111.0**2 * F.cos(F.radians(lat))
 
 

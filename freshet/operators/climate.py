@@ -31,6 +31,21 @@ def climate_indices(daily: DataFrame, key: str = "basin", t: str = "date", p: st
     return out.select(key, *[F.round(F.coalesce(F.col(c), F.lit(0.0)) if c[:4] in ("high", "low_") else F.col(c), 4).alias(c) for c in names])
 
 
+def zonal_climatology(grid: DataFrame, weights: DataFrame, bands: dict[str, str], t: str = "date", first: str | None = None, last: str | None = None) -> DataFrame:
+    """climate_indices of basins from daily grids (t, lat_idx, lon_idx, bands): bands name the columns of p, pet and temp.
+
+    A basin's day counts where cells of 80 % of its weight have a value, without slack; the years can be those of a
+    baseline. All bands are reduced by one join of the grid with the weights, cell by cell; no grid is held whole.
+    """
+    days = grid if first is None else grid.where(F.year(t).between(int(first), int(last)))
+    whole = weights.groupBy("basin").agg(F.sum("weight").alias("_whole"))
+    met = days.join(weights, ["lat_idx", "lon_idx"])
+    sums = met.groupBy("basin", t).agg(*[x for name, c in bands.items() for x in (F.sum(F.when(F.col(c).isNotNull(), F.col("weight"))).alias(f"_w{name}"), F.sum(F.col("weight") * F.col(c)).alias(f"_s{name}"))])
+    value = lambda name: F.when(F.try_divide(F.col(f"_w{name}"), F.col("_whole")) >= 0.8, F.try_divide(F.col(f"_s{name}"), F.col(f"_w{name}")))
+    daily = sums.join(whole, "basin").select("basin", t, *[value(name).alias(name) for name in bands])
+    return climate_indices(daily, "basin", t)
+
+
 def daily_lead_aggregate(df: DataFrame, keys: list[str], lead_hours: str, value: str, mode: str = "mean") -> DataFrame:
     """Irregular forecast steps to lead days, only those that the steps tile exactly.
 

@@ -183,14 +183,16 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def nearest(points: DataFrame, gauges: DataFrame, radius_km: float, cell_degrees: float = 5.0) -> DataFrame:
+def nearest(points: DataFrame, gauges: DataFrame, radius_km: float, cell_degrees: float | None = None) -> DataFrame:
     """For each point the nearest gauge within the radius: (point_id, gauge_id, km); ties go to the lower id.
 
     Gauges go to their cell and the cells around it, so an equi-join finds candidates. A column's width shrinks
-    with the cosine of the latitude, so near the poles a gauge goes to more columns; longitudes wrap.
+    with the cosine of the latitude, so near the poles a gauge goes to more columns; longitudes wrap. Unless given, cells
+    are about as large as the radius.
     """
-    n = int(round(360 / cell_degrees))
     reach = math.degrees(radius_km / 6371.0)
+    n = int(round(360 / cell_degrees)) if cell_degrees else max(1, min(72_000, int(360 / max(reach, 1e-9))))
+    cell_degrees = cell_degrees or 360 / n
     row = lambda c: F.floor((F.col(c) + 90) / cell_degrees).cast("int")
     col = lambda c: F.floor((F.col(c) + 180) / cell_degrees).cast("int")
     spread = F.ceil(reach / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.abs("g_lat") + reach)))) / cell_degrees)

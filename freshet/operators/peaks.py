@@ -108,31 +108,62 @@ def clipped_area(ring: list[tuple[float, float]], west: float, south: float, eas
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2
 
 
+def _half(points: np.ndarray, axis: int, limit: float, above: bool) -> np.ndarray:
+    """The part of a polygon on one side of an axis-parallel line: its vertices there, and where its edges cross the line."""
+    if not len(points):
+        return points
+    after = np.roll(points, -1, axis=0)
+    side = points[:, axis] >= limit if above else points[:, axis] <= limit
+    crosses = side != np.roll(side, -1)
+    run = np.where(crosses, after[:, axis] - points[:, axis], 1.0)
+    both = np.empty((2 * len(points), 2))
+    both[0::2], both[1::2] = points, points + ((limit - points[:, axis]) / run)[:, None] * (after - points)
+    return both[np.column_stack([side, crosses]).ravel()]
+
+
+def ring_cells(points: np.ndarray, degrees: float) -> list[tuple[int, int, float]]:
+    """(lat_idx, lon_idx, area times the cosine of the row's latitude) of the cells that a ring of (lon, lat) meets: cut into rows once, rows into cells."""
+    out = []
+    at = lambda v, base: int(math.floor((v + base) / degrees))
+    for i in range(at(points[:, 1].min(), 90), at(points[:, 1].max(), 90) + 1):
+        south = i * degrees - 90
+        row = _half(_half(points, 1, south, True), 1, south + degrees, False)
+        if len(row) < 3:
+            continue
+        shrink = math.cos(math.radians(south + degrees / 2))
+        for j in range(at(row[:, 0].min(), 180), at(row[:, 0].max(), 180) + 1):
+            west = j * degrees - 180
+            x, y = _half(_half(row, 0, west, True), 0, west + degrees, False).T
+            area = abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+            if area > 0:
+                out.append((i, j, area * shrink))
+    return out
+
+
 def cell_weights(rings: DataFrame, degrees: float) -> DataFrame:
     """(basin, lat_idx, lon_idx, weight): overlap of each basin with grid cells times cos(latitude), shares of a basin.
 
-    rings: (basin, is_hole, pts array of (lon, lat)). Candidate cells of a ring come from its box by arithmetic, so
-    no join looks at all cells; a ring's cells are spread over tasks before they are clipped. Holes subtract.
-    A basin that covers nothing measurable is its centre's cell. Rings may run past the antimeridian; columns wrap.
+    rings: (basin, is_hole, pts array of (lon, lat)). A ring is cut into its cells where it is read, so no vertex is shuffled and no
+    join looks at all cells; only areas by cell are added up. Holes subtract. A basin that covers nothing measurable is
+    its centre's cell. Rings may run past the antimeridian; columns wrap.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     lon, lat = F.transform("pts", lambda p: p["lon"]), F.transform("pts", lambda p: p["lat"])
     at = lambda c, base: F.floor((c + base) / degrees).cast("int")
-    cells = rings.withColumn("lat_idx", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("lon_idx", F.explode(F.sequence(at(F.array_min(lon), 180), at(F.array_max(lon), 180))))
     kinds = dict(rings.dtypes)
 
-    def clip(frames):
+    def cut(frames):
         for pdf in frames:
-            area = []
-            for pts, i, j in zip(pdf["pts"], pdf["lat_idx"], pdf["lon_idx"]):
-                south, west = i * degrees - 90, j * degrees - 180
-                area.append(clipped_area([(p["lon"], p["lat"]) for p in pts], west, south, west + degrees, south + degrees) * math.cos(math.radians(south + degrees / 2)))
-            sign = np.where(pdf["is_hole"].to_numpy(bool), -1.0, 1.0)
-            yield pdf[["basin", "lat_idx", "lon_idx"]].assign(area=np.array(area, float) * sign)
-
-    measured = cells.repartition("basin", "lat_idx", "lon_idx").mapInPandas(clip, f"basin {kinds['basin']}, lat_idx int, lon_idx int, area double")
+            found = []
+            for basin, hole, pts in zip(pdf["basin"], pdf["is_hole"], pdf["pts"]):
+                points = np.array([(p["lon"], p["lat"]) for p in pts], float).reshape(-1, 2)
+                if len(points):
+                    found += [(basin, i, j, -area if hole else area) for i, j, area in ring_cells(points, degrees)]
+            yield pd.DataFrame(found, columns=["basin", "lat_idx", "lon_idx", "area"])
+
+    measured = rings.select("basin", "is_hole", "pts").mapInPandas(cut, f"basin {kinds['basin']}, lat_idx int, lon_idx int, area double")
     measured = measured.withColumn("lon_idx", F.pmod("lon_idx", F.lit(round(360 / degrees))))
     areas = measured.groupBy("basin", "lat_idx", "lon_idx").agg(F.sum("area").alias("area"))
     total = F.sum(F.greatest(F.col("area"), F.lit(0.0))).over(Window.partitionBy("basin"))

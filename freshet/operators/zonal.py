@@ -20,7 +20,7 @@ def normalised_weights(cells: DataFrame, size: str, key: str = "basin") -> DataF
     return cells.withColumn("weight", F.try_divide(F.col(size), F.sum(size).over(Window.partitionBy(key))))
 
 
-def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx"), more: dict[str, Column] | None = None) -> DataFrame:
+def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str = "value", cell=("lat_idx", "lon_idx"), more: dict[str, Column] | None = None, slack: float = SLACK) -> DataFrame:
     """Per basin and `by`: the weighted mean of valid cells, NULL under the coverage rule, and the missing fraction.
 
     The weights decide what a basin's whole weight is, so cells without a row count as missing. The join is an equi-join on the cell;
@@ -35,7 +35,7 @@ def zonal_reduce(grid: DataFrame, weights: DataFrame, by: list[str], value: str
     )
     share = F.try_divide(F.col("_w"), F.col("_whole"))
     return sums.join(whole, "basin").select(
-        "basin", *by, F.when(share >= COVERAGE - SLACK, F.try_divide(F.col("_wx"), F.col("_w"))).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction"), *(more or {})
+        "basin", *by, F.when(share >= COVERAGE - slack, F.try_divide(F.col("_wx"), F.col("_w"))).alias(value), F.greatest(F.lit(0.0), 1 - share).alias("missing_fraction"), *(more or {})
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import frame, frequency, network, skill
+from freshet.operators import climate, frame, frequency, network, samples, skill, zonal
 from freshet.plans import base
 from freshet.plans.base import query
 from freshet.sources import providers
@@ -83,3 +84,38 @@ def locate_units(spark, d):
     ring = F.array(corner(-7.05, 0.0), corner(0.0, -7.05), corner(7.05, 0.0), corner(0.0, 7.05))
     units = p.select(F.col("point_id").alias("unit_id"), ring.alias("ring"))
     return network.locate_units(p, units)
+
+
+@query("zonal_climatology", """WITH x AS (SELECT lat_idx, lon_idx, week, CASE WHEN (lat_idx + lon_idx * 3) % 13 > 0 THEN value END AS p, value * 1.1 AS pet, month(week) - 5.0 AS temp FROM grid WHERE year(week) BETWEEN 1996 AND 1999),
+t AS (SELECT basin, sum(weight) AS w FROM weights GROUP BY 1), s AS (SELECT basin, week, sum(weight) FILTER (p IS NOT NULL) AS a, sum(weight * p) AS b, sum(weight) AS c, sum(weight * pet) AS d FROM x JOIN weights USING (lat_idx, lon_idx) GROUP BY 1, 2),
+v AS (SELECT basin, CASE WHEN a / w >= 0.8 THEN b / a END AS p, CASE WHEN c / w >= 0.8 THEN d / c END AS pet FROM s JOIN t USING (basin))
+SELECT basin, round(avg(p), 4) AS p_mean, round(avg(pet), 4) AS pet_mean, round(avg(pet) / avg(p), 4) AS aridity FROM v GROUP BY 1""", "grid weights")
+def zonal_climatology(spark, d):
+    g = base.grid(spark, d)
+    x = g.select("lat_idx", "lon_idx", "week", F.when((F.col("lat_idx") + F.col("lon_idx") * 3) % 13 > 0, F.col("value")).alias("a"), (F.col("value") * 1.1).alias("b"), (F.month("week") - 5.0).alias("c"))
+    out = climate.zonal_climatology(x, base.weights(spark, d), {"p": "a", "pet": "b", "temp": "c"}, "week", "1996", "1999")
+    return out.select("basin", "p_mean", "pet_mean", "aridity")
+
+
+@query("daily_from_steps", """WITH s AS (SELECT basin, date, lead * 9 AS step, obs::DOUBLE AS state, sum(obs) OVER (PARTITION BY basin, date ORDER BY lead)::DOUBLE AS total FROM forecast),
+d AS (SELECT basin, date, ((step - 1) // 24 + 1)::INT AS lead_day, avg(state) AS state, max_by(total, step) AS a FROM s GROUP BY 1, 2, 3)
+SELECT basin, date, lead_day, round(state, 6) AS state, a - coalesce(lag(a) OVER (PARTITION BY basin, date ORDER BY lead_day), 0) AS total FROM d""", "forecast")
+def daily_from_steps(spark, d):
+    f = base.forecast(spark, d).select("basin", "date", (F.col("lead") * 9).alias("step"), F.col("obs").cast("double").alias("state"))
+    running = F.sum("state").over(Window.partitionBy("basin", "date").orderBy("step"))
+    return zonal.daily_from_steps(f.withColumn("total", running), ["basin", "date"], "step", "state", "total").withColumn("state", R("state"))
+
+
+@query("combined_missing", """WITH f AS (SELECT basin, date, obs, sim, CASE WHEN day(date) % 3 > 0 THEN day(date) / 31.0 END AS a, day(date) % 4 / 4.0 AS b FROM obs_sim)
+SELECT basin, date, round(CASE WHEN sim IS NULL THEN 1 ELSE greatest(coalesce(a, 1), coalesce(b, 1)) END, 6) AS missing FROM f""", "obs_sim")
+def combined_missing(spark, d):
+    day = F.day("date")
+    f = base.obs_sim(spark, d).withColumns({"a": F.when(day % 3 > 0, day / 31.0), "b": day % 4 / 4.0})
+    return f.select("basin", "date", R(zonal.combine_missing(f, "sim", ["a", "b"])).alias("missing"))
+
+
+@query("sample_counters", """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '0,0,0,1,1,1,2,3' ELSE '0,0,0,2,2,2,4' END AS counters FROM supplier""")
+def sample_counters(spark, d):
+    leads = F.when(F.col("s_suppkey") % 2 == 0, F.array(*[F.lit(k) for k in (3, 1, 2)])).otherwise(F.array(*[F.lit(k) for k in (4, 2)]))
+    text = F.array_join(F.transform(samples.timestep_counters(leads, 5, 2), lambda v: v.cast("string")), ",")
+    return base.read(spark, d, "supplier").select("s_suppkey", text.alias("counters"))

@@ -11,15 +11,19 @@ from freshet.operators.frequency import ev1_line, gumbel_k
 CANONICAL = [2.0, 5.0, 20.0, 100.0]
 
 
-def forecast_records(df: DataFrame, key: str, payload: str) -> DataFrame:
+def forecast_records(df: DataFrame, key: str, payload: str, now: str | None = None, stale_hours: int = 24) -> DataFrame:
     """(key, issue, time, stat, value) from {"issue": ..., "forecasts": [{"time": ..., "median" or "mean": ...}]}.
 
-    Records with neither statistic are left out; only each key's newest issue with a finite point stays.
+    Records with neither statistic are left out; only each key's newest issue with a finite point stays. With `now`, an issue that is
+    older than stale_hours then is no forecast any more.
     """
     schema = "issue STRING, forecasts ARRAY<STRUCT<time: STRING, median: DOUBLE, mean: DOUBLE>>"
     rows = df.select(key, F.from_json(payload, schema).alias("p")).select(key, F.col("p.issue").try_cast("timestamp").alias("issue"), F.explode("p.forecasts").alias("f"))
     stat = F.when(F.col("f.median").isNotNull(), "median").when(F.col("f.mean").isNotNull(), "mean")
     flat = rows.select(key, "issue", F.col("f.time").try_cast("timestamp").alias("time"), stat.alias("stat"), F.coalesce("f.median", "f.mean").alias("value")).where("stat IS NOT NULL AND time IS NOT NULL")
+    flat = flat.where(~F.isnan("value") & (F.abs("value") < float("inf")))
+    if now is not None:
+        flat = flat.where(F.col("issue") >= F.to_timestamp(F.lit(now)) - F.make_interval(hours=F.lit(stale_hours)))
     return flat.withColumn("_n", F.max("issue").over(Window.partitionBy(key))).where("issue = _n").drop("_n")
 
 
