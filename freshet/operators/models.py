@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +171,29 @@ def compare_grids(rebuilt: DataFrame, reference: DataFrame, cells: list[str], by
 def window_forecast(df: DataFrame, keys: list[str], hours: Column, value: str) -> DataFrame:
     """Means and sums of a forecast by whole days of lead."""
     return df.groupBy(*keys, F.ceil(hours / 24).alias("day")).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"))
+
+
+def nudged(base: DataFrame, observed: DataFrame, key: str, t: str, flow: str, obs: str, rho: float, alpha: float, window: int, issue: str | None = None, bands: list[str] = ()) -> DataFrame:
+    """base with flow and its bands corrected by the persistence of its last residuals; adds anchor, residual, step and delta.
+
+    The anchor is the last day, up to the issue date where there is one, with a flow and an observation that isn't negative; the
+    residual is the mean of obs - flow over the `window` days that end there. Days from the anchor on get alpha x rho^step of it, and nothing falls
+    below 0. Keys without such a day stay as they are. rho and alpha are clipped to 0..1.
+    """
+    rho, alpha, window = min(max(rho, 0.0), 1.0), min(max(alpha, 0.0), 1.0), max(window, 1)
+    seen = observed.where(F.col(obs) >= 0).select(key, t, F.col(obs).alias("_obs"))
+    both = base.where(F.col(flow).isNotNull()).select(key, t, F.col(flow).alias("_flow")).join(seen, [key, t])
+    before = F.max(F.when(F.lit(True) if issue is None else F.col(t) <= F.to_date(F.lit(issue)), F.col(t)))
+    anchors = both.groupBy(key).agg(F.coalesce(before, F.max(t)).alias("anchor"))
+    near = both.join(anchors, key).where((F.col(t) <= F.col("anchor")) & (F.col(t) > F.date_sub("anchor", window)))
+    residual = near.groupBy(key, "anchor").agg(F.avg(F.col("_obs") - F.col("_flow")).alias("residual"))
+    step = F.when(F.col(t) >= F.col("anchor"), F.datediff(t, "anchor"))
+    out = base.join(residual, key, "left").withColumn("step", step).withColumn("delta", alpha * F.pow(F.lit(rho), F.col("step")) * F.col("residual"))
+    moved = lambda c: F.when(F.col("delta").isNotNull() & F.col(c).isNotNull() & F.col(flow).isNotNull(), F.greatest(F.lit(0.0), F.col(c) + F.col("delta"))).otherwise(F.col(c))
+    new = {c: moved(c) for c in (*bands, flow)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in base.columns], "anchor", "residual", "step", "delta")
+
+
+def half_life(rho: float) -> float | None:
+    """Days in which a residual that persists by rho a day is halved; None where it never is, or at once."""
+    return -math.log(2) / math.log(rho) if 0 < rho < 1 else None

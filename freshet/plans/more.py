@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freshet.operators import climate, frame, frequency, network, samples, skill, zonal
+from freshet.operators import climate, frame, frequency, models, network, samples, skill, zonal
 from freshet.plans import base
 from freshet.plans.base import query
 from freshet.sources import providers
@@ -119,3 +119,17 @@ def sample_counters(spark, d):
     leads = F.when(F.col("s_suppkey") % 2 == 0, F.array(*[F.lit(k) for k in (3, 1, 2)])).otherwise(F.array(*[F.lit(k) for k in (4, 2)]))
     text = F.array_join(F.transform(samples.timestep_counters(leads, 5, 2), lambda v: v.cast("string")), ",")
     return base.read(spark, d, "supplier").select("s_suppkey", text.alias("counters"))
+
+
+@query("nudged_forecasts", """WITH b AS (SELECT basin, date, sim AS flow, sim * 0.8 AS low FROM obs_sim), o AS (SELECT basin, date, obs::DOUBLE AS obs FROM obs_sim WHERE day(date) % 4 > 0 AND basin % 7 > 0),
+j AS (SELECT * FROM b JOIN o USING (basin, date) WHERE flow IS NOT NULL), a AS (SELECT basin, coalesce(max(date) FILTER (date <= DATE '2001-06-15'), max(date)) AS anchor FROM j GROUP BY 1),
+r AS (SELECT basin, anchor, avg(obs - flow) AS residual FROM j JOIN a USING (basin) WHERE date <= anchor AND date > anchor - 10 GROUP BY 1, 2),
+d AS (SELECT b.*, anchor, residual, CASE WHEN date >= anchor THEN date - anchor END AS step FROM b LEFT JOIN r USING (basin))
+SELECT basin, date, step, round(0.8 * 0.9 ^ step * residual, 6) AS delta, round(CASE WHEN step IS NOT NULL AND flow IS NOT NULL THEN greatest(0, flow + 0.8 * 0.9 ^ step * residual) ELSE flow END, 6) AS flow,
+round(CASE WHEN step IS NOT NULL AND flow IS NOT NULL THEN greatest(0, low + 0.8 * 0.9 ^ step * residual) ELSE low END, 6) AS low FROM d""", "obs_sim")
+def nudged_forecasts(spark, d):
+    f = base.obs_sim(spark, d)
+    own = f.select("basin", "date", F.col("sim").alias("flow"), (F.col("sim") * 0.8).alias("low"))
+    seen = f.where((F.day("date") % 4 > 0) & (F.col("basin") % 7 > 0)).select("basin", "date", F.col("obs").cast("double"))
+    out = models.nudged(own, seen, "basin", "date", "flow", "obs", 0.9, 0.8, 10, "2001-06-15", ["low"])
+    return out.select("basin", "date", "step", R("delta").alias("delta"), R("flow").alias("flow"), R("low").alias("low"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions.weather import planar_area_km2
-from freshet.operators import network, peaks
+from freshet.operators import models, network, peaks
 from freshet.sources import providers, tables
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
@@ -81,3 +81,31 @@ def test_stale_issues_are_no_forecasts(spark):
 
 def test_planar_areas(spark):
     assert spark.range(1).select(planar_area_km2(F.lit(2.0), F.lit(60.0)).alias("a")).first().a == pytest.approx(111.0**2)
+
+
+def test_payloads_of_all_shapes(spark):
+    shapes = {
+        1: {"return_period_2": 10.0, "return_period_5": [20.0, 1.0], "return_period_100": {"1": 90.0, "x": 1.0}, "return_period_3": 5.0, "other": 1.0},
+        2: {"data": {"2": 10.0, "5": 20.0, "10": 30.0}, "return_period_2": 11.0},
+        3: {"return_period": [2, 5, 10, 25], "gumbel": [10.0, 20.0, "30", 40.0]},
+        4: {"4": {"return_period_2": {"z": 7.0}, "return_period_20": 50.0, "return_period_50": "60"}},
+        5: {"return_period_2": 1.0, "return_period_5": None},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in shapes.items()] + [(6, "no json"), (7, None)], "id long, p string")
+    got = {}
+    for r in providers.return_period_payloads(df, "id", "p").collect():
+        got.setdefault(r.id, {})[r.period] = r.flow
+    assert set(got) == {1, 2, 3, 4} and all(set(providers.CANONICAL) <= set(v) for v in got.values())
+    assert {k: got[1][k] for k in (2.0, 5.0, 100.0)} == {2.0: 10.0, 5.0: 20.0, 100.0: 90.0} and got[2][2.0] == 11.0
+    assert {k: got[3][k] for k in (2.0, 5.0, 10.0, 25.0)} == {2.0: 10.0, 5.0: 20.0, 10.0: 30.0, 25.0: 40.0} and got[4][2.0] == 7.0 and 7.0 < got[4][5.0] < 50.0
+
+
+def test_residuals_persist(spark):
+    base = spark.createDataFrame([("a", DAY(i), 10.0, 5.0) for i in range(6)] + [("b", DAY(0), 1.0, 1.0)], "k string, d date, q double, low double")
+    seen = spark.createDataFrame([("a", DAY(1), 14.0), ("a", DAY(2), 12.0), ("a", DAY(3), -1.0), ("a", DAY(5), 2.0)], "k string, d date, o double")
+    got = {(r.k, r.d): r for r in models.nudged(base, seen, "k", "d", "q", "o", 0.5, 1.0, 2, "2024-01-04", ["low"]).collect()}
+    assert [got["a", DAY(i)].q for i in range(6)] == [10.0, 10.0, 13.0, 11.5, 10.75, 10.375] and got["a", DAY(2)].low == 8.0 and got["a", DAY(2)].anchor == DAY(2)
+    assert got["b", DAY(0)].q == 1.0 and got["b", DAY(0)].delta is None
+    floor = {r.d: r.q for r in models.nudged(base, seen, "k", "d", "q", "o", 2.0, 2.0, 1).where("k = 'a'").collect()}
+    assert floor[DAY(5)] == 2.0 and floor[DAY(4)] == 10.0
+    assert models.half_life(0.5) == 1.0 and models.half_life(1.0) is None
