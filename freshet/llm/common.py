@@ -81,3 +81,15 @@ def gapless(df: DataFrame, groups: list[str], bucket: str, order: list, name: st
         .withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("bigint"))
         .drop("_rank", "_before")
     )
+
+
+def crc32_sql(hex_text: str) -> str:
+    """SQL for the CRC-32 of bytes given as hex digits, by a table of what each byte adds."""
+    table_ = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        table_.append(c)
+    byte = f"('0x' || substr({hex_text}, 2 * i + 1, 2))::BIGINT"
+    each = f"list_concat([4294967295], list_transform(range(length({hex_text}) // 2), lambda i: {byte}))"
+    return f"xor(list_reduce({each}, lambda a, x: xor(a >> 8, ({table_}::BIGINT[])[xor(a, x) % 256 + 1])), 4294967295)::BIGINT"

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_head_tail_resampling": resampling.op13_head_tail_resampling,
 }
 
-ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL, "op6_rendezvous_shards": sharding.OP6_SQL, "op9_partenum_jaccard": jaccard.OP9_SQL, "op10_block_tree": html_text.OP10_SQL}
+ORACLE = {"op1_poisson_mix": mixing.OP1_SQL, "op3_repetition_rules": quality.OP3_SQL, "op6_rendezvous_shards": sharding.OP6_SQL, "op9_partenum_jaccard": jaccard.OP9_SQL, "op10_block_tree": html_text.OP10_SQL, "op12_previous_factors": suffixes.OP12_SQL, "op13_head_tail_resampling": resampling.OP13_SQL}

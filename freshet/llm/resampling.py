@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fields, hex_number, small_batches, table, written
+from freshet.llm.common import crc32_sql, fields, hex_number, small_batches, table, written
 
 BUCKETS = 10_000
 MAX_WORDS = 1
@@ -204,3 +204,23 @@ def op13_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _op13_sql() -> str:
+    upper, lower = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+    words = lambda t: f"SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {t}"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, ws FROM ({words('documents')})), b AS MATERIALIZED (SELECT ws FROM ({words('benchmark')})),
+x AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w FROM d), y AS MATERIALIZED (SELECT unnest(ws) AS w FROM b),
+v AS MATERIALIZED (SELECT w, {crc32_sql('hex(encode(w))')} % {BUCKETS} AS bucket FROM (SELECT w FROM x UNION SELECT w FROM y)),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN v USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM y JOIN v USING (w) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM x) + {BUCKETS} AS s_all, (SELECT count(*) FROM y) + {BUCKETS} AS t_all),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * s_all)::DOUBLE / ((s + 1) * t_all)::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+p AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM x JOIN v USING (w) JOIN g USING (bucket) GROUP BY 1),
+z AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN p USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, {DRAW_PERCENT} * count(*) OVER () // 100 AS drawn FROM z WHERE n_features >= {MIN_WORDS})
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+
+OP13_SQL = _op13_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import gapless, hex_number, table
+from freshet.llm.common import crc32_sql, gapless, hex_number, table
 
 SHARDS = 16
 SEED = "shard"
@@ -69,27 +69,16 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _crc_table() -> list[int]:
-    """What each byte adds to a CRC-32."""
-    out = []
-    for c in range(256):
-        for _ in range(8):
-            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
-        out.append(c)
-    return out
-
-
 def _op6_sql() -> str:
     uniform = lambda i: f"(('0x' || substr(m{i // 4}, {1 + 8 * (i % 4)}, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
     scores = ", ".join(f"-ln({uniform(i)})" for i in range(SHARDS + 1))
     digests = ", ".join(f"md5('{SEED}:{k}:' || coalesce(doc_id::VARCHAR, '')) AS m{k}" for k in range(SHARDS // 4 + 1))
-    byte = "('0x' || substr(h, 2 * i + 1, 2))::BIGINT"
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {digests} FROM documents),
 s AS MATERIALIZED (SELECT doc_id, h, [{scores}] AS s FROM d),
 p AS (SELECT doc_id, h, (list_position(s[1:{SHARDS}], list_min(s[1:{SHARDS}])) - 1)::INT AS shard, (list_position(s, list_min(s)) - 1)::INT AS grown_shard FROM s)
 SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size,
-xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: {byte})), lambda a, x: xor(a >> 8, ({_crc_table()}::BIGINT[])[xor(a, x) % 256 + 1])), 4294967295)::BIGINT AS text_crc32,
+{crc32_sql("h")} AS text_crc32,
 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {BUCKETS}, doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM p
 """
 
