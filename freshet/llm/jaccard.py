@@ -13,9 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BROADCAST_ROWS, fields, small_batches, table, written
+from freshet.llm.common import BROADCAST_ROWS, fields, from_planes, planes, small_batches, table, written
 from freshet.llm.tokens import batches
 
+#: Elements of a range that one task compares, and those that a task sends at once.
+GROUP_ELEMENTS, SENT_ELEMENTS = 3_000_000, 1_500_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 250_000
 #: Sets of a block; all pairs of two blocks are compared by one task.
@@ -385,19 +387,62 @@ def _rows_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
 
 
-def _unique_elements(docs: DataFrame, n: int) -> DataFrame:
-    """(node, alone): how many elements of each set are in no other set of docs; sets that have none are left out."""
+def _unique_elements(docs: DataFrame, n: int, total: int) -> DataFrame:
+    """(node, alone): how many elements of each set are in no other set of docs, of `total` elements about; sets that have none are left out.
+
+    Tasks send elements by ranges of 48 bits, a range of a batch of sets as one row: names byte by byte and the sets
+    that they are of. Elements that share a name by chance count as shared, which only weakens a bound.
+    """
+    buckets = max(1, -(-total // GROUP_ELEMENTS))
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        nodes: list[int] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            unit = np.repeat(np.arange(len(nodes)), [len(s) for s in held])
+            name = _mix(np.concatenate(held), 0xE1E) >> np.uint64(16)
+            order = np.argsort(name)
+            name, unit, own = name[order], unit[order], np.array(nodes, "<i8")
+            cuts = np.searchsorted((name * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1).astype(np.uint64))
+            out = []
+            for k in range(buckets):
+                if cuts[k] < cuts[k + 1]:
+                    used, local = np.unique(unit[cuts[k] : cuts[k + 1]], return_inverse=True)
+                    out.append((k, planes(name[cuts[k] : cuts[k + 1]], 6), planes(local, 3), own[used].tobytes()))
+            nodes.clear()
+            held.clear()
+            columns = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "names", "units", "nodes"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(rows, n):
-            nodes = np.repeat(np.array([_key(s) if len(s) else 0 for s in sets], np.int64), [len(s) for s in sets])
-            values = np.concatenate(sets).view(np.int64)
-            for a in range(0, len(values), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(values[a : a + 500_000]), pa.array(nodes[a : a + 500_000])], names=["element", "node"])
+            for s in sets:
+                if len(s) and (k := _key(s)) not in seen:
+                    seen.add(k)
+                    nodes.append(k)
+                    held.append(s)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            if sum(map(len, held)) >= SENT_ELEMENTS:
+                yield flush()
+        if held:
+            yield flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        names, units, nodes = (group.column(c).to_pylist() for c in ("names", "units", "nodes"))
+        name = np.concatenate([from_planes(x, 6) for x in names])
+        node = np.concatenate([np.frombuffer(own, "<i8")[from_planes(x, 3).astype(np.int64)] for x, own in zip(units, nodes)])
+        order = np.argsort(name)
+        name, node = name[order], node[order]
+        at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        least = np.minimum.reduceat(node, at)
+        alone, times = np.unique(least[least == np.maximum.reduceat(node, at)], return_counts=True)
+        return pa.table({"node": pa.array(alone, pa.int64()), "alone": pa.array(times, pa.int64())})
 
-    each = docs.select("doc_id", "text").mapInArrow(run, fields("element long, node long"))
-    own = each.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("high")).where("node = high")
-    return own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sent = docs.select("doc_id", "text").mapInArrow(send, fields("bucket long, names binary, units binary, nodes binary"))
+    counted = sent.groupBy("bucket").applyInArrow(count, fields("node long, alone long"))
+    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
 
 
 def _units(member: DataFrame, percent: int) -> DataFrame:
@@ -456,7 +501,7 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets are those that pass an exact test. In the bucket of a signature the node that is in most buckets is the
     hub. Each other one is tested against it, unless sizes or histograms rule it out: a row for each node and hub,
     not for each pair. What is left is nodes of one hub that are in different components. What two of them can share
-    is bounded by the elements that are in no other such set (most, the rest); nodes that this rules out go. Those
+    is bounded by the elements that are in no other set (most, the rest); nodes that this rules out go. Those
     of a small hub are one block, those of a large one are laid out as `_units` says; pairs are compared by bounds
     and histograms first, and the nodes that are left in a pair of blocks by their sets.
     """
@@ -500,7 +545,8 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     member = written(member.select("hub", "part", "node", "size", "cells", F.coalesce("root", "node").alias("root")), "members")
     open_ = member.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("hub", "n")
     member = written(member.join(_by_part(open_, member), ["hub", "part"]), "open")
-    alone = written(_unique_elements(_rows_of(docs, known, member.select("node")), n), "unique")
+    total = known.agg(F.sum("size")).first()[0] or 0
+    alone = written(_unique_elements(docs, n, total), "unique")
     bounded = member.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
     member = written(bounded.where(F.col("most") * 100 >= percent * F.col("size")).drop("alone"), "bounded")
     zero = F.lit(0).cast("bigint")

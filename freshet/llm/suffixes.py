@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fields, small_batches, table, written
+from freshet.llm.common import fields, from_planes, planes, small_batches, table, written
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
@@ -202,17 +202,6 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, nam
 # --- what tasks exchange ---------------------------------------------------------------------------------------
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """Whole numbers byte by byte: all first bytes, then all second ones; they shrink better so."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
-
-
 _NO_REPLY = (1 << 16) - 1
 _ROW = fields("bucket long, batch long, kind int, names binary, units binary, docs binary")
 _KEYS = fields("doc_id long, digest long, has_id boolean")
@@ -305,7 +294,7 @@ def asked(docs: DataFrame, buckets: int, length: int, chunk: int) -> DataFrame:
                 size = np.diff(np.append(at, len(name)))
                 several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
                 known = np.repeat(several, size)
-                out[0] = out[0][:3] + (_planes(name[known], 6), _planes(unit[known], 2)) + out[0][5:]
+                out[0] = out[0][:3] + (planes(name[known], 6), planes(unit[known], 2)) + out[0][5:]
                 unit[at[several]] = _NO_REPLY
                 sent = ~known
                 sent[at[several]] = True
@@ -315,7 +304,7 @@ def asked(docs: DataFrame, buckets: int, length: int, chunk: int) -> DataFrame:
                 for k in range(buckets):
                     if cuts[k] < cuts[k + 1]:
                         own = slice(cuts[k], cuts[k + 1])
-                        out.append(_row(k, base + made, 0, _planes(name[own], 6), _planes(unit[own], 2)))
+                        out.append(_row(k, base + made, 0, planes(name[own], 6), planes(unit[own], 2)))
             return out
 
         def waiting() -> int:
@@ -351,7 +340,7 @@ def _answer(group: pa.Table) -> pa.Table:
     out = [_row(0, r["batch"], 1, r["names"], r["units"], r["docs"]) for r in rows if r["kind"] == 1]
     rows = [r for r in rows if r["kind"] == 0]
     if rows:
-        names, units = [_from_planes(r["names"], 6) for r in rows], [_from_planes(r["units"], 2).astype(np.int64) for r in rows]
+        names, units = [from_planes(r["names"], 6) for r in rows], [from_planes(r["units"], 2).astype(np.int64) for r in rows]
         batch = np.repeat(np.arange(len(rows)), [len(x) for x in names])
         name, unit = np.concatenate(names), np.concatenate(units)
         order = np.argsort(name, kind="stable")
@@ -365,7 +354,7 @@ def _answer(group: pa.Table) -> pa.Table:
         for k, r in enumerate(rows):
             own = order[cuts[k] : cuts[k + 1]]
             if len(own):
-                out.append(_row(0, r["batch"], 0, _planes(name[own], 6), _planes(unit[own], 2)))
+                out.append(_row(0, r["batch"], 0, planes(name[own], 6), planes(unit[own], 2)))
     return pa.Table.from_batches([_out(out, _ROW)])
 
 
@@ -376,11 +365,11 @@ def _by_unit(group: pa.Table) -> pa.Table:
     """Of one batch: the shared names of each unit."""
     rows = group.to_pylist()
     units = np.frombuffer(next(r["docs"] for r in rows if r["kind"] == 1), "<i8").reshape(-1, 4).tolist()
-    name = np.concatenate([_from_planes(r["names"], 6) for r in rows])
-    unit = np.concatenate([_from_planes(r["units"], 2) for r in rows]).astype(np.int64)
+    name = np.concatenate([from_planes(r["names"], 6) for r in rows])
+    unit = np.concatenate([from_planes(r["units"], 2) for r in rows]).astype(np.int64)
     order = np.lexsort((name, unit))
     name, cuts = name[order], np.searchsorted(unit[order], np.arange(len(units) + 1))
-    out = [(d, g, bool(h), o, _planes(name[cuts[k] : cuts[k + 1]], 6)) for k, (d, g, h, o) in enumerate(units) if cuts[k] < cuts[k + 1]]
+    out = [(d, g, bool(h), o, planes(name[cuts[k] : cuts[k + 1]], 6)) for k, (d, g, h, o) in enumerate(units) if cuts[k] < cuts[k + 1]]
     return pa.Table.from_batches([_out(out, _NAMED)])
 
 
@@ -478,15 +467,15 @@ def compared(joined: DataFrame, buckets: int, groups: int, length: int, chunk: i
                 text = data[np.repeat(first[heads] - (ends - size), size) + np.arange(int(ends[-1]))]
                 docs, local = np.unique(unit[own], return_inverse=True)
                 packed = [
-                    np.array([len(docs), len(heads), len(own)], "<i8").tobytes(), _key_bytes([(keys[u], 0) for u in docs]), _planes(name[heads], 6), _planes(count[heads], 1),
-                    _planes(np.diff(np.append(lead, len(own))), 4), _planes(local, 3), _planes(start[own], 6), text.tobytes(),
+                    np.array([len(docs), len(heads), len(own)], "<i8").tobytes(), _key_bytes([(keys[u], 0) for u in docs]), planes(name[heads], 6), planes(count[heads], 1),
+                    planes(np.diff(np.append(lead, len(own))), 4), planes(local, 3), planes(start[own], 6), text.tobytes(),
                 ]
                 out.append((int(bucket[own[0]]), 0, zlib.compress(b"".join(packed), 1)))
             return out
 
         for batch in rows:
             for key, text, found in zip(_keys(batch), batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                names = {f["offset"]: _from_planes(f["names"], 6) for f in found}
+                names = {f["offset"]: from_planes(f["names"], 6) for f in found}
                 for _ in texts.cut(key, text):
                     wanted += [names.get(o, np.zeros(0, np.uint64)) for _, o in texts.units[len(wanted) :]]
                     yield _out(compare(), _ITEMS)
@@ -534,8 +523,8 @@ def _settle(groups: int, length: int):
             n_docs, n, m = np.frombuffer(raw[:24], "<i8").tolist()
             docs, name, count, times, local, start, text = _take(raw[24:], [32 * n_docs, 6 * n, n, 4 * n, 3 * m, 6 * m])
             own = np.array([known((d, g, bool(h))) for d, g, h, _ in np.frombuffer(docs, "<i8").reshape(-1, 4).tolist()])
-            count = _from_planes(count, 1).astype(np.int64)
-            parts.append((np.frombuffer(text, np.uint8), _from_planes(name, 6), count, _from_planes(times, 4).astype(np.int64), own[_from_planes(local, 3).astype(np.int64)], _from_planes(start, 6).astype(np.int64)))
+            count = from_planes(count, 1).astype(np.int64)
+            parts.append((np.frombuffer(text, np.uint8), from_planes(name, 6), count, from_planes(times, 4).astype(np.int64), own[from_planes(local, 3).astype(np.int64)], from_planes(start, 6).astype(np.int64)))
         if parts:
             text, name, count, times, unit, start = (np.concatenate(x) for x in zip(*parts))
             size = count + length - 1
