@@ -88,4 +88,9 @@ PAGES = [
     <div class="comments"><h3>Comments</h3><p>Our well went dry two years ago and nobody came to see it, although we wrote three letters to the office.</p>
     <p>Same here, and the letters were never answered by anyone, so we dug our own well with two neighbours.</p><p>Thanks for the report, it was good to read.</p>
     <p>Where can one see the map of the nine wells, and are there plans for the upper valley as well as for ours?</p></div></body>""",
+    # Short articles, and articles that end a page with a short paragraph.
+    """<article><p data-keep>a note</p></article>""",
+    """<body><main><p data-keep>Closed today.</p></main></body>""",
+    """<body><article><h2 data-keep>Ferry</h2><p data-keep>The ferry doesn't run on Sundays in winter, as there are too few passengers to pay for the fuel.</p><p data-keep>End.</p></article></body>""",
+    """<body><header><p>Site name</p></header><main><p data-keep>Moved.</p><p data-keep>See the new page of the town for all dates.</p></main></body>""",
 ]
