@@ -438,11 +438,19 @@ def _unique_elements(docs: DataFrame, n: int, total: int) -> DataFrame:
         at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         least = np.minimum.reduceat(node, at)
         alone, times = np.unique(least[least == np.maximum.reduceat(node, at)], return_counts=True)
-        return pa.table({"node": pa.array(alone, pa.int64()), "alone": pa.array(times, pa.int64())})
+        part = (alone.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        rows = [(int(k), alone[part == k].tobytes(), times[part == k].astype("<i8").tobytes()) for k in np.unique(part)]
+        columns = list(zip(*rows)) if rows else ((), (), ())
+        return pa.table({"part": pa.array(columns[0], pa.int64()), "nodes": pa.array(columns[1], pa.binary()), "times": pa.array(columns[2], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        node, times = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<i8") for c in ("nodes", "times"))
+        own, at = np.unique(node, return_inverse=True)
+        return pa.table({"node": pa.array(own, pa.int64()), "alone": pa.array(np.bincount(at, times).astype(np.int64), pa.int64())})
 
     sent = docs.select("doc_id", "text").mapInArrow(send, fields("bucket long, names binary, units binary, nodes binary"))
-    counted = sent.groupBy("bucket").applyInArrow(count, fields("node long, alone long"))
-    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
+    counted = sent.groupBy("bucket").applyInArrow(count, fields("part long, nodes binary, times binary"))
+    return counted.groupBy("part").applyInArrow(add, fields("node long, alone long"))
 
 
 def _units(member: DataFrame, percent: int) -> DataFrame:
