@@ -20,22 +20,28 @@ SEMI_AXIS, ECCENTRICITY = 6378.137, 0.0818191908426215
 def bilinear_sample(points: DataFrame, plane: DataFrame, by: list[str], rows: int, cols: int, degrees: float, least: float = 0.8) -> DataFrame:
     """(point_id, by, value): values of global planes (by, row, col, value), row 0 at 90 north and col 0 at 180 west, at points.
 
-    Each point meets its four corners by an equi-join. Longitudes wrap, rows end at the poles. Missing corners don't take part; less
-    than `least` of the weight gives NULL, and so does a point outside -90..90 or -180..360.
+    Each plane becomes blocks of four neighbouring cells, so that a point meets its block by one equi-join and no row of a point and a plane
+    is shuffled. Longitudes wrap, rows end at the poles. Missing corners don't take part; less than `least` of the weight gives NULL.
+    Points outside -90..90 or -180..360 have no row; rows that repeat a point weigh together.
     """
     inside = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 360)
     at_row = F.least(F.greatest((90.0 - F.col("lat")) / degrees, F.lit(0.0)), F.lit(float(rows - 1)))
     at_col = F.pmod(F.col("lon") + 180, F.lit(360.0)) / degrees
     r, c = F.floor(at_row), F.floor(at_col)
     dr, dc = at_row - r, at_col - c
-    below, east = F.least(r + 1, F.lit(rows - 1)), F.pmod(c + 1, F.lit(cols))
-    corner = lambda row, col, w: F.struct(row.cast("bigint").alias("row"), col.cast("bigint").alias("col"), w.alias("w"))
-    west = F.pmod(c, F.lit(cols))
-    four = F.array(corner(r, west, (1 - dr) * (1 - dc)), corner(r, east, (1 - dr) * dc), corner(below, west, dr * (1 - dc)), corner(below, east, dr * dc))
-    each = points.where(inside).select("point_id", F.inline(four)).where("w > 0")
-    met = each.join(plane.select(*by, F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col("value").cast("double")), ["row", "col"])
-    sums = met.groupBy("point_id", *by).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("w"))).alias("_w"), F.sum(F.col("w") * F.col("value")).alias("_s"))
-    return sums.select("point_id", *by, F.when(F.col("_w") >= least - 1e-6, F.col("_s") / F.col("_w")).alias("value"))
+    row, col = F.col("row").cast("bigint"), F.col("col").cast("bigint")
+    block = lambda up, back, k: F.struct((row - up).alias("_r"), F.pmod(col - back, F.lit(cols)).alias("_c"), F.lit(k).alias("_k"))
+    part = plane.where(F.col("col").between(0, cols - 1)).select(*by, F.col("value").cast("double").alias("_v"), F.inline(F.array(block(0, 0, 0), block(0, 1, 1), block(1, 0, 2), block(1, 1, 3)))).where("_r >= 0")
+    own = lambda k: F.col("_k") == k
+    corners = [x for k in range(4) for x in (F.count_if(own(k)).alias(f"_p{k}"), F.count(F.when(own(k), F.col("_v"))).alias(f"_n{k}"), F.coalesce(F.sum(F.when(own(k), F.col("_v"))), F.lit(0.0)).alias(f"_s{k}"))]
+    blocks = part.groupBy(*by, "_r", "_c").agg(*corners)
+    placed = points.where(inside).groupBy("point_id", "lat", "lon").agg(F.count(F.lit(1)).alias("_rows"))
+    w = [(1 - dr) * (1 - dc), (1 - dr) * dc, dr * (1 - dc), dr * dc]
+    placed = placed.select("point_id", "_rows", r.cast("bigint").alias("_r"), F.pmod(c, F.lit(cols)).cast("bigint").alias("_c"), *[x.alias(f"_w{k}") for k, x in enumerate(w)])
+    met = placed.join(blocks.hint("merge"), ["_r", "_c"])
+    total = lambda what: sum((F.when(F.col(f"_w{k}") > 0, F.col(f"_w{k}") * F.col(f"_{what}{k}")).otherwise(0.0) for k in range(4)), F.lit(0.0))
+    met = met.where(total("p") > 0).withColumn("_w", total("n") * F.col("_rows"))
+    return met.select("point_id", *by, F.when(F.col("_w") >= least - 1e-6, total("s") * F.col("_rows") / F.col("_w")).alias("value"))
 
 
 def point_timeseries(points: DataFrame, planes: DataFrame, leads: list[int], rows: int, cols: int, degrees: float) -> DataFrame:
