@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.snapping import expanded, represented
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration: checkpoint() to the shared folder where there is one."""
@@ -226,13 +228,17 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
 def locate_units(points: DataFrame, units: DataFrame, cell_degrees: float = 5.0) -> DataFrame:
     """(point_id, unit_id) of the units that hold each point: units go to the cells of their box, then an exact test.
 
-    Rings may run past the antimeridian; columns and points wrap.
+    Rings may run past the antimeridian; columns and points wrap. Points at one place and units of one ring are met once and
+    expanded to their ids in the end. No side is broadcast, as rows that go to several cells outgrow what their table lets expect.
     """
+    (asked, p_members), (shapes, u_members) = represented(points, "point_id", ["lat", "lon"]), represented(units, "unit_id", ["ring"])
     n = int(round(360 / cell_degrees))
     at = lambda c, base: F.floor((c + base) / cell_degrees).cast("int")
     lat, lon = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
     columns = F.array_distinct(F.transform(F.sequence(at(F.array_min(lon), 180), at(F.array_max(lon), 180)), lambda c: F.pmod(c, F.lit(n))))
-    placed = units.withColumn("_west", F.array_min(lon)).withColumn("_r", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("_c", F.explode(columns))
-    found = points.withColumn("_r", at(F.col("lat"), 90)).withColumn("_c", F.pmod(at(F.col("lon"), 180), F.lit(n))).join(placed, ["_r", "_c"])
+    placed = shapes.select(F.col("rep").alias("b_rep"), F.col("n").alias("b_n"), "ring").withColumn("_west", F.array_min(lon)).withColumn("_r", F.explode(F.sequence(at(F.array_min(lat), 90), at(F.array_max(lat), 90)))).withColumn("_c", F.explode(columns))
+    asked = asked.select(F.col("rep").alias("a_rep"), F.col("n").alias("a_n"), "lat", "lon")
+    found = asked.withColumn("_r", at(F.col("lat"), 90)).withColumn("_c", F.pmod(at(F.col("lon"), 180), F.lit(n))).join(placed.hint("merge"), ["_r", "_c"])
     east = F.when(F.col("lon") < F.col("_west"), F.col("lon") + 360).when(F.col("lon") - 360 >= F.col("_west"), F.col("lon") - 360).otherwise(F.col("lon"))
-    return found.where(in_ring(F.col("lat"), east, F.col("ring"))).select("point_id", "unit_id")
+    inside = found.where(in_ring(F.col("lat"), east, F.col("ring"))).select("a_rep", "b_rep", "a_n", "b_n")
+    return expanded(inside, p_members, u_members, "point_id", "unit_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,29 @@ def _east(lon: Column, lon0: Column) -> Column:
     return F.pmod(lon - lon0 + 540, F.lit(360.0)) - 180
 
 
+def represented(df: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that agree in `by` are one: the distinct rows (rep, n, by) and the members (rep, key). n is their number, and rep names them by
+    their lowest key, with a number in case that others have it too."""
+    least = df.groupBy(*by).agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("n"))
+    number = F.row_number().over(Window.partitionBy("_least").orderBy(*by))
+    reps = least.select(F.struct("_least", number.alias("_number")).alias("rep"), "n", *by)
+    return reps, df.select(key, *by).join(reps.select("rep", *by).hint("merge"), by).select("rep", key)
+
+
+#: Rows of a task that makes rows for all members of pairs, and the most such tasks.
+EXPANDED_ROWS, EXPANDED_TASKS = 2_000_000, 4_000
+
+
+def expanded(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """(a_id, b_id, others of pairs) for all members of pairs (a_rep, b_rep, a_n, b_n, others). Small tables make many rows here, so the
+    tasks' number follows the result's rows; nothing is aggregated or shuffled after the last join."""
+    pairs = _kept(pairs)
+    parts = max(1, min(EXPANDED_TASKS, (pairs.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0) // EXPANDED_ROWS))
+    half = pairs.drop("a_n", "b_n").join(b.toDF("b_rep", b_id).hint("merge"), "b_rep").drop("b_rep")
+    both = half.repartition(parts, "a_rep").join(a.toDF("a_rep", a_id).repartition(parts, "a_rep").hint("merge"), "a_rep")
+    return both.select(a_id, b_id, *[c for c in pairs.columns if c not in ("a_rep", "b_rep", "a_n", "b_n")])
+
+
 def segment_km(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance to a short segment; longitudes are shortened by the cosine of the point's latitude."""
     k = F.cos(F.radians(lat))

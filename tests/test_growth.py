@@ -17,3 +17,13 @@ def test_planes_meet_points_without_a_shuffle_of_both(spark):
     assert df.count() == 12 and got[1, 0] == got[4, 0] == pytest.approx(5.5) and got[4, 2] is None and got[1, 2] == pytest.approx(207.0) and got[2, 2] == 200.0 and got[3, 1] == pytest.approx((111 + 100 + 121 + 110) / 4)
     text = plan(df)
     assert text.index("Join") < text.index("Exchange") and text.index("Join") < text.index("Aggregate")
+
+
+def test_units_of_one_shape(spark):
+    ring = lambda x: [(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]
+    points = spark.createDataFrame([(i, 1.0, 1.0 if i < 4 else 179.5) for i in range(6)] + [(0, 1.0, 3.5)], "point_id long, lat double, lon double")
+    units = spark.createDataFrame([(i, ring(0.0 if i < 3 else 179.0)) for i in range(5)] + [(0, ring(3.0))], "unit_id long, ring array<struct<lon:double,lat:double>>")
+    df = network.locate_units(points, units)
+    wanted = [(p, u) for p in range(4) for u in range(3)] + [(p, u) for p in (4, 5) for u in (3, 4)] + [(0, 0)]
+    assert sorted((r.point_id, r.unit_id) for r in df.collect()) == sorted(wanted)
+    assert "Broadcast" not in plan(df)
