@@ -151,14 +151,14 @@ def domain_coverage(south: Column, west: Column, north: Column, east: Column, bo
     return F.try_divide(height * width, (north - south) * (east - west))
 
 
-def max_rank(lines: DataFrame, ranks: DataFrame, key: str, cells: list[str]) -> DataFrame:
+def max_rank(lines: DataFrame, ranks: DataFrame, key: str, cells: list[str], every: bool = False) -> DataFrame:
     """The highest rank of the grid cells of a line's vertices (array of structs of cell indices); 0 where none has one.
 
-    Of lines of five vertices and more, five count: the first, those at the quarters, and the last.
+    Unless `every` vertex is to count, five count of lines of five vertices and more: the first, those at the quarters, and the last.
     """
     n = F.size("vertices")
     at = F.array(F.lit(0), F.floor(n / 4), F.floor(n / 2), F.floor(n * 3 / 4), F.lit(0) + n - 1)
-    some = F.when(n < 5, F.col("vertices")).otherwise(F.transform(at, lambda i: F.get("vertices", i.cast("int"))))
+    some = F.col("vertices") if every else F.when(n < 5, F.col("vertices")).otherwise(F.transform(at, lambda i: F.get("vertices", i.cast("int"))))
     each = lines.select(key, F.explode_outer(some).alias("_v")).select(key, *[F.col("_v")[c].alias(c) for c in cells])
     return each.join(ranks, cells, "left").groupBy(key).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
 

@@ -360,12 +360,12 @@ def domain_coverage(spark, d):
 
 
 @query("line_ranks", """WITH r AS (SELECT (p_partkey // 12) % 6 AS lat_idx, p_partkey % 12 AS lon_idx, max(p_size) AS rank FROM part GROUP BY 1, 2),
-v AS (SELECT c_custkey, (c_custkey + i) % 6 AS lat_idx, (c_custkey * 5 + i) % 12 AS lon_idx FROM customer, (SELECT unnest([0, 3, 6, 9, 11]) AS i)) SELECT c_custkey, coalesce(max(rank), 0) AS rank FROM v LEFT JOIN r USING (lat_idx, lon_idx) GROUP BY 1""")
+v AS (SELECT c_custkey, (c_custkey + i) % 6 AS lat_idx, (c_custkey * 5 + i) % 12 AS lon_idx FROM customer, (SELECT unnest(range(12)) AS i)) SELECT c_custkey, coalesce(max(rank), 0) AS rank FROM v LEFT JOIN r USING (lat_idx, lon_idx) GROUP BY 1""")
 def line_ranks(spark, d):
     ranks = base.read(spark, d, "part").groupBy((F.floor(F.col("p_partkey") / 12) % 6).alias("lat_idx"), (F.col("p_partkey") % 12).alias("lon_idx")).agg(F.max("p_size").alias("rank"))
     k = F.col("c_custkey")
     vertices = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct(((k + i) % 6).cast("bigint").alias("lat_idx"), ((k * 5 + i) % 12).cast("bigint").alias("lon_idx")))
-    return snapping.max_rank(base.read(spark, d, "customer").select(k, vertices.alias("vertices")), ranks, "c_custkey", ["lat_idx", "lon_idx"])
+    return snapping.max_rank(base.read(spark, d, "customer").select(k, vertices.alias("vertices")), ranks, "c_custkey", ["lat_idx", "lon_idx"], every=True)
 
 
 @query("queried_reaches", """SELECT reach_id, lat1 AS lat, lon1 AS lon, area FROM streams WHERE (lon1 >= 100 OR lon1 <= -100) AND lat1 BETWEEN -50 AND 60 AND reach_id % 9 >= 3 AND area >= 2000""", "streams")

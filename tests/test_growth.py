@@ -9,6 +9,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_vertex_counts(spark):
+    lines = spark.createDataFrame([("long", [(i,) for i in range(13)]), ("none", [])], "k string, vertices array<struct<c:long>>")
+    ranks = spark.createDataFrame([(1, 9), (3, 2)], "c long, rank int")
+    assert {r.k: r["rank"] for r in snapping.max_rank(lines, ranks, "k", ["c"], every=True).collect()} == {"long": 9, "none": 0}
+
+
 def test_planes_meet_points_without_a_shuffle_of_both(spark):
     plane = spark.createDataFrame([(k, r, c, float(100 * k + 10 * r + c)) for k in range(3) for r in range(7) for c in range(12) if (k, r, c) != (2, 0, 1)], "k long, row long, col long, value double")
     pts = spark.createDataFrame([(1, 75.0, -165.0), (1, 75.0, -165.0), (2, 90.0, -180.0), (3, 75.0, 165.0), (4, 75.0, -165.0)], "point_id long, lat double, lon double")
