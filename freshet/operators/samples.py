@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +62,8 @@ def partition_dates(df: DataFrame, key: str, t: str, share: float, lead_time: in
     (key, days, sequence, shortened, train_days, validation_days, train_from, train_to, valid_from, valid_to). The first
     sample needs `sequence` days before it, the last one lead_time after it; targets reach `horizon` days (the larger of lead_time and
     last_n), so that many days lie between the last training date and the first of validation. Short records get shorter
-    sequences, down to the larger of LEAST_SEQUENCE and the horizon. Series too short for both parts have NULL dates.
+    sequences, down to the larger of LEAST_SEQUENCE and the horizon. The share is taken as the decimal number that is
+    written, so that 45 days at 0.7 are 31.5 and not a little less. Series too short for both parts have NULL dates.
     """
     if not SHARES[0] <= share <= SHARES[1] or min(lead_time, sequence, last_n or 1) < 1:
         raise ValueError("the share is out of range, or a length isn't positive")
@@ -72,7 +74,7 @@ def partition_dates(df: DataFrame, key: str, t: str, share: float, lead_time: in
     length = F.least(F.lit(sequence), F.greatest(F.lit(least), F.floor((n - lead_time - horizon - 4) / 2)))
     usable = n - lead_time - length + 1 - (horizon - 1)
     enough = (n >= least + lead_time + horizon + LEAST_DAYS - 2) & (usable >= LEAST_DAYS)
-    train = F.greatest(F.lit(2), F.least(usable - 2, F.bround(usable * share))).cast("bigint")
+    train = F.greatest(F.lit(2), F.least(usable - 2, F.bround(usable * F.lit(Decimal(str(share)))))).cast("bigint")
     at = {"train_from": length, "train_to": length + train - 1, "valid_from": length + train - 1 + horizon, "valid_to": n - lead_time}
     picked = [F.min(F.when(enough & (F.col("_i") == i), F.col(t))).alias(c) for c, i in at.items()]
     numbers = {"sequence": F.when(enough, length), "shortened": F.when(enough, length < sequence), "train_days": F.when(enough, train), "validation_days": F.when(enough, at["valid_to"] - at["valid_from"] + 1)}

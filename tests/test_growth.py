@@ -9,6 +9,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_decimal_shares_end_in_halves(spark):
+    # 57 days, of which 45 are usable; 45 at 0.7 are 31.5, which goes to the even 32
+    days = spark.sql("SELECT 'a' AS k, date_add(DATE '2024-01-01', i) AS d FROM (SELECT explode(sequence(0, 56)) AS i)")
+    assert samples.partition_dates(days, "k", "d", 0.7, 1, 8, 5).first().train_days == 32  # was 31: 45 * 0.7 in doubles is below 31.5
+
+
 def test_every_vertex_counts(spark):
     lines = spark.createDataFrame([("long", [(i,) for i in range(13)]), ("none", [])], "k string, vertices array<struct<c:long>>")
     ranks = spark.createDataFrame([(1, 9), (3, 2)], "c long, rank int")
