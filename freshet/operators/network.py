@@ -190,7 +190,7 @@ def nearest(points: DataFrame, gauges: DataFrame, radius_km: float, cell_degrees
 
     Gauges go to their cell and the cells around it, so an equi-join finds candidates. A column's width shrinks
     with the cosine of the latitude, so near the poles a gauge goes to more columns; longitudes wrap. Unless given, cells
-    are about as large as the radius.
+    are about as large as the radius. Points at one place are looked up once, and of gauges at one place only the lowest id counts.
     """
     reach = math.degrees(radius_km / 6371.0)
     n = int(round(360 / cell_degrees)) if cell_degrees else max(1, min(72_000, int(360 / max(reach, 1e-9))))
@@ -200,10 +200,14 @@ def nearest(points: DataFrame, gauges: DataFrame, radius_km: float, cell_degrees
     spread = F.ceil(reach / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.abs("g_lat") + reach)))) / cell_degrees)
     columns = F.least(F.lit(n // 2), spread).cast("int")
     rows = math.ceil(reach / cell_degrees)
-    placed = gauges.withColumn("_r", F.explode(F.sequence(row("g_lat") - rows, row("g_lat") + rows))).withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence(col("g_lon") - columns, col("g_lon") + columns), lambda c: F.pmod(c, F.lit(n))))))
-    found = points.withColumn("_r", row("lat")).withColumn("_c", F.pmod(col("lon"), F.lit(n))).join(placed, ["_r", "_c"])
+    own = gauges.groupBy("g_lat", "g_lon").agg(F.min("gauge_id").alias("gauge_id"))
+    placed = own.withColumn("_r", F.explode(F.sequence(row("g_lat") - rows, row("g_lat") + rows))).withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence(col("g_lon") - columns, col("g_lon") + columns), lambda c: F.pmod(c, F.lit(n))))))
+    asked = points.select("lat", "lon").distinct()
+    found = asked.withColumn("_r", row("lat")).withColumn("_c", F.pmod(col("lon"), F.lit(n))).join(placed.hint("merge"), ["_r", "_c"])
     found = found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))).where(F.col("km") <= radius_km)
-    return found.groupBy("point_id").agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col("gauge_id"))).alias("_b")).select("point_id", F.col("_b.gauge_id").alias("gauge_id"), F.col("_b.km").alias("km"))
+    there = found.groupBy("lat", "lon").agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col("gauge_id"))).alias("_b"))
+    best = points.select("point_id", "lat", "lon").join(there.hint("merge"), ["lat", "lon"]).groupBy("point_id").agg(F.min("_b").alias("_b"))
+    return best.select("point_id", F.col("_b.gauge_id").alias("gauge_id"), F.col("_b.km").alias("km"))
 
 
 def row_spans(cells: DataFrame, key: str = "basin") -> DataFrame:

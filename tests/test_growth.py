@@ -39,3 +39,12 @@ def test_units_of_one_shape(spark):
     wanted = [(p, u) for p in range(4) for u in range(3)] + [(p, u) for p in (4, 5) for u in (3, 4)] + [(0, 0)]
     assert sorted((r.point_id, r.unit_id) for r in df.collect()) == sorted(wanted)
     assert "Broadcast" not in plan(df)
+
+
+def test_gauges_of_one_place(spark):
+    points = spark.createDataFrame([(i, 10.0, 20.0) for i in range(50)] + [(99, None, 1.0)], "point_id long, lat double, lon double")
+    gauges = spark.createDataFrame([(9, 11.0, 20.0), (4, 11.0, 20.0), (3, 12.0, 20.0)], "gauge_id long, g_lat double, g_lon double")
+    df = network.nearest(points, gauges, 300.0)
+    assert {r.point_id: r.gauge_id for r in df.collect()} == dict.fromkeys(range(50), 4)
+    text = plan(df)
+    assert "Broadcast" not in text and "keys=[lat" in text
