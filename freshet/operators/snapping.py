@@ -119,24 +119,34 @@ def threshold_lookup(points: DataFrame, reaches: DataFrame, thresholds: list[str
     return out.select("point_id", F.col("_b.reach_id").alias("reach_id"), *[F.coalesce(f"_b.{t}", f * plain).alias(t) for t, f in zip(thresholds, (1.0, *LATER))])
 
 
-def overlap_boxes(a: DataFrame, b: DataFrame, degrees: float) -> DataFrame:
+def overlap_boxes(a: DataFrame, b: DataFrame, degrees: float, least: float = 0.0, values: dict[str, Column] | None = None) -> DataFrame:
     """(a_id, b_id, overlap): pairs of boxes (id, south, west, north, east; no box crosses the antimeridian) that share an area in square degrees.
 
     Boxes are placed in the grid cells that they meet; a pair counts in the cell that holds the south-west corner of what it shares.
+    Boxes of equal sides are met once and expanded to their ids in the end. Overlaps up to `least` don't count. `values` are computed from
+    overlap, a_area and b_area for such pairs, and returned in place of these three.
     """
     cell = lambda c: F.floor(c / degrees).cast("int")
 
+    sides = ["south", "west", "north", "east"]
+    (a_reps, a_members), (b_reps, b_members) = represented(a, "id", sides), represented(b, "id", sides)
+
     def placed(df: DataFrame, p: str) -> DataFrame:
-        own = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "south", "west", "north", "east")])
+        own = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", *sides)])
         own = own.withColumn("_r", F.explode(F.sequence(cell(F.col(f"{p}_south")), cell(F.col(f"{p}_north")))))
         return own.withColumn("_c", F.explode(F.sequence(cell(F.col(f"{p}_west")), cell(F.col(f"{p}_east")))))
 
-    both = placed(a, "a").join(placed(b, "b"), ["_r", "_c"])
+    both = placed(a_reps, "a").join(placed(b_reps, "b").hint("merge"), ["_r", "_c"])
     south, west = F.greatest("a_south", "b_south"), F.greatest("a_west", "b_west")
     height, width = F.least("a_north", "b_north") - south, F.least("a_east", "b_east") - west
     both = both.where((height > 0) & (width > 0) & (F.col("_r") == cell(south)) & (F.col("_c") == cell(west)))
     area = lambda p: (F.col(f"{p}_north") - F.col(f"{p}_south")) * (F.col(f"{p}_east") - F.col(f"{p}_west"))
-    return both.select("a_id", "b_id", (height * width).alias("overlap"), area("a").alias("a_area"), area("b").alias("b_area"))
+    pairs = both.select("a_rep", "b_rep", "a_n", "b_n", (height * width).alias("overlap"), area("a").alias("a_area"), area("b").alias("b_area"))
+    if least > 0:
+        pairs = pairs.where(F.col("overlap") > least)
+    if values:
+        pairs = pairs.select("a_rep", "b_rep", "a_n", "b_n", *[v.alias(k) for k, v in values.items()])
+    return expanded(pairs, a_members, b_members, "a_id", "b_id")
 
 
 def iou_dice(overlap: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -346,9 +346,9 @@ o AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.n, b.n) - greatest(a.s, b.s))
 SELECT a_id, b_id, round(o, 6) AS overlap, round(o / (13.5 + 30 - o), 6) AS iou, round(2 * o / 43.5, 6) AS dice FROM o WHERE o > 1e-9""", "gauges streams")
 def box_overlaps(spark, d):
     box = lambda df, i, lat, lon, h, w: df.select(F.col(i).alias("id"), F.col(lat).alias("south"), F.col(lon).alias("west"), (F.col(lat) + h).alias("north"), (F.col(lon) + w).alias("east"))
-    out = snapping.overlap_boxes(box(gauges(spark, d), "point_id", "lat", "lon", 3, 4.5), box(streams(spark, d), "reach_id", "lat1", "lon1", 5, 6), 5.0)
     iou, dice, _ = snapping.iou_dice(F.col("overlap"), F.col("a_area"), F.col("b_area"))
-    return out.where("overlap > 1e-9").select("a_id", "b_id", R("overlap").alias("overlap"), R(iou).alias("iou"), R(dice).alias("dice"))
+    values = {"overlap": R("overlap"), "iou": R(iou), "dice": R(dice)}
+    return snapping.overlap_boxes(box(gauges(spark, d), "point_id", "lat", "lon", 3, 4.5), box(streams(spark, d), "reach_id", "lat1", "lon1", 5, 6), 5.0, 1e-9, values)
 
 
 @query("domain_coverage", """WITH c AS (SELECT point_id, greatest(0, least(lat + 3, 60) - greatest(lat, -60)) * greatest(0, least(lon + 4.5, 150) - greatest(lon, -150)) / 13.5 AS share FROM gauges)

@@ -48,3 +48,12 @@ def test_gauges_of_one_place(spark):
     assert {r.point_id: r.gauge_id for r in df.collect()} == dict.fromkeys(range(50), 4)
     text = plan(df)
     assert "Broadcast" not in text and "keys=[lat" in text
+
+
+def test_boxes_of_equal_sides(spark):
+    box = lambda i, x: (i, x, x, x + 2, x + 2)
+    a = spark.createDataFrame([box(i, 0.0) for i in range(3)] + [box(0, 8.0)], "id long, south double, west double, north double, east double")
+    b = spark.createDataFrame([box(i, 1.0) for i in range(4)] + [box(7, 9.0)], a.schema)
+    df = snapping.overlap_boxes(a, b, 1.0)
+    assert sorted((r.a_id, r.b_id, r.overlap, r.a_area) for r in df.collect()) == sorted([(i, j, 1.0, 4.0) for i in range(3) for j in range(4)] + [(0, 7, 1.0, 4.0)])
+    assert "Broadcast" not in plan(df) and snapping.overlap_boxes(a, b, 1.0, 1.0).count() == 0
