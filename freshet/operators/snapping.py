@@ -62,14 +62,25 @@ def _candidates(points: DataFrame, reaches: DataFrame, degrees: float) -> DataFr
     columns = F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.lit(n))))
     placed = reaches.withColumn("_r", F.explode(F.sequence(row(south), row(north)))).withColumn("_c", F.explode(columns))
     at = F.pmod(F.floor((F.col("lon") + 180) / width).cast("int"), F.lit(n))
-    return points.withColumn("_r", row(F.col("lat"))).withColumn("_c", at).join(placed, ["_r", "_c"]).drop("_r", "_c")
+    return points.withColumn("_r", row(F.col("lat"))).withColumn("_c", at).join(placed.hint("merge"), ["_r", "_c"]).drop("_r", "_c")
+
+
+def _distinct_reaches(reaches: DataFrame) -> DataFrame:
+    """Of reaches of one course and area the one of the lowest id."""
+    return reaches.groupBy("lat1", "lon1", "lat2", "lon2", "area").agg(F.min("reach_id").alias("reach_id"))
 
 
 def snap_to_reach(points: DataFrame, reaches: DataFrame, max_km: float, weight: float) -> DataFrame:
-    """For each point the reach with the least distance / (1 + weight log10(area)) within max_km; ties go to the lower id."""
-    found = _candidates(points, reaches, max_km / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
+    """For each point the reach with the least distance / (1 + weight log10(area)) within max_km; ties go to the lower id.
+
+    Points at one place are looked up once, and reaches of one course and area are one.
+    """
+    asked, own = points.select("lat", "lon").distinct(), _distinct_reaches(reaches)
+    found = _candidates(asked, own, max_km / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
     score = F.col("km") / (1 + F.log10(F.greatest(F.lit(1.0), F.col("area"))) * weight)
-    best = found.where(F.col("km") <= max_km).groupBy("point_id").agg(F.min(F.struct(F.round(score, 9).alias("score"), F.col("reach_id"), F.col("km"))).alias("_b"))
+    least = F.min(F.struct(F.round(score, 9).alias("score"), F.col("reach_id"), F.col("km")))
+    there = found.where(F.col("km") <= max_km).groupBy("lat", "lon").agg(least.alias("_b"))
+    best = points.select("point_id", "lat", "lon").join(there.hint("merge"), ["lat", "lon"]).groupBy("point_id").agg(F.min("_b").alias("_b"))
     return best.select("point_id", "_b.reach_id", "_b.km")
 
 
