@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -140,11 +141,15 @@ def ring_cells(points: np.ndarray, degrees: float) -> list[tuple[int, int, float
     return out
 
 
+#: Bytes of vertices and cells of rings that a task remembers.
+KNOWN_BYTES = 64_000_000
+
+
 def cell_weights(rings: DataFrame, degrees: float) -> DataFrame:
     """(basin, lat_idx, lon_idx, weight): overlap of each basin with grid cells times cos(latitude), shares of a basin.
 
-    rings: (basin, is_hole, pts array of (lon, lat)). A ring is cut into its cells where it is read, so no vertex is shuffled and no
-    join looks at all cells; only areas by cell are added up. Holes subtract. A basin that covers nothing measurable is
+    rings: (basin, is_hole, pts array of (lon, lat)). Rings are dealt to all tasks, as tables may come in few parts, and cut into their cells
+    there; a task cuts equal rings once, and no join looks at all cells. Holes subtract. A basin that covers nothing measurable is
     its centre's cell. Rings may run past the antimeridian; columns wrap.
     """
     from pyspark.sql import Window
@@ -154,16 +159,34 @@ def cell_weights(rings: DataFrame, degrees: float) -> DataFrame:
     at = lambda c, base: F.floor((c + base) / degrees).cast("int")
     kinds = dict(rings.dtypes)
 
-    def cut(frames):
-        for pdf in frames:
-            found = []
-            for basin, hole, pts in zip(pdf["basin"], pdf["is_hole"], pdf["pts"]):
-                points = np.array([(p["lon"], p["lat"]) for p in pts], float).reshape(-1, 2)
-                if len(points):
-                    found += [(basin, i, j, -area if hole else area) for i, j, area in ring_cells(points, degrees)]
-            yield pd.DataFrame(found, columns=["basin", "lat_idx", "lon_idx", "area"])
-
-    measured = rings.select("basin", "is_hole", "pts").mapInPandas(cut, f"basin {kinds['basin']}, lat_idx int, lon_idx int, area double")
+    def cut(batches):
+        known, held = {}, 0  # cells of rings by their vertices
+        for batch in batches:
+            pts = batch.column("pts")
+            ends, flat = pts.offsets.to_numpy() - pts.offsets[0].as_py(), pts.flatten()
+            vertices = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat")]).astype(float)
+            rows, cells = [], []
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                own = vertices[a:b]
+                name = own.tobytes()
+                found = known.get(name)
+                if found is None:
+                    found = np.array(ring_cells(own, degrees) if b > a else [], float).reshape(-1, 3)
+                    held += len(name) + found.nbytes
+                    if held > KNOWN_BYTES:
+                        known, held = {}, len(name) + found.nbytes
+                    known[name] = found
+                rows.append(np.full(len(found), k))
+                cells.append(found)
+            if not rows:
+                continue
+            at, all_ = np.concatenate(rows).astype(np.int64), np.concatenate(cells)
+            hole = batch.column("is_hole").to_numpy(zero_copy_only=False).astype(bool)[at]
+            ints = [pa.array(all_[:, c].astype(np.int32)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("basin").take(pa.array(at)), *ints, pa.array(np.where(hole, -all_[:, 2], all_[:, 2]))], names=["basin", "lat_idx", "lon_idx", "area"])
+
+    spread = rings.select("basin", "is_hole", "pts").where("pts IS NOT NULL").repartition("basin")
+    measured = spread.mapInArrow(cut, f"basin {kinds['basin']}, lat_idx int, lon_idx int, area double")
     measured = measured.withColumn("lon_idx", F.pmod("lon_idx", F.lit(round(360 / degrees))))
     areas = measured.groupBy("basin", "lat_idx", "lon_idx").agg(F.sum("area").alias("area"))
     total = F.sum(F.greatest(F.col("area"), F.lit(0.0))).over(Window.partitionBy("basin"))

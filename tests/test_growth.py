@@ -57,3 +57,13 @@ def test_boxes_of_equal_sides(spark):
     df = snapping.overlap_boxes(a, b, 1.0)
     assert sorted((r.a_id, r.b_id, r.overlap, r.a_area) for r in df.collect()) == sorted([(i, j, 1.0, 4.0) for i in range(3) for j in range(4)] + [(0, 7, 1.0, 4.0)])
     assert "Broadcast" not in plan(df) and snapping.overlap_boxes(a, b, 1.0, 1.0).count() == 0
+
+
+def test_equal_rings_are_cut_once(spark, monkeypatch):
+    ring = [(0.5, 0.0), (2.5, 0.0), (2.5, 1.0), (0.5, 1.0)]
+    rings = spark.createDataFrame([(i, False, ring) for i in range(40)] + [(i, True, [(0.5, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 1.0)]) for i in range(0, 40, 2)], "basin long, is_hole boolean, pts array<struct<lon:double,lat:double>>").coalesce(1)
+    df = peaks.cell_weights(rings, 1.0)
+    got = {(r.basin, r.lon_idx): r.weight for r in df.collect()}
+    assert all(got[i, 181] == pytest.approx(0.5 if i % 2 else 2 / 3) and ((i, 180) in got) == bool(i % 2) for i in range(40))
+    text = plan(df)
+    assert "MapInArrow" in text and "Exchange" in text[text.index("MapInArrow") :]
