@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.weather import wind_from, wind_speed
-from freshet.operators.snapping import snap_by_area
+from freshet.operators.snapping import _kept, snap_by_area
 
 #: WGS84's semi-axis in km and first eccentricity.
 SEMI_AXIS, ECCENTRICITY = 6378.137, 0.0818191908426215
@@ -249,7 +249,8 @@ def cross_network_match(clicks: DataFrame, networks: dict[str, DataFrame], order
         one = snapped.where("reach_id IS NOT NULL").join(own, "reach_id")
         found.append(one.select("point_id", F.struct("reach_id", F.col("_area").alias("area"), "km").alias(name)))
         if i == 0:
-            at = at.join(one.select("point_id", "_area", "_lat", "_lon"), "point_id", "left").select("point_id", F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lon", "lon").alias("lon"), F.coalesce("_area", "target_area").alias("target_area"))
+            moved = at.join(one.select("point_id", "_area", "_lat", "_lon"), "point_id", "left")
+            at = _kept(moved.select("point_id", F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lon", "lon").alias("lon"), F.coalesce("_area", "target_area").alias("target_area")))
     out = at.select("point_id", "target_area")
     for one in found:
         out = out.join(one, "point_id", "left")

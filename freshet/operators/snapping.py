@@ -87,20 +87,22 @@ def snap_to_reach(points: DataFrame, reaches: DataFrame, max_km: float, weight:
 def snap_by_area(points: DataFrame, reaches: DataFrame, near_km: float, far_km: float, near_ratio: float, far_ratio: float, weight: float) -> DataFrame:
     """As snap_to_reach from near_km, and from far_km where that finds none; reaches whose area differs by more than the tier's ratio are refused.
 
-    Points carry target_area; a NULL one accepts any area. Only points without a near reach are looked up again, in wider cells.
+    Points carry target_area; a NULL one accepts any area. Each place has one list of the reaches around it, in order of tier, score and id,
+    and each point there takes the first that fits its area, so that no row of a point and a reach is made.
     """
-
-    def tier(asked: DataFrame, number: int, km: float, ratio: float) -> DataFrame:
-        off = F.greatest(F.try_divide(F.col("area"), F.col("target_area")), F.try_divide(F.col("target_area"), F.col("area")))
-        found = _candidates(asked, reaches, km / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
-        fits = F.coalesce(off <= F.when(F.col("km") <= near_km, near_ratio).otherwise(ratio), F.col("target_area").isNull())
-        score = F.round(F.col("km") / (1 + F.log10(F.greatest(F.lit(1.0), F.col("area"))) * weight), 9)
-        best = found.where((F.col("km") <= km) & fits).groupBy("point_id").agg(F.min(F.struct(score.alias("score"), F.col("reach_id"), F.col("km"))).alias("_b"))
-        return best.select("point_id", "_b.reach_id", "_b.km", F.lit(number).alias("tier"))
-
-    near = _kept(tier(points, 0, near_km, near_ratio))
-    far = tier(points.join(near, "point_id", "left_anti"), 1, far_km, far_ratio)
-    return points.select("point_id").join(near.unionByName(far), "point_id", "left")
+    asked, own = points.select("lat", "lon").distinct(), _distinct_reaches(reaches)
+    found = _candidates(asked, own, max(near_km, far_km) / 111.195).withColumn("km", segment_km(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]))
+    tier = F.when(F.col("km") <= near_km, 0).when(F.col("km") <= far_km, 1)
+    score = F.round(F.col("km") / (1 + F.log10(F.greatest(F.lit(1.0), F.col("area"))) * weight), 9)
+    found = found.withColumn("tier", tier).where("tier IS NOT NULL")
+    around = found.groupBy("lat", "lon").agg(F.array_sort(F.collect_list(F.struct("tier", score.alias("score"), "reach_id", "km", "area"))).alias("_around"))
+
+    def fits(x: Column) -> Column:
+        off = F.greatest(F.try_divide(x["area"], F.col("target_area")), F.try_divide(F.col("target_area"), x["area"]))
+        return F.coalesce(off <= F.when(x["tier"] == 0, near_ratio).otherwise(far_ratio), F.col("target_area").isNull())
+
+    first = points.join(around.hint("merge"), ["lat", "lon"], "left").select("point_id", F.get(F.filter("_around", fits), F.lit(0)).alias("_b"))
+    return first.select("point_id", "_b.reach_id", "_b.km", "_b.tier")
 
 
 #: Fixed values of the lookup: degrees, bounds of the ratio of areas and of the scale, and what the regression gives for the first flow

@@ -59,6 +59,19 @@ def test_boxes_of_equal_sides(spark):
     assert "Broadcast" not in plan(df) and snapping.overlap_boxes(a, b, 1.0, 1.0).count() == 0
 
 
+def test_reaches_of_one_course(spark):
+    points = spark.createDataFrame([(i, 10.0, 20.0, 100.0 if i % 2 else None) for i in range(6)] + [(9, 60.0, 20.0, 1.0)], "point_id long, lat double, lon double, target_area double")
+    rows = [(5, 10.0, 20.1, 10.1, 20.1, 4000.0), (4, 10.0, 20.1, 10.1, 20.1, 4000.0), (3, 10.0, 20.1, 10.1, 20.1, 90.0), (2, 10.5, 20.1, 10.6, 20.1, 100.0)]
+    reaches = spark.createDataFrame(rows, "reach_id long, lat1 double, lon1 double, lat2 double, lon2 double, area double")
+    df = snapping.snap_to_reach(points, reaches, 30.0, 0.3)
+    assert {r.point_id: r.reach_id for r in df.collect()} == dict.fromkeys(range(6), 4)
+    text = plan(df)
+    assert "Broadcast" not in text and "keys=[lat" in text
+    df = snapping.snap_by_area(points, reaches, 30.0, 100.0, 2.0, 2.0, 0.3)
+    assert {r.point_id: r.reach_id for r in df.collect()} == {i: 3 if i % 2 else 4 for i in range(6)} | {9: None}
+    assert "Aggregate" not in plan(df)[: plan(df).index("Join")]
+
+
 def test_equal_rings_are_cut_once(spark, monkeypatch):
     ring = [(0.5, 0.0), (2.5, 0.0), (2.5, 1.0), (0.5, 1.0)]
     rings = spark.createDataFrame([(i, False, ring) for i in range(40)] + [(i, True, [(0.5, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 1.0)]) for i in range(0, 40, 2)], "basin long, is_hole boolean, pts array<struct<lon:double,lat:double>>").coalesce(1)
