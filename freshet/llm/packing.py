@@ -15,8 +15,9 @@ from freshet.llm.tokens import END_ID, batches, crc32, encoded
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
-#: Documents of one token may fill a sequence, so that this limit costs no padding.
-MAX_SEGMENTS = SEQUENCE_TOKENS
+#: Unless limits are given, a sequence holds at most so many times the segments of a mean one of what is left to pack, and of the tokens that
+#: bear no loss in a mean one it has at least this share.
+MOST_SEGMENTS, LEAST_PLAIN = 1.25, 0.5
 #: Examples and tokens among which a task looks for the next to place. Both bound its memory.
 POOL_EXAMPLES = 768
 POOL_TOKENS = 750_000
@@ -31,16 +32,18 @@ PROMPT_TOKENS = 1
 class Packer:
     """Fills one sequence after another from a pool of pieces.
 
-    Of the pieces that fit, the next is the one with the largest dot product of its demand and what the sequence
-    has left, each as a share of its limit and weighted by the pool's mean demand. If none fits, a longer one is
-    cut: its head fills the sequence and its tail goes back. Pieces of a whole sequence's length don't compete.
-    Pieces of equal demand are one kind, the last of which is taken first.
+    Of the pieces that fit, the next is the one with the largest dot product of its demand, brought to length 1, and what the sequence
+    has left, each as a share of its limit and weighted by the pool's mean demand: what is left of all limits runs out together. If none fits, a longer one is
+    cut: its head fills the sequence and its tail goes back. So does what takes the last segment. Pieces of a whole sequence's
+    length don't compete. Pieces of equal demand are one kind, the last of which is taken first. Limits on segments and loss that
+    aren't given follow the pieces that are left, anew for each sequence: short documents are spread over the sequences and not
+    kept for the last ones, and pools of the shortest still fill whole sequences.
     """
 
-    def __init__(self, tokens: int = SEQUENCE_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None):
-        self.limits = np.array([tokens, segments, tokens if loss is None else loss], np.float64)
-        if (self.limits < 1).any():
+    def __init__(self, tokens: int = SEQUENCE_TOKENS, segments: int | None = None, loss: int | None = None):
+        if min(tokens, 1 if segments is None else segments, 1 if loss is None else loss) < 1:
             raise ValueError("limits must be positive")
+        self.tokens, self.segments, self.most_loss = tokens, segments, loss
         self.pool: list[tuple[int, int, int, int]] = []  # example, start, length, tokens of the example without loss
 
     @staticmethod
@@ -49,13 +52,23 @@ class Packer:
 
     def add(self, example: int, length: int, prompt: int) -> Iterator[list[tuple[int, int, int]]]:
         """Takes an example; yields the sequences that it fills alone."""
-        start, whole = 0, int(self.limits[0])
-        while length - start >= whole and self.loss(start, whole, prompt) <= self.limits[2]:
+        start, whole = 0, self.tokens
+        while length - start >= whole and (self.most_loss is None or self.loss(start, whole, prompt) <= self.most_loss):
             yield [(example, start, whole)]
             start += whole
         if start < length:
             self.pool.append((example, start, length - start, prompt))
 
+    def limits(self, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of tokens, segments and loss in the next sequence, for so many pieces (count) of each demand (size). A piece may always be alone."""
+        total = count @ size
+        each = self.tokens / total[0]
+        segments = np.ceil(MOST_SEGMENTS * total[1] * each) if self.segments is None else self.segments
+        loss = np.ceil(self.tokens - LEAST_PLAIN * (total[0] - total[2]) * each) if self.most_loss is None else self.most_loss
+        if self.most_loss is None:
+            loss = max(loss, size[count > 0, 2].max())
+        return np.array([self.tokens, min(segments, self.tokens) if self.segments is None else segments, max(loss, 1)], np.float64)
+
     def sequences(self, last: bool) -> Iterator[list[tuple[int, int, int]]]:
         """Full sequences from the pool; with last, all that is left. Otherwise a part-filled one goes back."""
         pieces, self.pool = self.pool, []
@@ -79,9 +92,11 @@ class Packer:
             put(piece)
         while count.any():
             here = np.flatnonzero(count)
-            demands, share = size[here], size[here] / self.limits
+            limits = self.limits(size[here], count[here])
+            demands, share = size[here], size[here] / limits
             weight = count[here] @ share / count.sum()
-            left, chosen, tails, open_ = self.limits.copy(), [], [], np.ones(len(here), bool)
+            toward = share / np.sqrt((share * share * weight).sum(axis=1))[:, None]
+            left, chosen, tails, open_ = limits.copy(), [], [], np.ones(len(here), bool)
 
             def take(pick: int) -> tuple[int, int, int, int]:
                 k = here[pick]  # noqa: B023
@@ -91,8 +106,10 @@ class Packer:
 
             while True:
                 fits = open_ & (demands <= left).all(axis=1)
+                if left[1] == 1 and left[0] >= LEAST_CUT and (open_ & (demands[:, 0] > left[0])).any():
+                    fits[:] = False
                 if fits.any():
-                    pick = int(np.argmax(np.where(fits, share @ (weight * left / self.limits), -1.0)))
+                    pick = int(np.argmax(np.where(fits, toward @ (weight * left / limits), -1.0)))
                     chosen.append(take(pick))
                     left -= demands[pick]
                     continue
@@ -118,7 +135,7 @@ class Packer:
 PIECES = fields("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, segments: int | None = None, loss: int | None = None) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text), packed by the tasks that read them; no shuffle.
 
     Each task fills sequences from a pool of bounded size and leaves at most one part-filled. sequence_id holds the

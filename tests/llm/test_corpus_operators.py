@@ -352,6 +352,19 @@ def test_short_texts_fill_sequences():
     assert sum(n for pieces in made for _, _, n in pieces) == 12_000 and len(made) == 3
 
 
+def test_all_limits_bind_in_plain_documents():
+    def packed(sizes):
+        packer = packing.Packer()
+        made = [s for i, n in enumerate(sizes) for s in packer.add(i, n, 1)] + list(packer.sequences(True))
+        assert collections.Counter((k, x) for s in made for k, a, n in s for x in range(a, a + n)) == collections.Counter((k, x) for k, n in enumerate(sizes) for x in range(n))
+        return made, [sum(packer.loss(a, n, 1) for _, a, n in s) for s in made]
+
+    made, _ = packed([3000] * 8 + [1] * 4000)
+    assert len(made) == 7 and len(made[0]) <= 733 and sum(n for _, _, n in made[0]) == 4096  # one limit: 1097 pieces in the first
+    made, loss = packed([4000] * 20 + [5] * 1000)
+    assert len(made) == 21 and loss[0] <= 4072 and max(loss) < 4090
+
+
 def test_wide_ids_are_refused():
     with pytest.raises(ValueError):
         rans._short(np.array([1, 70_000], "<u4").tobytes())
