@@ -77,7 +77,10 @@ language_mix = source_mix  # its former name
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens; null and empty texts are the end id, repeated rows are packed each."""
+    """The pieces of all documents in sequences of 4096 tokens; null and empty texts are the end id, repeated rows are packed each.
+
+    Segments and loss-bearing tokens of a sequence are limited by what is left to pack, so that short documents are spread over the sequences.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
 
 

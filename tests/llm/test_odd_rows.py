@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from freshet.llm import html_text, media, mixing, ordinal, packing, rans, secret_scan, sharding
 
 ODD = [(1, "one two three", "en", "a", 3), (1, "one two three", "en", "a", 3), (1, "another text", "de", "a", 3), (2, None, "en", "b", None), (3, "", "fr", None, 0), (None, "no id here", "es", "b", 9), (4, "word " * 4000, "en", "a", 1), (5, "é中\U0001f600 ", None, "c", 1)]
@@ -117,6 +118,12 @@ def test_empty_documents_fill_sequences(spark):
     assert len(got) == 5 and sum(r.n for r in got) == 20_000
 
 
+def test_short_documents_are_spread_over_sequences(spark):
+    docs = spark.createDataFrame([(i, "word " * 3000 if i % 76 == 0 else "") for i in range(3040)], "doc_id long, text string").coalesce(1)
+    got = corpus_pipeline.packed_sequences(spark, docs, "").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("pieces")).collect()
+    assert max(r.pieces for r in got) < 300 and sum(r.n for r in got) > 4090 * (len(got) - 2)  # a limit of 4096 pieces: more than 600 in one
+
+
 @pytest.mark.parametrize("name", ["newsletter", "widget", "notice", "alert-text", "tags", "post share", "story-text legal", "card-login", "widget-area main-content", "content section-comment"])
 @pytest.mark.parametrize("tag", ["div", "article"])
 def test_names_of_what_holds_the_text_are_outvoted(name, tag):
