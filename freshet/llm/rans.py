@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import fields, scratch, small_batches, table
 from freshet.llm.tokens import END_ID, batches, crc32, crc32_shifted, encoded
@@ -27,9 +28,13 @@ CHECKPOINT_STEPS = 128
 PART_DOCUMENTS = 5000
 MAX_PARTS = 4096
 
-_LOW = np.uint64(1 << 31)
+#: Characters of texts that are encoded together, so that a word they share is looked up once.
+TOGETHER_CHARS = 16_000_000
+
+#: States lie between _LOW and _LOW << 32, below 2**53: as doubles they are exact, and so are their quotients rounded down.
+_LOW = 1 << 20
 _HEADER = struct.Struct("<4s6I")
-_MAGIC = b"rAN1"
+_MAGIC = b"rAN2"
 
 
 def normalised(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -53,13 +58,11 @@ class Coder:
     """Encodes and decodes blocks of ids under one table of frequencies."""
 
     def __init__(self, freq: np.ndarray, bits: int = SCALE_BITS):
-        self.bits = np.uint64(bits)
-        self.mask = np.uint64((1 << bits) - 1)
-        self.freq = freq.astype(np.uint64)
-        self.first = np.zeros(len(freq), np.uint64)
+        self.bits = bits
+        self.freq = freq.astype(np.int64)
+        self.first = np.zeros(len(freq), np.int64)
         self.first[1:] = np.cumsum(self.freq)[:-1]
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-        self.most = self.freq << np.uint64(63 - bits)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
 
     def encode(self, ids: np.ndarray) -> bytes:
         """A block: header, lane states, checkpoints (step, word, states), then 32-bit words.
@@ -70,65 +73,76 @@ class Coder:
         n = len(ids)
         lanes = max(1, min(LANES, n // 64))
         steps = -(-n // lanes)
-        state = np.full(lanes, _LOW)
-        words: list[np.ndarray] = []
+        freq, first = self.freq.take(ids).astype(np.float64), self.first.take(ids).astype(np.float64)
+        most, rest = freq * float(_LOW << 32 >> self.bits), float(1 << self.bits) - freq
+        state = np.full(lanes, float(_LOW))
+        left: list[np.ndarray] = []  # states whose low 32 bits become words
         n_words, marks = 0, []
         for s in range(steps - 1, -1, -1):
-            own = ids[s * lanes : (s + 1) * lanes]
-            x, f = state[: len(own)], self.freq[own]
-            full = x >= self.most[own]
-            if full.any():
-                words.append(x[full].astype(np.uint32))
-                n_words += len(words[-1])
-                x = np.where(full, x >> np.uint64(32), x)
-            q, r = np.divmod(x, f)
-            state[: len(own)] = (q << self.bits) + r + self.first[own]
+            own = slice(s * lanes, min(n, (s + 1) * lanes))
+            x, f = state[: own.stop - own.start], freq[own]
+            full = (x >= most[own]).nonzero()[0]
+            if len(full):
+                wide = x[full]
+                left.append(wide)
+                n_words += len(full)
+                x[full] = np.floor(wide * 2.0**-32)
+            q = x / f
+            np.floor(q, out=q)
+            q *= rest[own]  # x becomes q << bits, the remainder and the first slot in one
+            q += first[own]
+            x += q
             if s % CHECKPOINT_STEPS == 0 and s:
-                marks.append((s, n_words, state.copy()))
-        body = b"".join(w.tobytes() for w in reversed(words))
+                marks.append((s, n_words, state.astype(np.uint64)))
+        body = np.concatenate([*reversed(left), np.zeros(0)]).astype(np.uint64).astype(np.uint32).tobytes()
         table = b"".join(struct.pack("<2I", s, n_words - w) + x.tobytes() for s, w, x in reversed(marks))
-        inner = state.tobytes() + table + body
-        return _HEADER.pack(_MAGIC, n, lanes, n_words, len(marks), crc32(ids.astype("<u4").tobytes()), crc32(inner)) + inner
+        inner = state.astype(np.uint64).tobytes() + table + body
+        return _HEADER.pack(_MAGIC, n, lanes, n_words, len(marks), crc32(ids.astype("<u2").tobytes()), crc32(inner)) + inner
 
     def decode(self, block: bytes, part: int | None = None) -> np.ndarray:
         """All ids of a block, checked, or those from its checkpoint number `part` (0 is the start) to the next."""
         magic, n, lanes, n_words, marks, ids_crc, inner_crc = _HEADER.unpack_from(block)
-        if magic != _MAGIC or crc32(block[_HEADER.size :]) != inner_crc:
+        if magic != _MAGIC or crc32(memoryview(block)[_HEADER.size :]) != inner_crc:
             raise ValueError("a damaged block")
         at = _HEADER.size
-        points = [(0, 0, np.frombuffer(block, np.uint64, lanes, at))]
+        points = [(0, 0, np.frombuffer(block, np.int64, lanes, at))]
         at += 8 * lanes
         for _ in range(marks):
             s, w = struct.unpack_from("<2I", block, at)
-            points.append((s, w, np.frombuffer(block, np.uint64, lanes, at + 8)))
+            points.append((s, w, np.frombuffer(block, np.int64, lanes, at + 8)))
             at += 8 + 8 * lanes
-        words = np.frombuffer(block, np.uint32, n_words, at).astype(np.uint64)
+        words = np.frombuffer(block, np.uint32, n_words, at).astype(np.int64)
         steps = -(-n // lanes)
         begin, w, state = points[part or 0]
         if part is not None:
             steps = points[part + 1][0] if part < marks else steps
         state = state.copy()
-        out = np.empty(n, np.int32)
+        out = np.empty(n, np.uint16)
+        mask = (1 << self.bits) - 1
         for s in range(begin, steps):
             own = out[s * lanes : (s + 1) * lanes]
             x = state[: len(own)]
-            slot = x & self.mask
-            own[:] = self.symbol[slot]
-            x = self.freq[own] * (x >> self.bits) + slot - self.first[own]
-            low = np.flatnonzero(x < _LOW)
+            slot = x & mask
+            own[:] = ids = self.symbol.take(slot)
+            x >>= self.bits
+            x *= self.freq.take(ids)
+            slot -= self.first.take(ids)
+            x += slot
+            low = (x < _LOW).nonzero()[0]
             if len(low):
-                x[low] = (x[low] << np.uint64(32)) | words[w : w + len(low)]
+                x[low] = (x[low] << 32) | words[w : w + len(low)]
                 w += len(low)
-            state[: len(own)] = x
         if part is not None:
             return out[begin * lanes : min(n, steps * lanes)]
-        if crc32(out.astype("<u4").tobytes()) != ids_crc:
+        if crc32(out.astype("<u2", copy=False).tobytes()) != ids_crc:
             raise ValueError("a block's ids differ from its checksum")
         return out
 
 
-ORDERED = fields("part int, doc_no long, doc_id long, start long, n_tokens long, ids binary")
 BLOCKS = fields("part int, first long, n_tokens long, doc_no array<long>, doc_id array<long>, doc_from array<long>, doc_tokens array<long>, length array<long>, payload binary")
+#: Blocks whose payload is the ids as they are (16 bits each); a task's last row holds how often it has met each id, and no block.
+ORDERED = T.StructType([*BLOCKS, *fields("seen array<int>, times array<long>")])
+_ARROW = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 DECODED = fields("part int, doc_no long, doc_id long, start long, length long, crc long")
 
 
@@ -140,96 +154,104 @@ def _short(ids: bytes) -> bytes:
     return wide.astype("<u2").tobytes()
 
 
+def _together(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """doc_id and text of about TOGETHER_CHARS characters at a time."""
+    doc_ids, texts, size = [], [], 0
+    for batch in rows:
+        own_ids, own = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        for a, b in batches(own, TOGETHER_CHARS):
+            chars = sum(len(x or "") for x in own[a:b])
+            if texts and size + chars > TOGETHER_CHARS:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+            doc_ids += own_ids[a:b]
+            texts += own[a:b]
+            size += chars
+    if texts:
+        yield doc_ids, texts
+
+
+def _row(values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _ARROW)], names=ORDERED.names[: len(values)])
+
+
 def ordered_ids(docs: DataFrame, path: str) -> DataFrame:
-    """Each row's ids (16 bits each) in ascending doc_id order: parts by ranges of doc_id, numbered rows inside.
+    """All ids in ascending doc_id order, cut into blocks: parts by ranges of doc_id, numbered rows inside.
 
     The ranges come from approximate quantiles of doc_id alone. Null ids come first; rows with equal ids stay
     apart as rows, in the order of their token ids. A part holds about PART_DOCUMENTS rows, more only beyond MAX_PARTS parts.
+    A block holds consecutive rows of a part; long documents continue in the next block.
     """
     n = docs.count()
     parts = max(1, min(MAX_PARTS, -(-n // PART_DOCUMENTS)))
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
 
     def tokenise(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in _together(rows):
+            ids = [_short(x) + END_ID.to_bytes(2, "little") for x in encoded(path, texts)]
+            part = [0 if d is None else bisect.bisect_right(bounds, d) for d in doc_ids]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY, np.int64)
+        pieces, data = [], []
+        part, doc_no, start, size = -1, 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            payload = b"".join(data)
+            total[:] += np.bincount(np.frombuffer(payload, "<u2"), minlength=VOCABULARY)
+            row = [part, start - size, size, *map(list, zip(*pieces)), payload, None, None]
+            pieces.clear()
+            data.clear()
+            return _row(row)
+
         for batch in rows:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in batches(texts, 6_000_000):
-                ids = [_short(x) + END_ID.to_bytes(2, "little") for x in encoded(path, texts[a:b])]
-                own = doc_ids[a:b]
-                part = [0 if d is None else bisect.bisect_right(bounds, d) for d in own]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
-
-    def numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, doc_no, start = -1, 0, 0
-        for batch in rows:
-            out = []
             for p, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
                 if p != part:
-                    part, doc_no, start = p, 0, 0
-                out.append((p, doc_no, doc_id, start, len(ids) // 2, ids))
+                    if pieces:
+                        yield flush()
+                    part, doc_no, start, size = p, 0, 0, 0
+                n, a = len(ids) // 2, 0
+                while a < n:
+                    length = min(n - a, BLOCK_TOKENS - size)
+                    pieces.append((doc_no, doc_id, a, n, length))
+                    data.append(ids[2 * a : 2 * (a + length)])
+                    a += length
+                    size += length
+                    start += length
+                    if size == BLOCK_TOKENS:
+                        yield flush()
+                        size = 0
                 doc_no += 1
-                start += len(ids) // 2
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), *[pa.int64()] * 4, pa.binary()])], names=ORDERED.names)
+        if pieces:
+            yield flush()
+        if total.any():
+            own = np.flatnonzero(total)
+            yield _row([part, start, 0, *[None] * 6, own, total[own]])
 
     ids = docs.select("doc_id", "text").mapInArrow(tokenise, fields("part int, doc_id long, ids binary"))
-    return ids.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(numbered, ORDERED)
+    return ids.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(cut, ORDERED)
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows: at most VOCABULARY sums come to the driver."""
-
-    def histogram(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
-        for batch in rows:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=VOCABULARY) if len(x) > 20_000 else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 20_000)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=VOCABULARY)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own], pa.int64())], names=["id", "n"])
-
+    """How often each id occurs in all rows of ordered_ids, from the tasks' counts: at most VOCABULARY sums come to the driver."""
+    each = ids.where("seen IS NOT NULL").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
     counts = np.zeros(VOCABULARY, np.int64)
-    for id_, n in ids.select("ids").mapInArrow(histogram, fields("id long, n long")).groupBy("id").agg(F.sum("n")).collect():
+    for id_, n in each.groupBy("x.seen").agg(F.sum("x.times")).collect():
         counts[id_] = n
     return counts
 
 
 def blocks(ids: DataFrame, freq: np.ndarray) -> DataFrame:
-    """ids in encoded blocks, each of consecutive rows of a part; long documents continue in the next block."""
+    """The blocks of ordered_ids with encoded payloads."""
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pieces, data, size, following = Coder(freq), [], [], 0, None
-
-        def flush() -> pa.RecordBatch:
-            payload = coder.encode(np.frombuffer(b"".join(data), "<u2").astype(np.int64))
-            columns = [list(x) for x in zip(*((doc_no, doc_id, a, n, length) for _, doc_no, doc_id, _, n, a, length in pieces))]
-            row = [pieces[0][0], pieces[0][3], size, *columns, payload]
-            types = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5, pa.binary()]
-            pieces.clear()
-            data.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=BLOCKS.names)
-
+        coder = Coder(freq)
         for batch in rows:
-            for part, doc_no, doc_id, start, n, own in zip(*(batch.column(c).to_pylist() for c in ORDERED.names)):
-                if pieces and following != (part, start):
-                    yield flush()
-                    size = 0
-                a = 0
-                while a < n:
-                    length = min(n - a, BLOCK_TOKENS - size)
-                    pieces.append((part, doc_no, doc_id, start + a, n, a, length))
-                    data.append(own[2 * a : 2 * (a + length)])
-                    a += length
-                    size += length
-                    if size == BLOCK_TOKENS:
-                        yield flush()
-                        size = 0
-                following = (part, start + n)
-        if pieces:
-            yield flush()
+            payloads = [coder.encode(np.frombuffer(x.as_buffer(), "<u2")) for x in batch.column("payload")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(payloads, pa.binary())], names=BLOCKS.names)
 
-    return ids.mapInArrow(encode, BLOCKS)
+    return ids.where("n_tokens > 0").select(BLOCKS.names).mapInArrow(encode, BLOCKS)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:

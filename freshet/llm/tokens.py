@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -227,22 +228,29 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
+@cache
+def _zero_bytes(power: int) -> list[int]:
+    """The operator that appends 2**power zero bytes to what a CRC-32 has seen, as a matrix over GF(2)."""
+    if power:
+        half = _zero_bytes(power - 1)
+        return [_times(half, row) for row in half]
+    matrix = [0xEDB88320, *[1 << i for i in range(31)]]  # a zero bit
+    for _ in range(3):
+        matrix = [_times(matrix, row) for row in matrix]
+    return matrix
+
+
 def crc32_shifted(crc: int, n_bytes: int) -> int:
     """What a CRC-32 adds to that of its bytes followed by n_bytes more; the CRC of a whole is the XOR of its parts'.
 
-    Doubles the operator that appends a zero bit, as a matrix over GF(2), along the bits of n_bytes.
+    Applies an operator for each bit of n_bytes; a worker makes each of them once.
     """
-    if n_bytes == 0:
-        return crc
-    odd = [0xEDB88320, *[1 << i for i in range(31)]]  # a zero bit
-    even = [_times(odd, row) for row in odd]
-    odd = [_times(even, row) for row in even]
+    power = 0
     while n_bytes:
-        even = [_times(odd, row) for row in odd]  # a zero byte at first
         if n_bytes & 1:
-            crc = _times(even, crc)
+            crc = _times(_zero_bytes(power), crc)
         n_bytes >>= 1
-        odd = even
+        power += 1
     return crc
 
 

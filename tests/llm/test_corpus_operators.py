@@ -65,6 +65,46 @@ def test_rans_round_trip_checkpoints_and_damage():
     assert rans.normalised(np.array([0, 1, 10**12])).sum() == 1 << rans.SCALE_BITS and rans.normalised(np.zeros(4)).sum() == 0
 
 
+def test_rans_states_are_exact():
+    rng = np.random.default_rng(1)
+    cases = [np.full(5000, 7), np.append(np.zeros(299_999, np.int64), 65_535), rng.permutation(65_536), rng.zipf(1.1, 70_001) % 65_536]
+    for ids in cases:
+        freq = rans.normalised(np.bincount(ids, minlength=rans.VOCABULARY))
+        coder = rans.Coder(freq)
+        block = coder.encode(ids)
+        assert (coder.decode(block) == ids).all()
+        lanes = rans._HEADER.unpack_from(block)[2]
+        first = np.cumsum(freq) - freq
+        for lane in (0, lanes - 1):  # the same in whole numbers of any length
+            x = rans._LOW
+            for i in reversed(ids[lane::lanes].tolist()):
+                f = int(freq[i])
+                x = x >> 32 if x >= f * (rans._LOW << 32 >> rans.SCALE_BITS) else x
+                x = (x // f << rans.SCALE_BITS) + x % f + int(first[i])
+            assert x == np.frombuffer(block, np.uint64, lanes, rans._HEADER.size)[lane]
+
+
+def test_ids_are_counted_and_cut_as_they_are_ordered(spark, docs, monkeypatch):
+    monkeypatch.setattr(rans, "PART_DOCUMENTS", 20)
+    monkeypatch.setattr(rans, "BLOCK_TOKENS", 5000)
+    tokenizer = public_tokenizers.path(rans.TOKENIZER)
+    rows = rans.ordered_ids(docs, tokenizer)
+    t = Tokenizer.from_file(tokenizer)
+    wanted = np.bincount([i for _, text in texts(docs) for i in [*t.encode(text or "", add_special_tokens=False).ids, 2]], minlength=rans.VOCABULARY)
+    assert (rans.id_counts(rows.select("seen", "times")) == wanted).all()  # without reading the ids again
+    cut = [r for r in rows.collect() if r["n_tokens"]]
+    assert len(cut) < docs.count() and all(r["n_tokens"] == sum(r["length"]) == len(r["payload"]) // 2 <= 5000 for r in cut)  # was a row for each document
+    assert sum(r["n_tokens"] for r in cut) == wanted.sum()
+
+
+def test_crc_operators_are_made_once(monkeypatch):
+    tokens.crc32_shifted(1, (1 << 20) - 1)
+    calls, times = [], tokens._times
+    monkeypatch.setattr(tokens, "_times", lambda *x: calls.append(1) or times(*x))
+    assert tokens.crc32_shifted(zlib.crc32(b"ab"), 5000) ^ zlib.crc32(bytes(5000)) == zlib.crc32(b"ab" + bytes(5000))
+    assert len(calls) <= 13  # was 32 for each doubling
+
+
 def test_id_files(spark, docs, monkeypatch):
     monkeypatch.setattr(rans, "PART_DOCUMENTS", 20)
     monkeypatch.setattr(rans, "BLOCK_TOKENS", 5000)
